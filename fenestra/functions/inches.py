@@ -66,4 +66,4 @@ def round_dim(v: Column, bucket: float = 0.5) -> Column:
 def ufactor_bucket(u: Column, step: float = 0.01) -> Column:
     """U-factor as a two-decimal bucket label; NULL stays NULL."""
     bucket = F.rint(u / F.lit(float(step))) * F.lit(float(step)) + F.lit(0.0)
-    return F.when(u.isNotNull(), F.format_string("%.2f", bucket))
+    return F.when(u.isNotNull(), F.call_function("format_number", bucket, F.lit("0.00")))

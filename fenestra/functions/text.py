@@ -143,6 +143,12 @@ def mark_key(cells: Column) -> Column:
 DASH = "—"
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """Fixed digits by the exact binary value, ties to even, without grouping."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", v, F.lit(pattern))
+
+
 def _shown(v: Column, shown: Column) -> Column:
     number = v.try_cast("double")
     return (F.when(v.isNull() | (v.cast("string").isin("", "None")) | F.isnan(number), F.lit(DASH))
@@ -151,15 +157,15 @@ def _shown(v: Column, shown: Column) -> Column:
 
 def format_number_cell(v: Column, digits: int = 3) -> Column:
     """Fixed digits; a dash for empty and NaN, other text unchanged."""
-    return _shown(v, F.format_string(f"%.{digits}f", v.try_cast("double")))
+    return _shown(v, fixed(v.try_cast("double"), digits))
 
 
 def format_dollar_cell(v: Column) -> Column:
-    return _shown(v, F.format_string("$%.3f", v.try_cast("double")))
+    return _shown(v, F.concat(F.lit("$"), fixed(v.try_cast("double"), 3)))
 
 
 def format_percent_cell(v: Column) -> Column:
-    return _shown(v, F.concat(F.format_string("%.1f", v.try_cast("double") * 100), F.lit("%")))
+    return _shown(v, F.concat(fixed(v.try_cast("double") * 100, 1), F.lit("%")))
 
 
 def clip_text(c: Column, length: int) -> Column:

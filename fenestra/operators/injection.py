@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fenestra.operators import rules
 from fenestra.operators.rules import augmented
@@ -101,7 +101,8 @@ def inject(units: DataFrame, defects: list[Defect] | None = None) -> DataFrame:
     changed: dict[str, Column] = {}
     for d in chosen:
         for name, value in d.edit().items():
-            value = value.cast(units.schema[name].dataType)
+            if not isinstance(units.schema[name].dataType, T.ArrayType):
+                value = value.cast(units.schema[name].dataType)
             changed[name] = F.when(hit[d.variant_id], value).otherwise(changed.get(name, F.col(name)))
     changed["injected"] = F.coalesce(reduce(lambda a, b: a | b, hit.values()), F.lit(False))
     return out.withColumns(changed)

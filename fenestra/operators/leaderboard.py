@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenestra.functions.text import DASH, format_dollar_cell, format_number_cell
+from fenestra.functions.text import DASH, fixed, format_dollar_cell, format_number_cell
 from fenestra.operators.ordered import running_totals
 from fenestra.schemas import LEADERBOARD
 
@@ -95,7 +95,7 @@ def gate(rows: DataFrame, limits: dict[str, tuple[str, float]] | None = None) ->
         fails, sign = (v > limit, ">") if op == "<=" else (v < limit, "<")
         return (F.when(F.col(name).isNull(), F.lit(f"{name}: NO DATA"))
                 .when(v.isNull(), F.lit(f"{name}: bad type"))
-                .when(fails, F.concat(F.lit(f"{name}="), F.format_string("%.3f", v), F.lit(f" {sign} {limit}"))))
+                .when(fails, F.concat(F.lit(f"{name}="), fixed(v, 3), F.lit(f" {sign} {limit}"))))
 
     checks = GATE if limits is None else limits
     absent = {n: F.lit(None).cast("double") for n in checks if n not in rows.columns}

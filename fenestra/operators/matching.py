@@ -19,15 +19,20 @@ How it is laid out for Spark:
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fenestra.operators.spec_groups import DEFAULT_BUCKET, group_units
 from fenestra.session import stage
 
+# the in-task functions travel with the plan; executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_TAU_IN = 1.0
 #: Edges of a component that one task may solve.
 MAX_LOCAL_EDGES = 4_000

@@ -9,16 +9,21 @@ new box per cell, so no pairs within a group are listed.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fenestra.functions.geometry import iou
 from fenestra.operators.spec_groups import DEFAULT_BUCKET, with_key
 from fenestra.session import stage
 
+# the in-task function travels with the plan; executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 THRESHOLD = 0.4
 #: Detections of one group that a task may walk.
 MAX_LOCAL_ROWS = 2_000
@@ -129,6 +134,23 @@ def _decide_distributed(rows: DataFrame, threshold: float) -> DataFrame:
         "rid", "parent").unionByName(alone)
 
 
+def overlap_pairs(boxes: DataFrame, scope: list[str], row_id: str, box: str,
+                  threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of boxes of one scope that overlap beyond the threshold: a_id < b_id, iou.
+
+    Only boxes in a common grid cell are compared.
+    """
+    nodes = boxes.select(F.to_json(F.struct(*scope)).alias("grp"), F.col(row_id).alias("node"),
+                         F.col(row_id).alias("seq"), *scope,
+                         F.array(F.struct(F.lit(0).alias("page"), *[F.col(box)[n].alias(n) for n in "xywh"]))
+                         .alias("boxes"))
+    cells = _cells(nodes.select("grp", "node", "seq", "boxes"), threshold)
+    other = cells.select(*_CELL, F.col("node").alias("a_id"), F.col("b").alias("a"))
+    pairs = cells.join(other, _CELL).where((F.col("a_id") < F.col("node")) & (iou(F.col("a"), F.col("b")) > threshold))
+    found = pairs.select("a_id", F.col("node").alias("b_id"), iou(F.col("a"), F.col("b")).alias("iou")).distinct()
+    return nodes.select(*scope, F.col("node").alias("a_id")).join(found, "a_id")
+
+
 def owners(units: DataFrame, scope: list[str], order: list[str], threshold: float = THRESHOLD,
            page_scoped: bool = True, bucket: float = DEFAULT_BUCKET,
            max_local_rows: int = MAX_LOCAL_ROWS) -> DataFrame:

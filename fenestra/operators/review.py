@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fenestra.functions.text import DASH
+from fenestra.functions.text import DASH, fixed
 
 
 def _general(v):
@@ -17,7 +17,7 @@ def unit_review(units: DataFrame) -> DataFrame:
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise(F.lit(DASH))
     sizes = F.transform("panels", lambda p: F.concat(_general(p["width_in"]), F.lit("×"), _general(p["height_in"])))
     return units.withColumns({
-        "size": F.array_join(sizes, ", "), "conf": F.format_string("%.2f", F.col("confidence")),
+        "size": F.array_join(sizes, ", "), "conf": fixed(F.col("confidence"), 2),
         "flags_text": listed("flags"), "gaps_text": listed("discovery_gaps")})
 
 

@@ -33,7 +33,8 @@ def read_leaderboards(spark: SparkSession, path: str, required: tuple[str, ...]
     are read together, and the few results are united by name. Only one header
     line per file reaches the driver. Quoted line breaks are kept.
     """
-    first = spark.read.option("wholetext", False).text(path, recursiveFileLookup=True).select(
+    first = spark.read.text(path, recursiveFileLookup=True).where(
+        F.col("_metadata.file_block_start") == 0).select(
         F.col("_metadata.file_path").alias("path"), F.col("value"),
         F.monotonically_increasing_id().alias("n"))
     headers = first.groupBy("path").agg(F.min_by("value", "n").alias("header"))
