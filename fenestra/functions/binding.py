@@ -14,3 +14,9 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     method is too large to compile.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def to_number(text: Column, kind: str = "double") -> Column:
+    """Cast that skips empty text: a regex group that did not take part is empty,
+    and a failing cast costs far more than this test."""
+    return bind(text, lambda t: F.when(t != "", t.try_cast(kind)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from fenestra.functions.binding import to_number
 from fenestra.functions.inches import inches_value, strip
 
 # fixed values: header and yes/no vocabularies of the two readers, v1 (strict) and v2 (lenient)
@@ -48,12 +49,12 @@ def cell_egress(cell: Column, vocab: str = "v1") -> Column:
 
 def cell_ufactor(cell: Column) -> Column:
     """First blank-separated token as a number."""
-    return F.regexp_extract(cell, r"^\s*(\S+)", 1).try_cast("double")
+    return to_number(F.regexp_extract(cell, r"^\s*(\S+)", 1))
 
 
 def cell_qty(cell: Column) -> Column:
     """Whole number, 1 when absent or unreadable."""
-    return F.coalesce(strip(cell).try_cast("int"), F.lit(1))
+    return F.coalesce(to_number(strip(cell), "int"), F.lit(1))
 
 
 def cell_size(size: Column, width: Column, height: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from fenestra.functions.binding import bind
+from fenestra.functions.binding import bind, to_number
 from fenestra.functions.inches import inches_value, strip
 
 # fixed values: accepted notations
@@ -31,11 +31,11 @@ def _size(width: Column, height: Column, count: Column, single: Column, error: s
 def decode_quad(code: Column) -> Column:
     """``2870`` -> 2'8" x 7'0"; ``N-2870`` is N units side by side."""
     def parts(text: Column) -> Column:
-        count = F.coalesce(F.regexp_extract(text, _QUAD, 1).try_cast("int"), F.lit(1))
+        count = F.coalesce(to_number(F.regexp_extract(text, _QUAD, 1), "int"), F.lit(1))
         return F.struct(F.regexp_extract(text, _QUAD, 2).alias("quad"), count.alias("n"))
 
     def sides(p: Column) -> Column:
-        digit = lambda i: F.substring(p["quad"], i, 1).try_cast("double")
+        digit = lambda i: to_number(F.substring(p["quad"], i, 1))
         return F.struct((digit(1) * 12 + digit(2)).alias("w"), (digit(3) * 12 + digit(4)).alias("h"),
                         p["n"].alias("n"))
 
@@ -47,7 +47,7 @@ def decode_quad(code: Column) -> Column:
 def decode_literal(text: Column) -> Column:
     """``2'-8" x 7'-0"`` or ``32 x 84``, fractions allowed."""
     def side(raw: Column, feet: int, inch: int, plain: int) -> Column:
-        in_feet = (F.regexp_extract(raw, _FEET, feet).try_cast("double") * 12
+        in_feet = (to_number(F.regexp_extract(raw, _FEET, feet)) * 12
                    + inches_value(F.regexp_extract(raw, _FEET, inch)))
         return F.coalesce(in_feet, inches_value(F.regexp_extract(raw, _PAIR, plain)))
 

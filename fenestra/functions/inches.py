@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from fenestra.functions.binding import bind
+from fenestra.functions.binding import bind, to_number
 
 # (?U) makes the blank and digit classes Unicode aware: text taken from documents often holds
 # no-break spaces.
@@ -12,14 +12,18 @@ _DECIMAL = r"(?U)^\s*(-?\d+(?:\.\d+)?)\s*$"
 _FRACTION = r"(?U)^\s*(?:(\d+)\s+)?(\d+)\s*/\s*(\d+)\s*$"
 
 
-def _number(c: Column, pattern: str, group: int) -> Column:
-    # an optional group that did not take part comes back as '' and casts to NULL
-    return F.regexp_extract(c, pattern, group).try_cast("double")
+# fixed value: every character that counts as white space
+_WHITE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def _group(c: Column, pattern: str, group: int) -> Column:
+    return to_number(F.regexp_extract(c, pattern, group))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only the space character."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def inches_value(c: Column) -> Column:
@@ -30,9 +34,10 @@ def inches_value(c: Column) -> Column:
     raw = c.cast("string")
     for mark in ('"', "''", "\u201d"):
         raw = F.replace(raw, F.lit(mark), F.lit(""))
-    fraction = lambda r: F.coalesce(_number(r, _FRACTION, 1), F.lit(0.0)) + F.try_divide(
-        _number(r, _FRACTION, 2), _number(r, _FRACTION, 3))
-    return bind(raw, lambda r: F.coalesce(_number(r, _DECIMAL, 1), fraction(r)))
+    fraction = lambda r: F.coalesce(_group(r, _FRACTION, 1), F.lit(0.0)) + F.try_divide(
+        _group(r, _FRACTION, 2), _group(r, _FRACTION, 3))
+    return bind(raw, lambda r: F.when(r.rlike(_DECIMAL), strip(r).try_cast("double")).when(
+        r.rlike(_FRACTION), fraction(r)))
 
 
 def parse_inches(c: Column) -> Column:

@@ -61,13 +61,17 @@ def _get(v: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", kind)
 
 
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "struct<unit_id:variant>").isNotNull()
+
+
 def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
 def response_items(parsed: Column) -> Column:
     """The list of unit objects in any accepted wrapping, as ``array<variant>``."""
-    is_object = F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull()
+    is_object = _is_object(parsed)
     wrapped = lambda name: bind(_get(parsed, name, "array<variant>"),
                                 lambda a: F.when(F.size(a) > 0, a))
     return F.coalesce(_items(parsed),
@@ -76,10 +80,14 @@ def response_items(parsed: Column) -> Column:
 
 
 def measure(v: Column, name: str) -> Column:
-    """Number, or text holding a measurement, as double."""
-    return bind(_get(v, name, "variant"), lambda x: F.when(
-        F.schema_of_variant(x) == "STRING", inches_value(F.try_variant_get(x, "$", "string"))
-    ).otherwise(F.try_variant_get(x, "$", "double")))
+    """Number, or text holding a measurement, as double.
+
+    Numbers read as text are measurements too; only what is left (exponents,
+    booleans) needs its type looked up.
+    """
+    number = lambda x: F.when(F.schema_of_variant(x) != "STRING", F.try_variant_get(x, "$", "double"))
+    return bind(_get(v, name, "variant"), lambda x: F.coalesce(
+        inches_value(F.try_variant_get(x, "$", "string")), number(x)))
 
 
 def truth_value(v: Column, name: str) -> Column:
@@ -95,19 +103,17 @@ def _present(v: Column, name: str) -> Column:
 
 
 def _panel(p: Column) -> Column:
-    return F.struct(
+    """Typed panel and ``bad``: a size is unreadable or a given number is not one."""
+    bad = lambda name: _present(p, name) & _get(p, name, "double").isNull()
+    values = F.struct(
         F.coalesce(_get(p, "role", "string"), F.lit(DEFAULT_KIND)).alias("role"),
         measure(p, "width_in").alias("width_in"), measure(p, "height_in").alias("height_in"),
         _get(p, "glass", "string").alias("glass"), _get(p, "u_factor", "double").alias("u_factor"),
         truth_value(p, "egress").alias("egress"),
         _get(p, "clear_opening_sqft", "double").alias("clear_opening_sqft"))
-
-
-def _panel_fails(p: Column) -> Column:
-    """A size is unreadable or a given number is not one."""
-    bad = lambda name: _present(p, name) & _get(p, name, "double").isNull()
-    return (measure(p, "width_in").isNull() | measure(p, "height_in").isNull()
-            | bad("u_factor") | bad("clear_opening_sqft"))
+    return bind(values, lambda v: F.struct(v.alias("panel"), (
+        v["width_in"].isNull() | v["height_in"].isNull() | bad("u_factor") | bad("clear_opening_sqft"))
+        .alias("bad")))
 
 
 def _strings(v: Column, name: str) -> Column:
@@ -128,8 +134,8 @@ def typed_unit(item: Column, position: Column) -> Column:
     panels = F.coalesce(_get(item, "panels", "array<variant>"), F.array().cast("array<variant>"))
     objects = F.filter(
         F.coalesce(_get(item, "evidence", "array<variant>"), F.array().cast("array<variant>")),
-        lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNotNull())
-    is_object = F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
+        _is_object)
+    is_object = _is_object(item)
     ro_given = F.size(F.try_variant_get(item, "$.rough_opening", "map<string,variant>")) > 0
     ro = F.struct(measure(_get(item, "rough_opening", "variant"), "w_in").alias("w_in"),
                   measure(_get(item, "rough_opening", "variant"), "h_in").alias("h_in"))
@@ -139,10 +145,10 @@ def typed_unit(item: Column, position: Column) -> Column:
                         F.lit(DEFAULT_CONFIDENCE)).otherwise(_get(item, "confidence", "double"))
     missing = lambda c: c.isNull() | F.coalesce(F.is_variant_null(c), F.lit(False))
 
-    def build(panel_items: Column) -> Column:
+    def build(read: Column) -> Column:
         reject = (F.when(~F.coalesce(is_object, F.lit(False)), "not an object")
-                  .when(F.size(panel_items) == 0, "no panels")
-                  .when(F.exists(panel_items, _panel_fails), "unreadable panel")
+                  .when(F.size(read) == 0, "no panels")
+                  .when(F.exists(read, lambda r: r["bad"]), "unreadable panel")
                   .when(qty.isNull(), "unreadable qty")
                   .when(confidence.isNull(), "unreadable confidence")
                   .when(F.coalesce(ro_given, F.lit(False))
@@ -153,7 +159,7 @@ def typed_unit(item: Column, position: Column) -> Column:
             _get(item, "kind", "string"))
         return F.struct(
             unit_id.alias("unit_id"), kind.alias("kind"),
-            F.transform(panel_items, _panel).alias("panels"), qty.alias("qty"),
+            F.transform(read, lambda r: r["panel"]).alias("panels"), qty.alias("qty"),
             _strings(item, "source_marks").alias("source_marks"),
             _get(item, "color_interior", "string").alias("color_interior"),
             _get(item, "color_exterior", "string").alias("color_exterior"),
@@ -162,4 +168,4 @@ def typed_unit(item: Column, position: Column) -> Column:
             _strings(item, "flags").alias("flags"),
             _strings(item, "discovery_gaps").alias("discovery_gaps"), reject.alias("reject"))
 
-    return bind(panels, build)
+    return bind(F.transform(panels, _panel), build)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from fenestra.functions.binding import to_number
 from fenestra.functions.inches import mixed_fraction
 
 # fixed values: page vocabulary and field patterns
@@ -85,7 +86,7 @@ def glass_kind(text: Column) -> Column:
 
 def money(text: Column) -> Column:
     """``'1,234.50'`` -> decimal."""
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    return to_number(F.replace(text, F.lit(","), F.lit("")), "decimal(18,2)")
 
 
 def price_blocks(text: Column) -> Column:
@@ -93,7 +94,7 @@ def price_blocks(text: Column) -> Column:
     def fields(block: Column) -> Column:
         part = lambda i: F.regexp_extract(block, PRICE_BLOCK, i)
         return F.struct(part(1).alias("item"), money(part(3)).alias("unit_price"),
-                        part(4).try_cast("int").alias("qty"), money(part(5)).alias("line_total"))
+                        to_number(part(4), "int").alias("qty"), money(part(5)).alias("line_total"))
     return F.transform(F.regexp_extract_all(text, F.lit(PRICE_BLOCK), F.lit(0)), fields)
 
 

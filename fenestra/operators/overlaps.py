@@ -77,7 +77,7 @@ def _cells(nodes: DataFrame, threshold: float) -> DataFrame:
     most four cells per level, however large it is.
     """
     base = max(2.0, float(np.ceil(1 / threshold)))
-    level = lambda side: F.floor(F.log(F.lit(base), side)).cast("bigint")
+    level = lambda side: F.floor(F.log(base, side)).cast("bigint")
     flat = nodes.select("grp", "node", "seq", F.explode("boxes").alias("b")).where(
         (F.col("b.w") > 0) & (F.col("b.h") > 0))
     out = flat.withColumn("lw", F.explode(F.sequence(level(F.col("b.w")), level(F.col("b.w")) + 1))).withColumn(

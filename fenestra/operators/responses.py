@@ -23,7 +23,9 @@ def parse_responses(responses: DataFrame, text: str = "raw_text") -> DataFrame:
 def accepted(parsed: DataFrame) -> DataFrame:
     """Flatten usable items to unit columns."""
     keep = [c for c in parsed.columns if c != "unit"]
-    return parsed.where(F.col("unit.reject").isNull()).select(*keep, "unit.*").drop("reject")
+    # a filter would be pushed below the parsing and repeat it; the generator does both at once
+    good = F.filter(F.array("unit"), lambda u: u["reject"].isNull())
+    return parsed.select(*keep, F.inline(good)).drop("reject")
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

@@ -181,7 +181,7 @@ sc AS (
       WHEN n = 5 THEN CASE WHEN abs(30 - qty) > 1 THEN 1 ELSE 0 END ELSE 1 END AS found FROM x),
 m AS (
   SELECT project, variant_id, count(*) FILTER (hit AND found = 1) + CASE WHEN variant_id = 'v04' THEN 1 ELSE 0 END AS caught,
-    count(*) FILTER (hit AND found = 0) AS missed FROM sc GROUP BY ALL),
+    count(*) FILTER (hit AND found = 0) AS missed FROM sc GROUP BY project, variant_id),
 scored AS (
   SELECT project, variant_id, caught, missed, 0 AS false_flags, caught / (caught + missed)::DOUBLE AS recall,
     caught / greatest(1, caught)::DOUBLE AS precision FROM m WHERE caught + missed > 0)"""

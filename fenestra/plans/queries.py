@@ -57,7 +57,7 @@ def parse_inches_codes(spark, sf):
     literal = F.concat_ws("", (1 + s % 9).cast("string"), F.lit("'-"), (k % 10).cast("string"), F.lit('" x '),
                           (1 + k % 9).cast("string"), F.lit("'-"), (s % 10).cast("string"), F.lit(' 1/2"'))
     profile = F.when(F.col("p_type") == "PROMO", "other").otherwise("weather_shield")
-    d = si.table(spark, sf, "part").select(
+    d = si.spread_table(spark, sf, "part").select(
         k, inches.parse_inches(measure).alias("m"), codes.decode(code, profile).alias("c"),
         codes.decode(literal, profile).alias("l"))
     return d.select("p_partkey", F.col("m.value").alias("inches"), F.col("m.error").isNotNull().alias("bad_inches"),
@@ -221,7 +221,7 @@ def gap_recall(spark, sf):
 @query
 def flag_vs_label(spark, sf):
     """Recall and precision of a text rule against the labels, per source."""
-    docs = si.table(spark, sf, "documents").select("doc_id", "source", F.col("text").rlike(r"[0-9@]").alias("flagged"))
+    docs = si.spread_table(spark, sf, "documents").select("doc_id", "source", F.col("text").rlike(r"[0-9@]").alias("flagged"))
     labels = si.table(spark, sf, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0))
                                                   .alias("injected"))
     return metrics.flag_rates(docs.join(labels, "doc_id"), ["source"]).select(
