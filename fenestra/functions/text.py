@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from fenestra.functions.binding import to_number
+from fenestra.functions.binding import bind, to_number
 from fenestra.functions.inches import mixed_fraction
 
 # fixed values: page vocabulary and field patterns
@@ -56,20 +56,21 @@ def occurrences(text: Column, word: str) -> Column:
     return (removed / F.lit(len(word))).cast("bigint")
 
 
-def level_hits(text: Column) -> Column:
-    return reduce(lambda a, b: a + b, [occurrences(F.upper(text), w) for w in LEVEL_WORDS])
-
-
-def elevation_score(text: Column) -> Column:
-    """Keyword density that ranks elevation sheets: words plus ten per level datum."""
-    words = reduce(lambda a, b: a + b, [occurrences(F.upper(text), w) for w in ELEVATION_WORDS])
-    return words + 10 * level_hits(text)
+def elevation_counts(text: Column) -> Column:
+    """``struct<level_hits, score>`` of a page: the level datums, and the keyword
+    density that ranks elevation sheets (all words plus ten per level datum)."""
+    add = lambda up, words: reduce(lambda a, b: a + b, [occurrences(up, w) for w in words])
+    others = tuple(w for w in ELEVATION_WORDS if w not in LEVEL_WORDS)
+    counts = lambda up: F.struct(add(up, LEVEL_WORDS).alias("levels"), add(up, others).alias("others"))
+    return bind(bind(F.upper(text), counts), lambda c: F.struct(
+        c["levels"].alias("level_hits"), (11 * c["levels"] + c["others"]).alias("score")))
 
 
 def dimension_pair(text: Column) -> Column:
     """First ``A x B`` in the text as ``struct<w, h>`` of doubles."""
-    side = lambda i: mixed_fraction(F.nullif(F.regexp_extract(text, DIMENSION_PAIR, i), F.lit("")))
-    return F.struct(side(1).alias("w"), side(2).alias("h"))
+    side = lambda t, i: bind(F.regexp_extract(t, DIMENSION_PAIR, i),
+                             lambda part: F.when(part != "", mixed_fraction(part)))
+    return bind(text, lambda t: F.struct(side(t, 1).alias("w"), side(t, 2).alias("h")))
 
 
 def field_dimensions(text: Column, field: str) -> Column:
@@ -91,11 +92,12 @@ def money(text: Column) -> Column:
 
 def price_blocks(text: Column) -> Column:
     """Every price block of a page, in order, as an array of structs."""
-    def fields(block: Column) -> Column:
-        part = lambda i: F.regexp_extract(block, PRICE_BLOCK, i)
-        return F.struct(part(1).alias("item"), money(part(3)).alias("unit_price"),
-                        to_number(part(4), "int").alias("qty"), money(part(5)).alias("line_total"))
-    return F.transform(F.regexp_extract_all(text, F.lit(PRICE_BLOCK), F.lit(0)), fields)
+    def fields(lines: Column) -> Column:
+        # a block that matched has one figure per line, with single dashes between
+        return F.struct(lines[0].alias("item"), money(lines[3]).alias("unit_price"),
+                        to_number(lines[5], "int").alias("qty"), money(lines[6]).alias("line_total"))
+    return F.transform(F.regexp_extract_all(text, F.lit(PRICE_BLOCK), F.lit(0)),
+                       lambda block: bind(F.split(block, "\n"), fields))
 
 
 def safe_id(c: Column) -> Column:

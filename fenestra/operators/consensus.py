@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from fenestra.operators import rules
 from fenestra.operators.ordered import row_numbers
 from fenestra.operators.spec_groups import DEFAULT_BUCKET, with_key
+from fenestra.session import stage
 
 # fixed values: sources in reading order; the first three decide the quantity
 SOURCES = ("schedule", "elevation", "plan", "notes")
@@ -52,7 +53,8 @@ def consensus(units: DataFrame, scope: list[str], order: list[str], bucket: floa
 
 def with_unit_ids(groups: DataFrame, scope: list[str]) -> DataFrame:
     """Joined marks as id; groups without a mark are named by their position, ``F1``, ``F2``, ..."""
-    numbered = row_numbers(groups, scope, [F.col("_seen"), F.col("kind"), F.col("key_panels")], "_n")
+    # counted and numbered: staged, so that the sources are read once
+    numbered = row_numbers(stage(groups, "consensus"), scope, [F.col("_seen"), F.col("kind"), F.col("key_panels")], "_n")
     joined = F.nullif(F.array_join("source_marks", "|"), F.lit(""))
     return numbered.withColumn("unit_id", F.coalesce(
         joined, F.concat(F.lit("F"), F.col("_n").cast("string")))).drop("_n", "_seen")

@@ -8,8 +8,8 @@ How it is laid out for Spark:
 
 * Groups with equal sizes are interchangeable, so they become one *node* with a
   supply (predicted side) or a demand (true side). Quantities were summed before.
-* Candidate edges come from an equi-join on grid cells of the panel sizes, never
-  from all pairs of a block.
+* Candidate edges come from an equi-join on grid cells of the sizes, never from all
+  pairs of a block.
 * An edge whose two nodes have no other edge is settled at once.
 * The rest falls into components separated by gaps in the occupied cells. Small
   ones are solved inside tasks, each task streaming over many components. Large
@@ -38,13 +38,14 @@ DEFAULT_TAU_IN = 1.0
 MAX_LOCAL_EDGES = 4_000
 
 _EDGE = ["block", "p", "t", "d"]
+_FLOW = "comp string, p string, t string, flow bigint"
 
 
 def _block(scope: list[str]) -> Column:
     """Groups can only match within a block: same scope, kind and panel roles."""
     roles = F.concat_ws("+", F.transform(F.col("key_panels"),
                                          lambda p: F.coalesce(p["role"], F.lit("None"))))
-    return F.to_json(F.struct(*[F.col(c) for c in scope], F.col("kind"), roles.alias("roles")))
+    return F.struct(*[F.col(c) for c in scope], F.col("kind"), roles.alias("roles"))
 
 
 def _variants(groups: DataFrame, scope: list[str], bucket: float) -> DataFrame:
@@ -66,32 +67,33 @@ def _at(dims: Column, i: int) -> Column:
 
 
 def _edges(pred: DataFrame, true: DataFrame, tau_in: float, bucket: float) -> DataFrame:
-    """Node pairs within tolerance, found through neighbouring grid cells.
+    """Node pairs within tolerance, found through shared grid cells.
 
-    The tolerance is the cell size. One panel is gridded on its two sizes, more
-    panels on the sizes of the first and the last.
+    The grid is laid over the sums of the widths and of the heights, which cannot
+    differ by more than the tolerance, and for several panels over the width of
+    the last one. A cell is four tolerances wide; the true side is entered in the
+    one or two cells per axis that it can reach.
     """
     panels = lambda dims: (F.size(dims) / 2).cast("int")
     limit = lambda dims: F.floor(panels(dims) * F.lit(tau_in / bucket)).cast("bigint")
-    size = lambda dims: F.greatest(limit(dims), F.lit(1))
-    last = lambda dims, i: F.when(panels(dims) > 1, F.get(dims, F.size(dims) - (2 - i))).otherwise(F.lit(0))
-    cell = lambda dims: [F.floor(v / size(dims)).cast("bigint") for v in (
-        _at(dims, 0), _at(dims, 1), last(dims, 0), last(dims, 1))]
-    reach = F.when(limit(F.col("dims")) > 0, 1).otherwise(0).cast("bigint")
+    total = lambda dims, odd: F.aggregate(F.filter(dims, lambda v, i: i % 2 == odd), F.lit(0).cast("bigint"),
+                                          lambda acc, v: acc + v)
+    last = lambda dims: F.when(panels(dims) > 1, F.get(dims, F.size(dims) - 2)).otherwise(F.lit(0))
+    axes = lambda dims: [total(dims, 0), total(dims, 1), last(dims)]
+    cell = lambda v, reach: F.floor(v / F.greatest(4 * reach, F.lit(1))).cast("bigint")
 
     left = pred.select("block", F.col("node").alias("p"), F.col("dims").alias("p_dims"),
                        F.col("units").alias("supply"),
-                       *[c.alias(f"c{i}") for i, c in enumerate(cell(F.col("dims")))])
+                       *[cell(v, limit(F.col("dims"))).alias(f"c{i}") for i, v in enumerate(axes(F.col("dims")))])
     right = true.select("block", F.col("node").alias("t"), F.col("dims").alias("t_dims"),
-                        F.col("units").alias("demand"), reach.alias("_reach"),
-                        F.when(panels(F.col("dims")) > 1, reach).otherwise(F.lit(0)).alias("_reach2"),
-                        *[c.alias(f"c{i}") for i, c in enumerate(cell(F.col("dims")))])
-    for i, r in enumerate(("_reach", "_reach", "_reach2", "_reach2")):
-        right = right.withColumn(f"c{i}", F.explode(F.sequence(
-            F.col(f"c{i}") - F.col(r), F.col(f"c{i}") + F.col(r))))
+                        F.col("units").alias("demand"), limit(F.col("dims")).alias("_reach"),
+                        *[v.alias(f"c{i}") for i, v in enumerate(axes(F.col("dims")))])
+    for i in range(3):
+        v, reach = F.col(f"c{i}"), F.col("_reach")
+        right = right.withColumn(f"c{i}", F.explode(F.sequence(cell(v - reach, reach), cell(v + reach, reach))))
     distance = F.aggregate(F.zip_with("p_dims", "t_dims", lambda a, b: F.abs(a - b)),
                            F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    joined = left.join(right.drop("_reach", "_reach2"), ["block", "c0", "c1", "c2", "c3"])
+    joined = left.join(right.drop("_reach"), ["block", "c0", "c1", "c2"])
     return joined.withColumn("d", distance).where(F.col("d") <= limit(F.col("p_dims"))).select(
         "block", "p", "t", "p_dims", "t_dims", "supply", "demand", "d")
 
@@ -108,7 +110,9 @@ def _islands(edges: DataFrame, tau_in: float, bucket: float) -> DataFrame:
     by the first width, then by the first height inside each width island. Only
     distinct cells are ordered, so a crowded block costs no more than its range.
     """
-    edges = edges.withColumn("comp", F.col("block"))
+    # microseconds kept: the text of a block must be as distinct as the block
+    name = F.to_json(F.struct("block"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    edges = edges.withColumn("comp", name)
     for i in (0, 1):
         size = lambda dims: F.greatest(F.floor(F.size(dims) / 2 * F.lit(tau_in / bucket)), F.lit(1))
         cell = lambda dims: F.floor(_at(dims, i) / size(dims)).cast("bigint")
@@ -177,36 +181,30 @@ def _assign(edges: list[tuple], supply: dict, demand: dict) -> dict:
 def _solve_streaming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive sorted by component; one component is held at a time."""
     pending: list[tuple] = []
-    current = None
 
-    def solve(rows: list[tuple]) -> list[tuple]:
-        supply = {r[2]: r[5] for r in rows}
-        demand = {r[3]: r[6] for r in rows}
-        flow = _assign([(r[2], r[3], r[4]) for r in rows], supply, demand)
-        cost = {(r[2], r[3]): r[4] for r in rows}
-        return [(rows[0][1], p, t, cost[(p, t)], x) for (p, t), x in sorted(flow.items())]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=_EDGE + ["flow"])
+    def solve() -> list[tuple]:
+        supply = {p: s for _, p, _, _, s, _ in pending}
+        demand = {t: d for _, _, t, _, _, d in pending}
+        flow = _assign([(p, t, d) for _, p, t, d, _, _ in pending], supply, demand)
+        return [(pending[0][0], p, t, x) for (p, t), x in sorted(flow.items())]
 
+    frame = lambda rows: pd.DataFrame(rows, columns=["comp", "p", "t", "flow"])
     for batch in batches:
         done: list[tuple] = []
         for row in batch.itertuples(index=False, name=None):
-            if row[0] != current:
-                if pending:
-                    done.extend(solve(pending))
-                current, pending = row[0], []
+            if pending and row[0] != pending[0][0]:
+                done.extend(solve())
+                pending = []
             pending.append(row)
         yield frame(done)
     if pending:
-        yield frame(solve(pending))
+        yield frame(solve())
 
 
 def _solve_local(edges: DataFrame) -> DataFrame:
-    rows = edges.select("comp", "block", "p", "t", "d", "supply", "demand")
-    sorted_rows = rows.repartition("comp").sortWithinPartitions("comp", "p", "t")
-    return sorted_rows.mapInPandas(
-        _solve_streaming, "block string, p string, t string, d bigint, flow bigint")
+    rows = edges.select("comp", "p", "t", "d", "supply", "demand").repartition("comp")
+    flows = rows.sortWithinPartitions("comp", "p", "t").mapInPandas(_solve_streaming, _FLOW)
+    return edges.select("comp", *_EDGE).join(flows, ["comp", "p", "t"]).select(*_EDGE, "flow")
 
 
 def _shortest(edges: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -319,7 +317,7 @@ def assign_nodes(edges: DataFrame, tau_in: float = DEFAULT_TAU_IN, bucket: float
     alone = (F.col("p_deg") == 1) & (F.col("t_deg") == 1)
     settled = edges.where(alone).select(
         *_EDGE, F.least("supply", "demand").cast("bigint").alias("flow"))
-    rest = _islands(edges.where(~alone), tau_in, bucket)
+    rest = stage(_islands(edges.where(~alone), tau_in, bucket), "components")
     sizes = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n_edges"))
     if sizes.where(F.col("n_edges") > max_local_edges).isEmpty():
         return settled.unionByName(_solve_local(rest))

@@ -45,9 +45,13 @@ def _join_offsets(pieces: DataFrame, offsets: DataFrame, keys: list[str]) -> Dat
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], name: str,
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Add the 1-based position of each row in its group."""
-    if not has_large_group(df, keys, max_group_rows):
+                max_group_rows: int = MAX_GROUP_ROWS, bound_by: DataFrame | None = None) -> DataFrame:
+    """Add the 1-based position of each row in its group.
+
+    ``bound_by`` is a table with at least as many rows per group that is cheaper
+    to count than ``df``.
+    """
+    if not has_large_group(df if bound_by is None else bound_by, keys, max_group_rows):
         return df.withColumn(
             name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     pieces = _pieces(df, keys, order)

@@ -49,20 +49,23 @@ def _walker(threshold: float):
         return ((share > threshold) & (a[..., 0] == b[..., 0])).any(axis=0)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept, owners = None, [], []
+        group, kept, owners, n = None, np.empty((64, 5)), [], 0
         for batch in batches:
             parents = []
             for g, rid, boxes in zip(batch["grp"], batch["rid"], batch["flat"]):
                 if g != group:
-                    group, kept, owners = g, [], []
+                    group, owners, n = g, [], 0
                 mine = np.asarray(boxes, dtype=float).reshape(-1, 5)
                 parent = rid
-                if len(mine) and kept:
-                    hit = overlaps(mine, np.concatenate(kept))
+                if len(mine) and n:
+                    hit = overlaps(mine, kept[:n])
                     if hit.any():
                         parent = owners[int(np.argmax(hit))]
                 if parent == rid and len(mine):
-                    kept.append(mine)
+                    while n + len(mine) > len(kept):
+                        kept = np.concatenate([kept, np.empty_like(kept)])
+                    kept[n:n + len(mine)] = mine
+                    n += len(mine)
                     owners.extend([rid] * len(mine))
                 parents.append(parent)
             yield pd.DataFrame({"rid": batch["rid"], "parent": parents})

@@ -100,6 +100,7 @@ def classify(signals: DataFrame) -> DataFrame:
 
 def elevation_pages(pages: DataFrame, k: int = 2) -> DataFrame:
     """The ``k`` densest elevation sheets per document, ranked."""
-    scored = pages.withColumn("level_hits", tx.level_hits(F.col("text"))).where(
-        F.col("level_hits") >= MIN_LEVEL_HITS).withColumn("score", tx.elevation_score(F.col("text")))
+    # counted and filtered in one generator: a filter alone would be pushed down and count twice
+    dense = F.filter(F.array(tx.elevation_counts(F.col("text"))), lambda c: c["level_hits"] >= MIN_LEVEL_HITS)
+    scored = pages.select(*[c for c in pages.columns if c != "text"], F.inline(dense))
     return top_rows(scored, ["doc_id"], [F.col("score").desc(), F.col("page_no").asc()], k)

@@ -9,34 +9,38 @@ from fenestra.functions.codes import decode
 from fenestra.functions.inches import strip
 from fenestra.operators.ordered import row_numbers
 
+_TABLE = ["doc_id", "page_no", "table_no"]
+
 # fixed value: confidence of a unit read from a vector table
 TABLE_CONFIDENCE = 0.95
 
 
 def table_headers(cells: DataFrame, vocab: str = "v1") -> DataFrame:
-    """Heading -> column position of each schedule table; the last of equal headings counts.
+    """Heading -> column position map of each schedule table; the last of equal headings counts.
 
     ``cells(doc_id, page_no, table_no, row_no, col_no, text)``, row 0 holds the headings.
     """
-    keys = ["doc_id", "page_no", "table_no"]
     top = cells.where("row_no = 0").withColumn("heading", ce.heading(F.col("text")))
-    return top.groupBy(*keys, "heading").agg(F.max("col_no").alias("col_no"))
+    last = top.groupBy(*_TABLE, "heading").agg(F.max("col_no").alias("col_no"))
+    # as many entries as the table has columns
+    maps = last.groupBy(*_TABLE).agg(F.map_from_entries(F.collect_list(F.struct("heading", "col_no"))).alias("columns"))
+    return maps.where(ce.is_schedule_header(F.map_keys("columns"), vocab))
 
 
 def table_rows(cells: DataFrame, vocab: str = "v1") -> DataFrame:
-    """Rows of schedule tables as heading -> text maps, with the text of column 0."""
-    keys = ["doc_id", "page_no", "table_no"]
-    headers = table_headers(cells, vocab)
-    schedules = headers.groupBy(*keys).agg(
-        ce.is_schedule_header(F.collect_set("heading"), vocab).alias("_ok"),
-        F.max(F.col("heading") == "mark").alias("has_mark")).where("_ok").drop("_ok")
+    """Rows of schedule tables as heading -> text maps, with the text of column 0.
+
+    Cells are gathered per row, not per table, so a long table is spread over
+    tasks; headers are joined once per row.
+    """
     body = cells.where("row_no > 0").withColumn("text", strip(F.coalesce("text", F.lit(""))))
-    named = body.join(headers, [*keys, "col_no"], "left")
-    # one row of a table holds as many cells as the table has columns
-    rows = named.groupBy(*keys, "row_no").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("heading").isNotNull(), F.struct("heading", "text"))))
-        .alias("cells"), F.max(F.when(F.col("col_no") == 0, F.col("text"))).alias("first_cell"))
-    return rows.join(schedules, keys)
+    rows = body.groupBy(*_TABLE, "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("_by_column"))
+    named = rows.join(table_headers(cells, vocab), _TABLE)
+    return named.select(
+        *_TABLE, "row_no", F.transform_values("columns", lambda h, c: F.try_element_at("_by_column", c)).alias("cells"),
+        F.try_element_at("_by_column", F.lit(0)).alias("first_cell"),
+        F.map_contains_key("columns", F.lit("mark")).alias("has_mark"))
 
 
 def table_units(cells: DataFrame, vocab: str = "v1") -> DataFrame:
@@ -49,7 +53,8 @@ def table_units(cells: DataFrame, vocab: str = "v1") -> DataFrame:
     size = ce.cell_size(cell(*ce.SIZE_HEADERS[vocab]), cell("width"), cell("height"))
     rows = table_rows(cells, vocab).withColumn("_size", size).where(
         F.col("_size.w").isNotNull() & F.col("_size.h").isNotNull())
-    numbered = row_numbers(rows, ["doc_id"], [F.col(c) for c in ("page_no", "table_no", "row_no")], "_n")
+    numbered = row_numbers(rows, ["doc_id"], [F.col(c) for c in ("page_no", "table_no", "row_no")], "_n",
+                           bound_by=cells.where("col_no = 0 and row_no > 0"))
     fallback = F.concat(F.lit("R"), (F.col("page_no") - 1).cast("string"), F.lit("-"),
                         (F.col("_n") - 1).cast("string"))
     given = F.try_element_at("cells", F.lit("mark"))

@@ -139,8 +139,7 @@ def _part_groups(spark, sf, predicted: bool):
 @query
 def tolerance_match_edges(spark, sf):
     edges = matching.candidate_edges(_part_groups(spark, sf, True), _part_groups(spark, sf, False), ["project"])
-    return edges.select(F.get_json_object("block", "$.project").alias("project"),
-                        F.get_json_object("block", "$.kind").alias("kind"),
+    return edges.select(F.col("block.project").alias("project"), F.col("block.kind").alias("kind"),
                         "p", "t", "d", "supply", "demand")
 
 

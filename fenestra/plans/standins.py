@@ -226,7 +226,7 @@ def coarse_responses(pages: DataFrame) -> DataFrame:
 def schedule_cells(spark: SparkSession, sf: str) -> DataFrame:
     """A schedule table per order: a heading row and one row per order line, cell by cell."""
     lines = row_numbers(lines_with_parts(spark, sf), ["l_orderkey"], [
-        F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")], "row_no")
+        F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")], "row_no", bound_by=table(spark, sf, "lineitem"))
     size = F.concat((20 + F.col("p_size")).cast("string"), F.lit(" "), (1 + F.col("l_partkey") % 15).cast("string"),
                     F.lit("/16 X "), (40 + F.col("p_size")).cast("string"))
     glass = F.when(F.col("l_returnflag") == "A", "ANN.").when(F.col("l_returnflag") == "R", "Tempered").otherwise("")

@@ -37,7 +37,8 @@ def numbered_regions(regions: DataFrame, pages: DataFrame) -> DataFrame:
     sized = regions.join(pages.select(*_PAGE, "width_px", "height_px"), _PAGE)
     kept = sized.where(ge.is_region(F.col("w"), F.col("h"), F.col("width_px"), F.col("height_px")))
     order = [F.floor(F.col("y") / 50).asc(), F.col("x").asc(), F.col("y").asc(), F.col("w").asc(), F.col("h").asc()]
-    return row_numbers(kept.drop("width_px", "height_px"), _PAGE, order, "region_no")
+    return row_numbers(kept.drop("width_px", "height_px"), _PAGE, order, "region_no",
+                       bound_by=regions)
 
 
 def page_tiles(pages: DataFrame, tile: int = ge.TILE_PX, overlap: float = ge.TILE_OVERLAP) -> DataFrame:

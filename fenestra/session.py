@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of every column call cost more than building the plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
