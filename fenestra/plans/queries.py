@@ -12,7 +12,7 @@ from fenestra.operators import (comparison, consensus as cons, discovery, inject
 from fenestra.operators.ordered import row_numbers
 from fenestra.operators.responses import accepted, anchor_units, parse_responses, price_responses, rejected
 from fenestra.plans import branches, standins as si, strategies
-from fenestra.session import staged_path
+from fenestra.session import stage, staged_path
 from fenestra.sources import inventory as inv, leaderboard_csv as lcsv, units as us
 from fenestra.streaming import incremental, ingest
 
@@ -243,7 +243,7 @@ def reconcile_lines(spark, sf):
 
 @query
 def offer_block_parse(spark, sf):
-    blocks, _ = branches.offer_branch(si.offer_pages(spark, sf))
+    blocks, _ = branches.offer_branch(stage(si.offer_pages(spark, sf), "pages"))
     double = lambda c: F.col(c).cast("double").alias(c)
     return blocks.select("doc_id", "page_no", "mark", "frame_w", "frame_h", "ro_w", "ro_h",
                          F.col("qty").cast("bigint").alias("qty"), "glass", "egress", double("unit_price"),
@@ -252,7 +252,7 @@ def offer_block_parse(spark, sf):
 
 @query
 def offer_line_check(spark, sf):
-    _, lines = branches.offer_branch(si.offer_pages(spark, sf))
+    _, lines = branches.offer_branch(stage(si.offer_pages(spark, sf), "pages"))
     out = offers.reconcile(lines, ["doc_id"])
     return out.withColumn("coverage", F.round("coverage", 6))
 
