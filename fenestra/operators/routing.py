@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fenestra.functions import text as tx
-from fenestra.operators.ordered import top_rows
+from fenestra.operators.ordered import row_numbers, top_rows
+from fenestra.session import stage
 
 # fixed values: signal limits and branch names
 TEXT_PAGE_CHARS = 40
@@ -13,6 +16,7 @@ SCHEDULE_PAGE_CHARS = 200
 RASTER_FRACTION = 0.15
 RASTER_CHARS = 120
 MIN_LEVEL_HITS = 2
+_BLANKS = r"\s*"
 BRANCHES = {1: "vector-table", 2: "raster-table", 3: "elevations", 4: "handwritten"}
 
 
@@ -30,25 +34,40 @@ def sample_pages(pages: DataFrame, k: int = 3) -> DataFrame:
     return pages.join(wanted, ["doc_id", "page_no"], "left_semi")
 
 
-def _profile_across_pages(pages: DataFrame) -> DataFrame:
-    """Profile names split by a page break: the words end one page and start the next one with text.
+def _splits() -> list[tuple[str, str, str]]:
+    """(profile, end of one page, start of the next) for every place a page break can cut a name."""
+    return [(name, rf"(?i){_BLANKS.join(words[:i])}\s*$", rf"(?i)^\s*{_BLANKS.join(words[i:])}")
+            for name, words in tx.PROFILE_PATTERNS.items() for i in range(1, len(words))]
+
+
+def page_signals(pages: DataFrame) -> DataFrame:
+    """Light per-page figures; the only step that reads the text."""
+    body, chars = F.coalesce("text", F.lit("")), tx.text_length(F.col("text"))
+    cut = {f"_{side}{i}": body.rlike(pattern) for i, (_, *patterns) in enumerate(_splits())
+           for side, pattern in zip(("ends", "starts"), patterns)}
+    return pages.select(
+        "doc_id", "page_no", chars.alias("chars"),
+        (tx.has_unit_table(body) & (chars > SCHEDULE_PAGE_CHARS)).alias("scheduled"),
+        tx.detect_profile(body).alias("profile"), *[c.alias(n) for n, c in cut.items()])
+
+
+def _profile_across_pages(signals: DataFrame) -> DataFrame:
+    """Profile names cut by a page break: one page with text ends with the first words, the next one
+    with text starts with the rest.
 
-    Only pages that end with the first word reach the join.
+    Only documents with such an ending are numbered; neighbours meet in an equi-join.
     """
-    flags = pages.select("doc_id", "page_no", "text")
-    found = None
-    for name, words in tx.PROFILE_PATTERNS.items():
-        for cut in range(1, len(words)):
-            head, tail = r"\s*".join(words[:cut]), r"\s*".join(words[cut:])
-            ends = flags.where(F.col("text").rlike(rf"(?i){head}\s*$")).select(
-                "doc_id", F.col("page_no").alias("_p"))
-            later = flags.where(tx.text_length(F.col("text")) > 0).select(
-                "doc_id", "page_no", F.col("text").rlike(rf"(?i)^\s*{tail}").alias("_starts"))
-            hit = ends.join(later, "doc_id").where(F.col("page_no") > F.col("_p")).groupBy(
-                "doc_id", "_p").agg(F.min_by("_starts", "page_no").alias("_starts")).where(
-                "_starts").select("doc_id", F.lit(name).alias("_split_profile")).distinct()
-            found = hit if found is None else found.unionByName(hit)
-    return found.groupBy("doc_id").agg(F.min("_split_profile").alias("_split_profile"))
+    found = []
+    filled = signals.where("chars > 0")
+    for i, (name, *_) in enumerate(_splits()):
+        docs = filled.where(f"_ends{i}").select("doc_id").distinct()
+        numbered = row_numbers(filled.join(docs, "doc_id", "left_semi"), ["doc_id"], [F.col("page_no")], "n",
+                               bound_by=signals)
+        after = numbered.where(f"_starts{i}").select("doc_id", (F.col("n") - 1).alias("n"))
+        found.append(numbered.where(f"_ends{i}").join(after, ["doc_id", "n"], "left_semi").select(
+            "doc_id", F.lit(name).alias("_split_profile")))
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(
+        F.min("_split_profile").alias("_split_profile"))
 
 
 def route_signals(pages: DataFrame, votes: DataFrame | None = None) -> DataFrame:
@@ -58,16 +77,14 @@ def route_signals(pages: DataFrame, votes: DataFrame | None = None) -> DataFrame
     sampled pages of near text-free documents count. Without votes such a
     document counts as handwritten.
     """
-    chars = tx.text_length(F.col("text"))
-    body = F.coalesce("text", F.lit(""))
-    scheduled = tx.has_unit_table(body) & (chars > SCHEDULE_PAGE_CHARS)
-    docs = pages.groupBy("doc_id").agg(
+    signals = stage(page_signals(pages), "signals")
+    docs = signals.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"),
-        (F.count_if(chars > TEXT_PAGE_CHARS) / F.count(F.lit(1))).alias("vector_page_frac"),
-        F.max(chars).alias("max_chars"),
-        F.min(F.when(scheduled, F.col("page_no"))).alias("_schedule_page"),
-        F.max(tx.detect_profile(body)).alias("_profile"))
-    docs = docs.join(_profile_across_pages(pages), "doc_id", "left").withColumn(
+        (F.count_if(F.col("chars") > TEXT_PAGE_CHARS) / F.count(F.lit(1))).alias("vector_page_frac"),
+        F.max("chars").alias("max_chars"),
+        F.min(F.when(F.col("scheduled"), F.col("page_no"))).alias("_schedule_page"),
+        F.max("profile").alias("_profile"))
+    docs = docs.join(_profile_across_pages(signals), "doc_id", "left").withColumn(
         "notation_profile", F.coalesce("_profile", "_split_profile"))
     raster = (F.col("_schedule_page").isNull() & (F.col("vector_page_frac") < RASTER_FRACTION)
               & (F.col("max_chars") < RASTER_CHARS))

@@ -57,7 +57,7 @@ def staged_path(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small table enough partitions for costly row work.
+    """Give a small scanned table enough partitions for costly row work.
 
     Tables with at least one input split per core, that is all large ones, are
     left as they are.

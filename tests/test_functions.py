@@ -1,6 +1,7 @@
 """Literal cases of the column functions."""
 
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,11 @@ def test_table_cells(spark):
 def test_header_detection(spark, vocab, first, expected):
     heads = F.array(*[cells.heading(F.lit(h)) for h in first])
     assert one(spark, cells.is_schedule_header(heads, vocab)) is expected
+
+
+def test_offer_numbers(spark):
+    assert many(spark, inches.mixed_fraction, ["36 3/16", '72"', "1 1/0", "x"]) == [36.1875, 72.0, None, None]
+    assert many(spark, tx.money, ["1,234.50", "", "x"])[0] == Decimal("1234.50")
+    pair = many(spark, tx.dimension_pair, ['72 1/2" x 88 1/2', "no"])
+    assert tuple(pair[0]) == (72.5, 88.5) and tuple(pair[1]) == (None, None)
+    assert one(spark, tx.clip_text(F.lit("abcdef"), 3)) == "abc"
