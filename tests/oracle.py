@@ -30,9 +30,8 @@ def rows_of(columns, rows):
         (tuple(_plain(r[i]) for i in order) for r in rows), key=lambda r: [(x is not None, str(x)) for x in r])
 
 
-def compare(spark, con, sf, fn, sql) -> str:
+def compare(con, df, sql) -> str:
     """'' when equal, else a description of the first difference."""
-    df = fn(spark, sf)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
