@@ -212,8 +212,8 @@ FROM part"""
 SELECT {bucket('0.2::DOUBLE + l_tax + l_discount / 4')} AS u_bucket,
   CAST(sum({steps('l_extendedprice / 64')}) AS BIGINT) AS steps, count(*) AS n FROM lineitem GROUP BY 1"""
     sql["provider_specs"] = """
-SELECT 'anthropic' AS provider, event_type || '_v' || (user_id % 3) AS slug,
-  'anthropic_' || event_type || '_v' || (user_id % 3) AS safe, count(*) AS n,
+SELECT 'vendor' AS provider, event_type || '_v' || (user_id % 3) AS slug,
+  'vendor_' || event_type || '_v' || (user_id % 3) AS safe, count(*) AS n,
   count(*) FILTER (event_type NOT IN ('click', 'view', 'signup')) AS unpriced,
   round(sum(CASE event_type WHEN 'click' THEN it / 1e6 * 2.5 + ot / 1e6 * 10 WHEN 'view' THEN it / 1e6 * 0.15 + ot / 1e6 * 0.6
     WHEN 'signup' THEN it / 1e6 * 15 + ot / 1e6 * 75 END), 6) AS cost_usd

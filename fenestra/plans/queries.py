@@ -78,7 +78,7 @@ def rounding_buckets(spark, sf):
 @query
 def provider_specs(spark, sf):
     """Model specs, slugs and safe ids from event types, with token prices (unknown stays NULL)."""
-    spec = F.concat_ws(":", F.lit("anthropic"), F.concat(F.col("event_type"), F.lit("/v"), F.col("user_id") % 3))
+    spec = F.concat_ws(":", F.lit("vendor"), F.concat(F.col("event_type"), F.lit("/v"), F.col("user_id") % 3))
     calls = si.table(spark, sf, "events").select(
         spec.alias("spec"), F.col("event_type").alias("model"), (F.col("user_id") * 10).alias("in_tok"),
         F.get_json_object("props", "$.k").cast("bigint").alias("out_tok"))

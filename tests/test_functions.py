@@ -95,7 +95,7 @@ def test_text_predicates(spark):
 
 def test_identifiers_and_cells(spark):
     assert one(spark, tx.safe_id(F.lit("a:b/c d+1"))) == "a_b_c_d+1"
-    assert one(spark, tx.model_slug(F.lit("gemini/x:1"))) == "gemini_x_1"
+    assert one(spark, tx.model_slug(F.lit("brand/x:1"))) == "brand_x_1"
     assert one(spark, tx.provider_name(F.lit("azure:gpt:4"))) == "azure"
     assert one(spark, tx.provider_model(F.lit("azure:gpt:4"))) == "gpt:4"
     assert one(spark, tx.provider_model(F.lit("mock"), F.lit("none"))) == "none"
