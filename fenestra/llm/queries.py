@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import quality_rules
+from fenestra.llm import bpe, quality_rules
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +30,10 @@ def op1_quality_ledger(spark, sf):
     return quality_rules.verdicts(found).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_upper", "n_exclaim", "fail_bits", "policy")
+
+
+@query
+def op5_byte_bpe(spark, sf):
+    """Token counts and digests of the ids and of the decoded bytes of every document."""
+    return bpe.digests(table(spark, sf, "documents"), ["doc_id"],
+                       public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
