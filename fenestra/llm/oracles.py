@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fenestra.llm.poisson_mix import SEED, TEMPERATURE
 from fenestra.llm.quality_rules import BASE, BIT, DEFAULT
 
 #: Words of a text: runs of anything but the space and the five control white spaces.
@@ -39,5 +40,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b"""
 
 
+def _op9() -> str:
+    return f"""
+WITH s AS (SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS v FROM documents GROUP BY source),
+w AS (SELECT *, CASE WHEN v > 0 THEN pow(v, {TEMPERATURE}) ELSE 0.0 END AS w FROM s),
+rates AS (SELECT source, CASE WHEN v > 0 THEN round(w / (SELECT sum(w) FROM w) * (SELECT sum(v) FROM w) / v, 9)
+  ELSE 1.0 END AS rate FROM w),
+terms AS (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT) + 1)) AS k FROM rates),
+cdf AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM terms),
+lists AS (SELECT source, rate, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source, rate),
+drawn AS (SELECT d.*, rate, len(list_filter(cdf, lambda c: c <=
+    ('0x' || substr(md5('count:{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0)) AS n
+  FROM documents d JOIN lists ON d.source IS NOT DISTINCT FROM lists.source),
+copies AS (SELECT *, unnest(range(0, n)) AS copy FROM drawn)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, rate,
+  ('0x' || substr(md5('order:{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || copy), 1, 13))::BIGINT AS order_key
+FROM copies"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": _op1()}
+    return {"op1_quality_ledger": _op1(), "op9_poisson_mix": _op9()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, quality_rules
+from fenestra.llm import bpe, poisson_mix, quality_rules
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,9 @@ def op5_byte_bpe(spark, sf):
     """Token counts and digests of the ids and of the decoded bytes of every document."""
     return bpe.digests(table(spark, sf, "documents"), ["doc_id"],
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op9_poisson_mix(spark, sf):
+    """Documents repeated so that sources share the text by the square root of their volume, in random order."""
+    return poisson_mix.mix(table(spark, sf, "documents"))
