@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, poisson_mix, quality_rules
+from fenestra.llm import bpe, poisson_mix, quality_rules, randomness
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,13 @@ def op5_byte_bpe(spark, sf):
 def op9_poisson_mix(spark, sf):
     """Documents repeated so that sources share the text by the square root of their volume, in random order."""
     return poisson_mix.mix(table(spark, sf, "documents"))
+
+
+@query
+def op8_secret_randomness(spark, sf):
+    """Spans of secrets in every document: the base patterns and tokens that the test battery finds random."""
+    found = randomness.find_secrets(table(spark, sf, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in randomness.BASE],
+                        F.sha2(randomness.listed("base"), 256).alias("base_sha256"),
+                        randomness.listed("spans").alias("spans"))
