@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, poisson_mix, quality_rules, randomness
+from fenestra.llm import bpe, label_shards, poisson_mix, quality_rules, randomness
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,11 @@ def op8_secret_randomness(spark, sf):
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in randomness.BASE],
                         F.sha2(randomness.listed("base"), 256).alias("base_sha256"),
                         randomness.listed("spans").alias("spans"))
+
+
+@query
+def op10_label_shards(spark, sf):
+    """All documents in 24 shards of equal row counts, documents of equal text together where they fit."""
+    placed = label_shards.shard(table(spark, sf, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
