@@ -118,7 +118,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     """
     k = F.col("page_id")
     etag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
-    changed = F.concat("day", F.lit(" "), (k % 24).cast("string"))
+    changed = F.concat(F.lit("day "), (k % 24).cast("string"))
     base = pages.select(k, "url", etag.alias("etag"), F.octet_length("html").alias("bytes"), F.md5("html").alias("digest"))
     response = base.select(
         (2 * k).alias("record_id"), "url", (k * 60).alias("date"), F.lit("response").alias("kind"),
