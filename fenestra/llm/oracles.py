@@ -70,18 +70,18 @@ def _op4() -> str:
     return f"""
 WITH p AS (SELECT page_id AS k, {key} AS url_key, '"' || substr(md5(html), 1, 16) || '"' AS etag, strlen(html) AS bytes,
   'day ' || (page_id % 24) AS modified FROM pages),
-full_responses AS (SELECT *, k * 60 AS at FROM p WHERE k % 13 <> 5),
-visits AS (SELECT k, url_key, k * 60 + 5000 AS at, modified,
+full_responses AS (SELECT *, k * 60 AS seen FROM p WHERE k % 13 <> 5),
+visits AS (SELECT k, url_key, k * 60 + 5000 AS seen, modified,
   CASE WHEN k % 5 = 0 THEN 'W/' || etag WHEN k % 11 = 1 THEN '"other"' WHEN k % 6 <> 1 THEN etag END AS etag FROM p),
-j AS (SELECT v.k, v.url_key, v.at, v.etag, f.k AS fk, f.at AS fat, f.bytes, f.etag AS fetag, f.modified AS fmodified,
+j AS (SELECT v.k, v.url_key, v.seen, v.etag, f.k AS fk, f.seen AS fat, f.bytes, f.etag AS fetag, f.modified AS fmodified,
   CASE WHEN f.k IS NULL THEN 'orphan'
     WHEN CASE WHEN v.etag IS NOT NULL THEN regexp_replace(v.etag, '^W/', '') = f.etag ELSE v.modified = f.modified END
     THEN 'resolved' ELSE 'mismatch' END AS status
-  FROM visits v ASOF LEFT JOIN full_responses f ON v.url_key = f.url_key AND v.at > f.at)
-SELECT 2 * k + 1 AS record_id, url_key, at AS date, status, CASE WHEN status = 'resolved' THEN 2 * fk END AS refers_to,
+  FROM visits v ASOF LEFT JOIN full_responses f ON v.url_key = f.url_key AND v.seen > f.seen)
+SELECT 2 * k + 1 AS record_id, url_key, seen AS date, status, CASE WHEN status = 'resolved' THEN 2 * fk END AS refers_to,
   CASE WHEN status = 'resolved' THEN fat END AS refers_to_date,
   CASE WHEN status = 'resolved' THEN array_to_string(['cache-control: max-age=60', 'content-length: ' || bytes,
-    'content-type: text/html', 'date: ' || at, 'etag: ' || coalesce(etag, fetag), 'expires: in ' || (k % 7),
+    'content-type: text/html', 'date: ' || seen, 'etag: ' || coalesce(etag, fetag), 'expires: in ' || (k % 7),
     'last-modified: ' || fmodified], chr(10)) END AS headers
 FROM j"""
 
