@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -36,3 +38,17 @@ def partitions(df: DataFrame) -> int:
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with the values of existing columns exchanged; order and other columns stay."""
     return df.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Groups of a sorted partition, one at a time: the values of the first ``keys`` columns, and the rows."""
+    held, group = None, []
+    for batch in batches:
+        for row in zip(*[column.to_pylist() for column in batch.columns]):
+            if row[:keys] != held:
+                if group:
+                    yield held, group
+                held, group = row[:keys], []
+            group.append(row)
+    if group:
+        yield held, group

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, chat_events, label_shards, poisson_mix, quality_rules, randomness, revisits
+from fenestra.llm import bpe, chat_events, label_shards, poisson_mix, quality_rules, randomness, revisits, superminhash
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op4_warc_revisits(spark, sf):
     """Not-modified records of all pages resolved to the earlier response of their URL."""
     found = revisits.resolve(revisits.records_of_pages(table(spark, sf, "pages")))
     return found.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
+@query
+def op7_superminhash(spark, sf):
+    """Near-duplicate component of every document."""
+    return superminhash.near_duplicates(table(spark, sf, "documents"))
