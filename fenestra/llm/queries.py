@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, chat_events, label_shards, poisson_mix, quality_rules, randomness, revisits, superminhash
+from fenestra.llm import bpe, chat_events, html_labeller, label_shards, poisson_mix, quality_rules, randomness, revisits, superminhash, vector_tree
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,15 @@ def op4_warc_revisits(spark, sf):
 def op7_superminhash(spark, sf):
     """Near-duplicate component of every document."""
     return superminhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op2_html_labeller(spark, sf):
+    """Main text of every page."""
+    return html_labeller.main_text(table(spark, sf, "pages"), ["page_id", "url"])
+
+
+@query
+def op6_kmeans_tree(spark, sf):
+    """The 20 vectors of largest inner product for every vector whose id is divisible by 20."""
+    return vector_tree.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
