@@ -17,9 +17,8 @@ signature of a set of n shingles is done after about 256 * ln(256) / n steps.
    task row group, and only pairs of different components with fitting signatures leave it, to be confirmed
    like the others. So all links between components are found, however large a bucket is.
 
-Defined results: a null text or one without words has an empty set, and is linked with nothing; equal ids
-with different texts are separate rows of one document: they get the component of the smallest id they reach,
-which is shared through the id; an empty table gives no rows; other columns are left out. ASCII letters are lower-cased.
+Defined results: a null text or one without words has an empty set, and is linked with nothing; rows of equal
+id are one document, to which the links of all its texts count; an empty table gives no rows; other columns are left out. ASCII letters are lower-cased.
 """
 
 from __future__ import annotations
@@ -304,6 +303,13 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("a").alias("c"), F.col("b").alias("root"))
 
 
+def _texts_of_one_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of ids that have rows with different sets."""
+    several = filled.groupBy("id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo != hi")
+    held = filled.select("id", "set_id").join(several.select("id"), "id").join(classes.select("set_id", "c"), "set_id").select("id", "c")
+    return held.join(held.groupBy("id").agg(F.min("c").alias("b")), "id").where("c != b").select(F.col("c").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept of every document.
 
@@ -324,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(_with_sets(source.join(meeting, F.col("id") == F.col("c")).select("id", "text")), "sets")
 
     pairs = stage(members.where("c != pivot").select("c", "pivot").distinct(), "pairs")
-    links = stage(_centre_links(pairs, sets), "links")
+    links = stage(_centre_links(pairs, sets).unionByName(_texts_of_one_id(filled, classes)), "links")
     found = components(links)
 
     labelled = stage(members.drop("pivot", "size").join(found, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "labelled")
@@ -342,3 +348,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("_root")).cast(kind)
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that are not the first of their component, and without repeated rows.
+
+    The ids to be left out are written first, so Spark knows how many there are when it chooses
+    the join. Rows of equal id and text are kept once.
+    """
+    found = stage(near_duplicates(docs, id_col, text_col), "components")
+    key = F.col(f"`{id_col}`")
+    gone = stage(found.where("not kept").select(key.alias("_gone")).distinct(), "gone")
+    again = stage(found.where(key.isNotNull()).groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "again")
+    kept = docs.join(gone, key == F.col("_gone"), "left_anti")
+    once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(again, key == F.col("_again"), "left_anti").unionByName(once)
