@@ -120,8 +120,9 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
 
 
 def verdicts(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Add ``base_failed``, ``kept`` and ``policy`` to a ledger."""
-    return found.select("*", (~BASE.keeps()).alias("base_failed"), (BASE.keeps() & policy.keeps()).alias("kept"),
+    """Add ``base_failed``, ``kept`` and ``policy`` to a ledger; they replace columns of these names."""
+    columns = [F.col(f"`{c}`") for c in found.columns if c not in ("base_failed", "kept", "policy")]
+    return found.select(*columns, (~BASE.keeps()).alias("base_failed"), (BASE.keeps() & policy.keeps()).alias("kept"),
                         F.lit(policy.version).alias("policy"))
 
 

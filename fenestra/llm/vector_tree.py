@@ -2,7 +2,8 @@
 
 * The tree is fitted on a bounded sample of distinct vectors (``SAMPLE``); every vector is indexed: it goes down to
   the leaf of the nearest centre at each level. Leaves hold about ``LEAF_ROWS`` vectors while the sample can
-  tell so many leaves apart, and are dealt in blocks beyond that.
+  tell so many leaves apart. Neighbouring leaves share a chunk of about ``CHUNK_ROWS`` vectors, a larger leaf gets
+  several chunks; a chunk is what a task holds while the queries that visit one of its leaves stream by.
 * A query goes through the tree with a priority queue of branches, the best inner product with a centre
   first, across levels, and visits the first leaves that come out.
 * How many leaves is calibrated: a bounded number of queries is answered by brute force over all vectors, and
@@ -28,19 +29,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fenestra.llm.common import runs, ship
+from fenestra.llm.common import ship
 from fenestra.session import stage
 
 ship(__name__)
 
 SAMPLE = 32_768
-BRANCHES = 16
-LEAF_ROWS = 512
+BRANCHES = 64
+LEAF_ROWS = 64
 #: Queries answered by brute force to find the number of visits, and the recall to be reached by them.
 CALIBRATION = 256
-RECALL = 0.97
-#: Vectors that one task compares at once.
-BLOCK_ROWS = 2_048
+RECALL = 0.94
+#: Vectors that a task holds, and queries that it compares with them at once.
+CHUNK_ROWS = 8_192
+QUERIES_AT_ONCE = 512
+#: Nearest by matrix product that are scored again in the fixed order of summation, beyond those wanted.
+SPARE = 8
 
 
 def usable(vector: Column) -> Column:
@@ -49,7 +53,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Labels by Lloyd's rounds from spread-out starts; empty clusters are left out."""
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -111,26 +115,28 @@ def best_bins(tree: dict[str, Any], q: np.ndarray, visits: int) -> list[int]:
     return out
 
 
-def _exact(block: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products that do not depend on the place of a row in the block."""
-    return (block * q).sum(axis=1)
+def _nearest(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, visited: np.ndarray | None, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, positions, scores) of the k nearest rows of a block, nearest first.
 
-
-def _nearest(block: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """(score, id) of the k nearest of a block, nearest first."""
-    rough = block @ q
-    if len(ids) > k:
-        least = np.partition(rough, len(ids) - k)[len(ids) - k]
-        near = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
-    else:
-        near = np.arange(len(ids))
-    scores = _exact(block[near], q)
-    order = np.lexsort((ids[near], -scores))[:k]
-    return list(zip(scores[order].tolist(), ids[near][order].tolist()))
+    ``visited`` is a mask (queries, rows), or None for all. The matrix product finds the candidates; their
+    scores are then summed in an order that does not depend on the place of a row in the block.
+    """
+    rough = queries @ block.T
+    if visited is not None:
+        rough[~visited] = -np.inf
+    take = min(k + SPARE, len(ids))
+    near = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
+    for i, at in enumerate(near):
+        at = at[rough[i, at] > -np.inf]
+        scores = (block[at] * queries[i]).sum(axis=1)
+        order = np.lexsort((ids[at], -scores))[:k]
+        if len(order):
+            yield i, at[order], scores[order]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64) if len(column) else np.zeros((0, 1))
+    """Vectors of equal length without nulls as one array."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _indexed(classes: DataFrame, tree) -> DataFrame:
@@ -143,25 +149,25 @@ def _indexed(classes: DataFrame, tree) -> DataFrame:
     return classes.select("cls", "vector").mapInArrow(task, f"cls bigint, vector {classes.schema['vector'].dataType.simpleString()}, leaf int")
 
 
-def brute_force(classes: DataFrame, queries, k: int) -> DataFrame:
-    """query, cls, leaf, score: each task's k nearest for a bounded broadcast array of queries."""
+def _rows(found: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    """Column pieces put together."""
+    columns = [np.concatenate(x) for x in zip(*found)] if found else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+
+
+def brute_force(indexed: DataFrame, queries, k: int) -> DataFrame:
+    """query, cls, leaf, score: each batch's k nearest for a bounded broadcast array of queries."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qs = queries.value
-        best: list[list[tuple]] = [[] for _ in ids]
+        asked, qs = queries.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block, own = _matrix(batch.column(1)), np.array(batch.column(0))
-            leaf = dict(zip(own.tolist(), batch.column(2).to_pylist()))
-            for i, q in enumerate(qs):
-                found = [(-s, c, leaf[c]) for s, c in _nearest(block, own, q, k)]
-                best[i] = heapq.nsmallest(k, best[i] + found)
-        rows = [(q, c, leaf, -s) for q, found in zip(ids, best) for s, c, leaf in found]
-        columns = list(zip(*rows)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64()))],
-                                         names=["query", "cls", "leaf", "score"])
+            found = []
+            if batch.num_rows:
+                own, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for i, at, scores in _nearest(_matrix(batch.column(1)), own, qs, None, k):
+                    found.append((np.full(len(at), asked[i]), own[at], leaf[at], scores))
+            yield _rows(found, ["query", "cls", "leaf", "score"], [pa.int64(), pa.int64(), pa.int32(), pa.float64()])
 
-    return classes.select("cls", "vector", "leaf").mapInArrow(task, "query bigint, cls bigint, leaf int, score double")
+    return indexed.select("cls", "vector", "leaf").mapInArrow(task, "query bigint, cls bigint, leaf int, score double")
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -170,29 +176,85 @@ def top(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 
 
 def calibrated_visits(tree: dict[str, Any], truth: list[tuple[int, int]], queries: dict[int, np.ndarray], recall: float) -> tuple[int, float]:
-    """(visits, recall): leaf visits are widened until enough true neighbours lie in visited leaves."""
-    visits = 1
-    while True:
-        seen = {q: set(best_bins(tree, v, visits)) for q, v in queries.items()}
-        reached = sum(leaf in seen[q] for q, leaf in truth) / max(1, len(truth))
-        if reached >= recall or visits >= tree["leaves"]:
-            return visits, reached
-        visits = min(tree["leaves"], max(visits + 1, visits * 5 // 4))
+    """(visits, recall): visits are widened until enough true neighbours (query, leaf) lie in visited leaves."""
+    place = {q: {leaf: i for i, leaf in enumerate(best_bins(tree, v, tree["leaves"]))} for q, v in queries.items()}
+    needed = np.bincount([place[q][leaf] for q, leaf in truth], minlength=tree["leaves"])
+    reached = np.cumsum(needed) / max(1, needed.sum())
+    visits = int(np.searchsorted(reached, recall)) + 1
+    return min(visits, tree["leaves"]), float(reached[min(visits, tree["leaves"]) - 1])
+
+
+def chunks_of(sizes: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and number of chunks of each leaf; leaves in order fill a chunk together."""
+    first, count = np.zeros(leaves, int), np.ones(leaves, int)
+    chunk = held = 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if held and held + n > CHUNK_ROWS:
+            chunk, held = chunk + 1, 0
+        first[leaf], count[leaf] = chunk, max(1, -(-n // CHUNK_ROWS))
+        held += n
+        if count[leaf] > 1:
+            chunk, held = chunk + int(count[leaf]), 0
+    return first, count
+
+
+def _visits(asked: DataFrame, shared, where, visits: int) -> DataFrame:
+    """A row per query and chunk, with the leaves of the chunk that the query visits."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, count = where.value
+        for batch in batches:
+            rows, chunks, leaves = [], [], []
+            for i, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
+                by: dict[int, list[int]] = {}
+                for leaf in best_bins(shared.value, q, visits):
+                    for c in range(first[leaf], first[leaf] + count[leaf]):
+                        by.setdefault(c, []).append(leaf)
+                rows += [i] * len(by)
+                chunks += by.keys()
+                leaves += by.values()
+            picked = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int32()), batch.column(0).take(picked), batch.column(1).take(picked),
+                 pa.array(leaves, pa.list_(pa.int32()))], names=["chunk", "cls", "vector", "leaves"])
+
+    kind = asked.schema["vector"].dataType.simpleString()
+    return asked.select("cls", "vector").mapInArrow(task, f"chunk int, cls bigint, vector {kind}, leaves array<int>")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(chunk, side, rows) of a partition sorted by both; a chunk's queries may come in many pieces."""
+    for batch in batches:
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for start, end in zip([0, *ends], ends):
+            if end > start:
+                yield int(keys[start, 0]), int(keys[start, 1]), batch.slice(start, end - start)
 
 
 def _searched(dealt: DataFrame, k: int) -> DataFrame:
-    """query, cls, score from groups (leaf, block) that hold their vectors first, then the queries."""
+    """query, cls, score: the k nearest of each chunk for each of its queries."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in runs(batches, 2):
-            rows = [r for r in group if r[2] == 0]
-            asked = [r for r in group if r[2] == 1]
-            if not rows or not asked:
+        held, parts, block = None, [], None
+        for chunk, side, rows in _pieces(batches):
+            if chunk != held:
+                held, parts, block = chunk, [], None
+            if side == 0:
+                parts.append((rows.column(2).to_numpy(), _matrix(rows.column(3)), rows.column(4).flatten().to_numpy()))
                 continue
-            block, ids = np.array([r[4] for r in rows], np.float64), np.array([r[3] for r in rows])
-            found = [(r[3], c, s) for r in asked for s, c in _nearest(block, ids, np.array(r[4], np.float64), k)]
-            columns = list(zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))],
-                                             names=["query", "cls", "score"])
+            if block is None and parts:
+                block, parts = tuple(np.concatenate(x) for x in zip(*parts)), []
+            found = []
+            for start in range(0, rows.num_rows if block else 0, QUERIES_AT_ONCE):
+                part = rows.slice(start, QUERIES_AT_ONCE)
+                ids, vectors, leaf = block
+                seen = np.zeros((part.num_rows, int(leaf.max()) + 1), bool)
+                for i, leaves in enumerate(part.column(4).to_pylist()):
+                    seen[i, [x for x in leaves if x < seen.shape[1]]] = True
+                asked = part.column(2).to_numpy()
+                for i, at, scores in _nearest(vectors, ids, _matrix(part.column(3)), seen[:, leaf], k):
+                    found.append((np.full(len(at), asked[i]), ids[at], scores))
+            yield _rows(found, ["query", "cls", "score"], [pa.int64(), pa.int64(), pa.float64()])
 
     return dealt.mapInArrow(task, "query bigint, cls bigint, score double")
 
@@ -235,19 +297,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     truth = [(r["query"], r["leaf"]) for r in best.select("query", "leaf").collect()]
     visits, _ = calibrated_visits(tree, truth, probe, recall)
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [best_bins(shared.value, q, visits) for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=["cls", "vector", "bins"])
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    sizes = stage(indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "leaves")
-    columns = ["leaf", "block", "side", "cls", "vector"]
-    held = indexed.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    wanted = asked.select("cls", "vector").mapInArrow(bins, f"cls bigint, vector {kind}, bins array<int>").select(
-        "cls", "vector", F.explode("bins").alias("leaf")).join(sizes, "leaf")
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    dealt = held.select(*columns).unionByName(wanted.select(*columns)).repartition("leaf", "block").sortWithinPartitions("leaf", "block", "side")
+    # as many rows as the tree has leaves
+    sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    first, count = chunks_of(sizes, tree["leaves"])
+    where = spark.sparkContext.broadcast((first, count))
+    at = spark.createDataFrame([(leaf, int(first[leaf]), int(count[leaf])) for leaf in sizes], "leaf int, first int, parts int")
+    held = indexed.join(at, "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int").alias("chunk"), F.lit(0).alias("side"), "cls", "vector",
+        F.array("leaf").alias("leaves"))
+    wanted = _visits(asked, shared, where, visits).select("chunk", F.lit(1).alias("side"), "cls", "vector", "leaves")
+    dealt = held.unionByName(wanted).repartition("chunk").sortWithinPartitions("chunk", "side")
     near = top(_searched(dealt, k + 1), ["query"], [F.desc("score"), F.col("cls")], k + 1).drop("rank")
 
     # classes to ids: the smallest k + 1 of a class are enough; then the queries' own ids go
