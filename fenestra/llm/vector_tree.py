@@ -259,15 +259,16 @@ def _searched(dealt: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(task, "query bigint, cls bigint, score double")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, id_col: str = "vec_id",
+def search(vectors: DataFrame, is_query: Column | str, k: int = 20, recall: float = RECALL, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for every row where ``is_query`` holds.
 
-    ``is_query`` is an expression over the id column.
+    ``is_query`` is an expression over the columns of ``vectors``, a Column or SQL.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     raw = F.col(f"`{vector_col}`")
+    is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), raw.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(
         F.col("id").isNotNull() & usable(raw))
     lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
