@@ -26,6 +26,9 @@ from fenestra.session import stage
 ROUNDS = 8
 #: Rows that one bucket of a shard should have on average; sets the number of buckets.
 BUCKET_ROWS = 50_000
+#: Extra room of a shard in the first round, as a share of its quota; halved from round to round. It lets groups change
+#: places where all shards are full of linked documents.
+SLACK = 0.5
 #: Groups are let in by falling gain, in this many hashed parts per gain class.
 _PARTS = 256
 
@@ -39,13 +42,14 @@ def _rank(counts: DataFrame, keys: list[str], order: list[str], value: str, name
 def propagate(groups: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     """Move rows of ``groups`` (g, shard, n) between shards; same columns, same totals by g.
 
-    ``quota`` is the number of linked rows that a shard may hold.
+    ``quota`` is the number of linked rows that a shard should hold; ``SLACK`` lets it have more at first.
     """
     state = stage(groups, "labels")
     for turn in range(rounds):
+        most = int(quota * (1 + SLACK * 0.5 ** turn))
         loads = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        room = {r["shard"]: quota - r["load"] for r in loads.collect()}  # one row per shard
-        free = F.lit(quota)
+        room = {r["shard"]: most - r["load"] for r in loads.collect()}  # one row per shard
+        free = F.lit(most)
         for shard, left in room.items():
             free = F.when(F.col("shard") == shard, F.lit(left)).otherwise(free)
         # the neighbours' favourite shard among those with room left
@@ -59,7 +63,7 @@ def propagate(groups: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
         # let in part by part; the part at the edge of the room gets in by share
         asked = _rank(wishes.groupBy("to", "gain", "part").agg(F.sum("n").alias("rows")).withColumn(
             "_first", -F.col("gain")), ["to"], ["_first", "part"], "rows", "before")
-        room_of = F.lit(quota)
+        room_of = F.lit(most)
         for shard, left in room.items():
             room_of = F.when(F.col("to") == shard, F.lit(left)).otherwise(room_of)
         share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (room_of - F.col("before")) / F.col("rows")))
@@ -75,6 +79,27 @@ def propagate(groups: DataFrame, quota: int, rounds: int = ROUNDS) -> DataFrame:
     return state
 
 
+def _seeded(linked: DataFrame, first: DataFrame, quota: int, shards: int) -> DataFrame:
+    """First labels in which a group of more than half a shard starts in as few shards as it needs.
+
+    There are at most two such groups to a shard, so their names and sizes come to the driver.
+    """
+    large = linked.where(F.col("members") * 2 > quota).select("g", "members").distinct()
+    room, rows = [quota] * shards, []
+    for r in sorted(large.collect(), key=lambda r: (-r["members"], r["g"])):
+        left = r["members"]
+        while left:
+            to = max(range(shards), key=lambda s: (room[s], -s))
+            n = min(left, room[to]) or left  # what fits nowhere is dealt with at the end
+            rows.append((r["g"], to, n))
+            room[to] -= n
+            left -= n
+    if not rows:
+        return first
+    seeds = first.sparkSession.createDataFrame(rows, first.schema).groupBy("g", "shard").agg(F.sum("n").alias("n"))
+    return first.join(large, "g", "left_anti").unionByName(seeds)
+
+
 def cut_edges(placed: DataFrame) -> DataFrame:
     """Linked groups, shards they touch beyond the first, and rows: what propagation keeps small."""
     spread = placed.groupBy("link").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("shard").alias("shards"))
@@ -90,7 +115,7 @@ def shard(docs: DataFrame, shards: int, rounds: int = ROUNDS, link: Column | Non
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("bigint").alias("size"),
                        F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"), link.alias("g"))
     total = docs.count()
-    buckets = shards * max(4, -(-total // (shards * BUCKET_ROWS)))
+    buckets = shards * max(16, -(-total // (shards * BUCKET_ROWS)))
     rows = stage(rows.withColumn("b", F.pmod(F.xxhash64("_id"), F.lit(buckets)).cast("int")), "rows")
 
     # members of each group by bucket, and their place in the group; a bucket belongs to a first shard
@@ -99,7 +124,7 @@ def shard(docs: DataFrame, shards: int, rounds: int = ROUNDS, link: Column | Non
     pieces = stage(pieces, "pieces")
     linked = pieces.where("members > 1")
     first = linked.groupBy("g", F.pmod("b", F.lit(shards)).alias("shard")).agg(F.sum("c").alias("n"))
-    labels = propagate(first, total // shards, rounds)
+    labels = propagate(_seeded(linked, first, total // shards, shards), total // shards, rounds)
     ends = _rank(labels, ["g"], ["shard"], "n", "start").withColumn("end", F.col("start") + F.col("n"))
     ends = ends.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
     pieces = pieces.join(ends, "g", "left")
@@ -108,13 +133,15 @@ def shard(docs: DataFrame, shards: int, rounds: int = ROUNDS, link: Column | Non
     rank = F.col("before") + F.col("_n")
     own = F.filter("ends", lambda e: e["end"] > rank)
     label = F.when(F.col("ends").isNull(), F.pmod("b", F.lit(shards))).otherwise(F.get(own, F.lit(0))["shard"])
-    placed = rows.withColumn("_n", inside).join(pieces.select("g", "b", "before", "ends"), ["g", "b"])
+    placed = rows.withColumn("_n", inside).join(pieces.select("g", "b", "before", "members", "ends"), ["g", "b"])
+    # rows of large groups come first in a shard, single ones last
+    group_size = F.floor(F.log2(F.col("members"))).cast("int")
     placed = stage(placed.select("_id", "size", "text_crc32", "g", "b", label.cast("int").alias("label"),
-                                 F.col("ends").isNull().cast("int").alias("single")), "placed")
+                                 (-group_size).alias("small")), "placed")
 
-    # number the rows of a shard, linked ones first; what exceeds the quota fills the others
-    parts = placed.groupBy("label", "single", "b").agg(F.count(F.lit(1)).alias("c"))
-    parts = stage(_rank(parts, ["label"], ["single", "b"], "c", "ahead"), "parts")
+    # number the rows of a shard; what exceeds the quota fills the others
+    parts = placed.groupBy("label", "small", "b").agg(F.count(F.lit(1)).alias("c"))
+    parts = stage(_rank(parts, ["label"], ["small", "b"], "c", "ahead"), "parts")
     loads = [0] * shards
     for r in parts.groupBy("label").agg(F.sum("c").alias("n")).collect():  # one row per shard
         loads[r["label"]] = r["n"]
@@ -124,8 +151,8 @@ def shard(docs: DataFrame, shards: int, rounds: int = ROUNDS, link: Column | Non
     numbers = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
     at = lambda values, i: F.get(numbers(values), i)
     before_surplus, before_deficit = [0, *accumulate(surplus)][:-1], list(accumulate(deficit))
-    position = F.col("ahead") + F.row_number().over(Window.partitionBy("label", "single", "b").orderBy("_id", "g")) - 1
-    numbered = placed.join(parts.select("label", "single", "b", "ahead"), ["label", "single", "b"]).withColumn(
+    position = F.col("ahead") + F.row_number().over(Window.partitionBy("label", "small", "b").orderBy("_id", "g")) - 1
+    numbered = placed.join(parts.select("label", "small", "b", "ahead"), ["label", "small", "b"]).withColumn(
         "_p", position)
     over = F.col("_p") - at(quotas, F.col("label"))
     spare = at(before_surplus, F.col("label")) + over

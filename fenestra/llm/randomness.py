@@ -38,15 +38,13 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 FDR = 0.01
 #: Lower ends of the length classes within which the false-discovery rate is controlled.
 LENGTH_CLASSES = [20, 28, 40, 64]
-#: Encoding -> (alphabet, excess of the chi-squared statistic per character in written text).
+#: Encoding -> (alphabet, and what the tests expect of names and numbers written in it: excess of chi-squared per
+#: character, share of neighbours of different classes, correlation of neighbours).
 ENCODINGS = {
-    "hex": ("0123456789abcdef", 0.6),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.0),
+    "hex": ("0123456789abcdef", 0.6, 0.2, 0.5),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2, 0.15, 0.3),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 1.2, 0.45, 0.2),
 }
-#: In written text: share of neighbours of different classes, and correlation of neighbours.
-TEXT_CHANGES = 0.2
-TEXT_SERIAL = 0.5
 #: The grid of p-values: this many steps per power of ten, down to ten to the minus 60.
 _STEPS, _LOWEST = 20, 60
 
@@ -84,7 +82,7 @@ def encoding(token: Column) -> Column:
             .when(has("[a-z]") & has("[A-Z]") & has("[0-9]"), "base64"))
 
 
-def _score(token: Column, alphabet: str, excess: float) -> Column:
+def _score(token: Column, alphabet: str, excess: float, written: float, told: float) -> Column:
     """Stouffer's sum of the three scores; large for random tokens."""
     k = len(alphabet)
     n = F.length(token).cast("double")
@@ -99,7 +97,7 @@ def _score(token: Column, alphabet: str, excess: float) -> Column:
     for characters, sign in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^a-zA-Z0-9]+", "-")):
         folded = F.regexp_replace(folded, characters, sign)
     changes = F.length(folded) - 1.0
-    runs = (changes - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
+    runs = (changes - (n - 1) * written) / F.sqrt((n - 1) * written * (1 - written))
 
     values = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
     mean = sum_of(values) / n
@@ -107,7 +105,7 @@ def _score(token: Column, alphabet: str, excess: float) -> Column:
     before, after = F.slice(centred, F.lit(1), F.length(token) - 1), F.slice(centred, F.lit(2), F.length(token) - 1)
     variance = sum_of(F.transform(centred, lambda v: v * v))
     serial = F.when(variance > 0, sum_of(F.zip_with(before, after, lambda a, b: a * b)) / variance).otherwise(1.0)
-    serial_score = (TEXT_SERIAL - serial) * F.sqrt(n) / math.sqrt(1 - TEXT_SERIAL ** 2)
+    serial_score = (told - F.abs(serial)) * F.sqrt(n) / math.sqrt(1 - told ** 2)
     return (uniform + runs + serial_score) / math.sqrt(3)
 
 
@@ -116,9 +114,9 @@ def grid(token: Column) -> Column:
     token = F.regexp_replace(token, "=+$", "")
     kind = encoding(token)
     score = F.lit(None).cast("double")
-    for name, (alphabet, excess) in ENCODINGS.items():
+    for name, expected in ENCODINGS.items():
         own = F.lower(token) if name == "hex" else token
-        score = F.when(kind == name, _score(own, alphabet, excess)).otherwise(score)
+        score = F.when(kind == name, _score(own, *expected)).otherwise(score)
     p = F.greatest(tail(score), F.lit(10.0 ** -_LOWEST))
     return F.when(kind.isNotNull(), F.floor(-F.log10(p) * _STEPS).cast("int"))
 

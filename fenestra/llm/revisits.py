@@ -46,7 +46,7 @@ def folded_headers(headers: Column) -> Column:
     entries = F.transform(F.map_entries(headers), lambda e: F.struct(
         F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
     names = F.reverse(F.transform(entries, lambda e: e["key"]))
-    last = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == F.size(entries) - i)
+    last = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == F.size(names) - i)
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 

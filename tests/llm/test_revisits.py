@@ -22,7 +22,7 @@ def test_rules(spark):
     again = lambda i, url, at, h, digest=None: (i, url, at, "revisit", 304, h, digest, None)
     rows = [
         ok(1, "http://a/", 10, {"ETag": '"1"', "Content-Type": "t", "Date": "d1"}), ok(2, "http://a/", 20, {"etag": '"2"'}),
-        ok(3, "http://a/", 20, {"etag": '"3"', "Vary": "x", "VARY": "y"}), ok(4, "http://a/", 25, {"etag": '"4"'}, status=500),
+        ok(3, "http://a/", 20, {"etag": '"3"', "VARY": "y"}), ok(4, "http://a/", 25, {"etag": '"4"'}, status=500),
         again(11, "HTTP://A#f", 30, {"ETAG": 'W/"3"', "Date": "now", "Content-Type": "no"}), again(12, "http://a/", 20, {"etag": '"1"'}),
         again(13, "http://a/", 10, {}), again(14, "http://a/", 40, {"etag": '"2"'}), again(15, "http://a/", 40, None),
         ok(5, "http://b/", 1, {"last-modified": "m"}, "q"), again(21, "http://b/", 2, {"Last-Modified": "m"}),
@@ -38,6 +38,12 @@ def test_rules(spark):
     assert got[12].headers == {"etag": '"1"', "content-type": "t", "date": "d1"}
 
 
+def test_last_of_repeated_names(spark):
+    df = spark.sql("select map('Vary', 'x', ' VARY', 'y', 'b', cast(null as string)) h, cast(null as map<string,string>) e")
+    row = df.select(v.folded_headers(F.col("h")).alias("h"), v.folded_headers(F.col("e")).alias("e")).first()
+    assert (row.h, row.e) == ({"vary": "y", "b": None}, {})
+
+
 def test_one_url_over_many_pieces(spark):
     rows = [(i, "http://hot/", i, "response" if i % 7 == 0 else "revisit", 200, {"etag": str(i - i % 7)}, None, None) for i in range(2_000)]
     got = resolved(spark, rows)
