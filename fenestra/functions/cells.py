@@ -57,14 +57,18 @@ def cell_qty(cell: Column) -> Column:
     return F.coalesce(to_number(strip(cell), "int"), F.lit(1))
 
 
-def cell_size(size: Column, width: Column, height: Column) -> Column:
-    """``struct<w, h>`` from a ``W x H`` cell, else from the width and height columns."""
+def cell_size(size: Column, width: Column, height: Column, vocab: str = "v1") -> Column:
+    """``struct<w, h>`` from a ``W x H`` cell, else from the width and height columns.
+
+    Where a ``W x H`` cell cannot be read, ``v2`` takes those columns too; in ``v1`` the size stays unknown.
+    """
     low = F.lower(size)
     paired = low.contains("x")
     first = F.when(paired, inches_value(F.regexp_extract(low, r"(?s)^(.*?)x", 1)))
     second = F.when(paired, inches_value(F.regexp_extract(low, r"(?s)^.*?x(.*)$", 1)))
-    return F.struct(F.coalesce(first, inches_value(width)).alias("w"),
-                    F.coalesce(second, inches_value(height)).alias("h"))
+    own = lambda pair, column: (F.coalesce(pair, inches_value(column)) if vocab == "v2"
+                                else F.when(F.coalesce(paired, F.lit(False)), pair).otherwise(inches_value(column)))
+    return F.struct(own(first, width).alias("w"), own(second, height).alias("h"))
 
 
 def mark_kind(mark: Column) -> Column:

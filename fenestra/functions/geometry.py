@@ -45,10 +45,9 @@ def shift(b: Column, x: Column, y: Column) -> Column:
 
 
 def reanchor(evidence: Column, page_no: Column, x: Column, y: Column) -> Column:
-    """Evidence in page coordinates; a page of 0 or NULL takes the true page."""
+    """Evidence in page coordinates; the page is always the one that was asked about."""
     return F.transform(evidence, lambda e: F.struct(
-        F.when(F.coalesce(e["page"], F.lit(0)) == 0, page_no).otherwise(e["page"])
-        .cast("int").alias("page"),
+        page_no.cast("int").alias("page"),
         e["region"].alias("region"),
         F.when(e["bbox"].isNotNull(), shift(e["bbox"], x, y)).alias("bbox")))
 

@@ -127,9 +127,12 @@ def canonical_key(c: Column) -> Column:
 
 
 def canonical_cells(cells: Column) -> Column:
-    """Map with canonical headings; of headings that fold together the last entry stays."""
-    entries = F.transform(F.map_entries(cells), lambda e: F.struct(
-        canonical_key(e["key"]).alias("key"), e["value"].alias("value")))
+    """Map with canonical headings; of headings that fold together the exact one stays, else the last."""
+    folded = F.transform(F.map_entries(cells), lambda e: F.struct(
+        canonical_key(e["key"]).alias("key"), e["value"].alias("value"), (canonical_key(e["key"]) == e["key"]).alias("exact")))
+    # exact headings go to the end, where they are the last of their kind
+    ordered = F.concat(F.filter(folded, lambda e: ~e["exact"]), F.filter(folded, lambda e: e["exact"]))
+    entries = F.transform(ordered, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(
         F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
         lambda later: later["key"] == e["key"]))

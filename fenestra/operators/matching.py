@@ -2,7 +2,9 @@
 
 Same kind and same panel roles; the summed size difference may be at most
 ``tau`` inches per panel; the result has as many pairs as possible and, among
-those, the least total difference.
+those, the least total difference. Where several assignments are equally good, a
+number made from each pair of sizes decides (the least sum of them), so there is one
+best assignment, and the result is the same whichever way it is found.
 
 How it is laid out for Spark:
 
@@ -14,13 +16,16 @@ How it is laid out for Spark:
 * The rest falls into components separated by gaps in the occupied cells. Small
   ones are solved inside tasks, each task streaming over many components. Large
   ones are solved by repeated joins over the whole edge table
-  (``_solve_distributed``), so no component has to fit into one task.
+  (``_solve_distributed``), so no component has to fit into one task. The limit
+  between the two picks the way, not the result.
+* Without a tolerance, sizes match only themselves: one full outer join does it.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
@@ -36,9 +41,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DEFAULT_TAU_IN = 1.0
 #: Edges of a component that one task may solve.
 MAX_LOCAL_EDGES = 4_000
+#: An edge costs its distance times two to this power, plus a tie-breaking number of 48 bits.
+TIE_SHIFT = 72
 
 _EDGE = ["block", "p", "t", "d"]
 _FLOW = "comp string, p string, t string, flow bigint"
+_COST = "decimal(38,0)"
 
 
 def _block(scope: list[str]) -> Column:
@@ -99,8 +107,16 @@ def _edges(pred: DataFrame, true: DataFrame, tau_in: float, bucket: float) -> Da
 
 
 def _degrees(edges: DataFrame) -> DataFrame:
-    count = lambda side: F.count(F.lit(1)).over(Window.partitionBy("block", side))
-    return edges.withColumn("p_deg", count("p")).withColumn("t_deg", count("t"))
+    for side in ("p", "t"):
+        degree = edges.groupBy("block", side).agg(F.count(F.lit(1)).alias(f"{side}_deg"))
+        edges = edges.join(degree, ["block", side])
+    return edges
+
+
+def tie_number() -> Column:
+    """48 bits from the two sizes of an edge; sums of them are as good as never equal."""
+    pair = F.concat_ws("|", "p", "t")
+    return F.conv(F.substring(F.md5(pair), 1, 12), 16, 10).cast("bigint")
 
 
 def _islands(edges: DataFrame, tau_in: float, bucket: float) -> DataFrame:
@@ -183,9 +199,9 @@ def _solve_streaming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pending: list[tuple] = []
 
     def solve() -> list[tuple]:
-        supply = {p: s for _, p, _, _, s, _ in pending}
-        demand = {t: d for _, _, t, _, _, d in pending}
-        flow = _assign([(p, t, d) for _, p, t, d, _, _ in pending], supply, demand)
+        supply = {p: s for _, p, _, _, _, s, _ in pending}
+        demand = {t: d for _, _, t, _, _, _, d in pending}
+        flow = _assign([(p, t, (d << TIE_SHIFT) + tie) for _, p, t, d, tie, _, _ in pending], supply, demand)
         return [(pending[0][0], p, t, x) for (p, t), x in sorted(flow.items())]
 
     frame = lambda rows: pd.DataFrame(rows, columns=["comp", "p", "t", "flow"])
@@ -202,19 +218,19 @@ def _solve_streaming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _solve_local(edges: DataFrame) -> DataFrame:
-    rows = edges.select("comp", "p", "t", "d", "supply", "demand").repartition("comp")
+    rows = edges.select("comp", "p", "t", "d", "tie", "supply", "demand").repartition("comp")
     flows = rows.sortWithinPartitions("comp", "p", "t").mapInPandas(_solve_streaming, _FLOW)
     return edges.select("comp", *_EDGE).join(flows, ["comp", "p", "t"]).select(*_EDGE, "flow")
 
 
 def _shortest(edges: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Residual distances from nodes with supply left: (per p, per t)."""
-    dist_p = stage(left.where("rest > 0").select("comp", "p", F.lit(0).cast("bigint").alias("dp")), "dp")
+    dist_p = stage(left.where("rest > 0").select("comp", "p", F.lit(0).cast(_COST).alias("dp")), "dp")
     while True:
         dist_t = stage(edges.join(dist_p, ["comp", "p"]).groupBy("comp", "t").agg(
-            F.min(F.col("dp") + F.col("d")).alias("dt")), "dt")
+            F.min((F.col("dp") + F.col("cost")).cast(_COST)).alias("dt")), "dt")
         back = edges.where("flow > 0").join(dist_t, ["comp", "t"]).select(
-            "comp", "p", (F.col("dt") - F.col("d")).alias("dp"))
+            "comp", "p", (F.col("dt") - F.col("cost")).cast(_COST).alias("dp"))
         better = stage(dist_p.withColumn("old", F.col("dp")).unionByName(
             back, allowMissingColumns=True).groupBy("comp", "p").agg(
             F.min("dp").alias("dp"), F.min("old").alias("old")), "dp")
@@ -230,7 +246,7 @@ def _forest(edges: DataFrame, left: DataFrame, dist_p: DataFrame, dist_t: DataFr
     cannot meet and may all be used in the same phase.
     """
     tight = stage(edges.join(dist_p, ["comp", "p"]).join(dist_t, ["comp", "t"]).where(
-        F.col("dp") + F.col("d") == F.col("dt")).select("comp", "p", "t", "flow"), "tight")
+        (F.col("dp") + F.col("cost")).cast(_COST) == F.col("dt")).select("comp", "p", "t", "flow"), "tight")
     reached_p = stage(left.where("rest > 0").select(
         "comp", "p", F.col("p").alias("root"), F.lit(None).cast("string").alias("via"),
         F.lit(0).alias("level")), "tree")
@@ -263,7 +279,8 @@ def _solve_distributed(edges: DataFrame) -> DataFrame:
     paths are tight and disjoint, so the flow stays the cheapest of its size; it
     ends with the largest size when no path is left.
     """
-    edges = stage(edges.withColumn("flow", F.lit(0).cast("bigint")), "flow")
+    cost = F.col("d").cast("decimal(14,0)") * F.lit(Decimal(1 << TIE_SHIFT)) + F.col("tie")
+    edges = stage(edges.withColumn("flow", F.lit(0).cast("bigint")).withColumn("cost", cost.cast(_COST)), "flow")
     left = stage(edges.select("comp", "p", F.col("supply").alias("rest")).distinct(), "supply")
     right = stage(edges.select("comp", "t", F.col("demand").alias("rest")).distinct(), "demand")
     while True:
@@ -313,7 +330,7 @@ def _solve_distributed(edges: DataFrame) -> DataFrame:
 def assign_nodes(edges: DataFrame, tau_in: float = DEFAULT_TAU_IN, bucket: float = DEFAULT_BUCKET,
                  max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
     """Optimal flow on node edges: block, p, t, d (in buckets), flow."""
-    edges = stage(_degrees(edges), "edges")
+    edges = stage(_degrees(stage(edges.withColumn("tie", tie_number()), "edges")), "edges")
     alone = (F.col("p_deg") == 1) & (F.col("t_deg") == 1)
     settled = edges.where(alone).select(
         *_EDGE, F.least("supply", "demand").cast("bigint").alias("flow"))
@@ -342,6 +359,15 @@ def match_groups(pred_groups: DataFrame, true_groups: DataFrame, scope: list[str
     Within equal sizes, pairs follow the order of the full key, so the result
     does not depend on the order of the input.
     """
+    side = lambda v, prefix, node: v.select(
+        "block", F.col("node").alias(node), F.col("rank").cast("bigint").alias(f"{node}_rank"),
+        *[F.col(c).alias(f"{prefix}_{c}") for c in [*scope, "kind"]],
+        F.col("key_panels").alias(f"{prefix}_panels"), F.col("qty").alias(f"{prefix}_qty"))
+    if tau_in == 0:
+        left = side(_variants(pred_groups, scope, bucket), "pred", "p").select(
+            "*", F.col("p").alias("t"), F.col("p_rank").alias("t_rank"), F.lit(0).cast("bigint").alias("d"))
+        both = left.join(side(_variants(true_groups, scope, bucket), "true", "t"), ["block", "t", "t_rank"], "full_outer")
+        return _matched(both, scope, bucket)
     # both sides are read twice below: once for the nodes, once for the result
     pred = stage(_variants(pred_groups, scope, bucket), "predicted")
     true = stage(_variants(true_groups, scope, bucket), "true")
@@ -354,13 +380,12 @@ def match_groups(pred_groups: DataFrame, true_groups: DataFrame, scope: list[str
         "k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("flow")))).select(
         "block", "p", "t", "d", (F.col("p0") + F.col("k")).alias("p_rank"),
         (F.col("t0") + F.col("k")).alias("t_rank"))
-
-    side = lambda v, prefix, node: v.select(
-        "block", F.col("node").alias(node), F.col("rank").cast("bigint").alias(f"{node}_rank"),
-        *[F.col(c).alias(f"{prefix}_{c}") for c in [*scope, "kind"]],
-        F.col("key_panels").alias(f"{prefix}_panels"), F.col("qty").alias(f"{prefix}_qty"))
     left = side(pred, "pred", "p").join(pairs, ["block", "p", "p_rank"], "left")
-    both = left.join(side(true, "true", "t"), ["block", "t", "t_rank"], "full_outer")
+    return _matched(left.join(side(true, "true", "t"), ["block", "t", "t_rank"], "full_outer"), scope, bucket)
+
+
+def _matched(both: DataFrame, scope: list[str], bucket: float) -> DataFrame:
+    """The result columns of the two joined sides."""
     either = lambda c: F.coalesce(F.col(f"pred_{c}"), F.col(f"true_{c}")).alias(c)
     matched = F.col("pred_qty").isNotNull() & F.col("true_qty").isNotNull()
     return both.select(

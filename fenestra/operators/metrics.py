@@ -19,13 +19,17 @@ def _field(name: str) -> tuple[Column, Column]:
 
 
 def ratio(num: Column, den: Column) -> Column:
-    """``num / den`` with 0 for an empty denominator."""
-    return F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    """``num / den`` with 0 for an empty denominator, NULL for an unknown one."""
+    return F.when(den > 0, num / den).when(den.isNotNull(), F.lit(0.0))
 
 
-def score_matches(matches: DataFrame, scope: list[str], frames: DataFrame | None = None) -> DataFrame:
+def score_matches(matches: DataFrame, scope: list[str], frames: DataFrame | None = None,
+                  truth: DataFrame | None = None) -> DataFrame:
     """All group metrics per scope.
 
+    ``truth`` is any table with the scopes that have a truth: the others keep their row and their
+    predicted units, and all their metrics are NULL. Without it every scope counts as known.
+
     Rates are 0 when their denominator is empty; quantity error and field
     accuracies are NULL when nothing was matched or the truth has no opinion.
     ``frames`` holds scope, pred_frames and true_frames.
@@ -41,6 +45,11 @@ def score_matches(matches: DataFrame, scope: list[str], frames: DataFrame | None
         *[c.alias(f"_{n}_{i}") for n, pair in fields.items() for i, c in enumerate(pair)])
     if frames is not None:
         sums = sums.join(frames, scope, "left")
+    if truth is not None:
+        known = truth.select(*scope).distinct().withColumn("_known", F.lit(True))
+        sums = sums.join(known, scope, "left")
+        compared = [c for c in sums.columns if c not in (*scope, "pred_units_total", "_known")]
+        sums = sums.withColumns({c: F.when(F.col("_known"), F.col(c)) for c in compared})
     m, fp, fn = F.col("matched_groups"), F.col("fp_groups"), F.col("fn_groups")
     precision, recall = ratio(m, m + fp), ratio(m, m + fn)
     p, t = F.col("pred_units_total"), F.col("gt_units_total")

@@ -41,8 +41,14 @@ def _splits() -> list[tuple[str, str, str]]:
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
-    """Light per-page figures; the only step that reads the text."""
+    """Light per-page figures; the only step that reads the text.
+
+    An optional column ``scanned`` marks pages whose text was read from an image:
+    they have no text layer, so they count as pages without characters.
+    """
     body, chars = F.coalesce("text", F.lit("")), tx.text_length(F.col("text"))
+    if "scanned" in pages.columns:
+        chars = F.when(F.col("scanned"), F.lit(0).cast("int")).otherwise(chars)
     cut = {f"_{side}{i}": body.rlike(pattern) for i, (_, *patterns) in enumerate(_splits())
            for side, pattern in zip(("ends", "starts"), patterns)}
     return pages.select(

@@ -43,16 +43,27 @@ def table_rows(cells: DataFrame, vocab: str = "v1") -> DataFrame:
         F.map_contains_key("columns", F.lit("mark")).alias("has_mark"))
 
 
+def _sized_rows(cells: DataFrame, vocab: str) -> DataFrame:
+    cell = lambda *names: ce.pick_cell(F.col("cells"), names)
+    size = ce.cell_size(cell(*ce.SIZE_HEADERS[vocab]), cell("width"), cell("height"), vocab)
+    return table_rows(cells, vocab).withColumn("_size", size)
+
+
+def table_rejects(cells: DataFrame, vocab: str = "v1") -> DataFrame:
+    """Rows of schedule tables that give no unit, with their cells and the reason."""
+    unread = F.concat_ws(", ", F.when(F.col("_size.w").isNull(), "width"), F.when(F.col("_size.h").isNull(), "height"))
+    return _sized_rows(cells, vocab).withColumn("_unread", unread).where(F.col("_unread") != "").select(
+        *_TABLE, "row_no", "cells", F.concat(F.lit("unreadable "), F.col("_unread")).alias("reject"))
+
+
 def table_units(cells: DataFrame, vocab: str = "v1") -> DataFrame:
-    """Units of schedule tables; rows without a readable size are left out.
+    """Units of schedule tables; rows without a readable size are left out (see ``table_rejects``).
 
     ``v1`` and ``v2`` differ in headings, yes/no words and in what happens to a
     row without a mark (see the cell functions).
     """
     cell = lambda *names: ce.pick_cell(F.col("cells"), names)
-    size = ce.cell_size(cell(*ce.SIZE_HEADERS[vocab]), cell("width"), cell("height"))
-    rows = table_rows(cells, vocab).withColumn("_size", size).where(
-        F.col("_size.w").isNotNull() & F.col("_size.h").isNotNull())
+    rows = _sized_rows(cells, vocab).where(F.col("_size.w").isNotNull() & F.col("_size.h").isNotNull())
     numbered = row_numbers(rows, ["doc_id"], [F.col(c) for c in ("page_no", "table_no", "row_no")], "_n",
                            bound_by=cells.where("col_no = 0 and row_no > 0"))
     fallback = F.concat(F.lit("R"), (F.col("page_no") - 1).cast("string"), F.lit("-"),

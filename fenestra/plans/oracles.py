@@ -61,14 +61,14 @@ PASS = "group_f1 >= 0.70::DOUBLE AND unit_count_error <= 0.05::DOUBLE"
 
 ROUTE = r"""
 d AS (
-  SELECT source || '-' || lang AS doc_id, doc_id AS page_key, n_chars,
+  SELECT source || '-' || lang AS doc_id, doc_id AS page_key, n_chars, lang = 'es' AS scanned,
     CASE lang WHEN 'fr' THEN 'WINDOW SCHEDULE' || chr(10) || text
-      WHEN 'de' THEN 'Rough Opening / Mark' || chr(10) || text WHEN 'es' THEN source
+      WHEN 'de' THEN 'Rough Opening / Mark' || chr(10) || text 
       ELSE CASE WHEN n_chars > 2000 THEN text || chr(10) || 'Weather  Shield' ELSE text END END AS text
   FROM documents),
 p AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_key) AS page_no,
-    length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars FROM d),
+    CASE WHEN scanned THEN 0 ELSE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) END AS chars FROM d),
 g AS (
   SELECT doc_id, count(*) AS n_pages, count(*) FILTER (chars > 40) / count(*)::DOUBLE AS frac,
     max(chars) AS max_chars,
@@ -292,6 +292,13 @@ SELECT project, {_METRICS}, round(CASE WHEN m > 0 THEN aq / m::DOUBLE END, 6) AS
   round(CASE WHEN m + fn > 0 THEN fn / (m + fn)::DOUBLE ELSE 0 END, 6) AS miss_rate,
   m AS matched_groups, fp AS fp_groups, fn AS fn_groups, CAST(p AS BIGINT) AS pred_units_total,
   CAST(t AS BIGINT) AS gt_units_total FROM s"""
+    known = exact.replace("FROM u GROUP BY 1, 2, 3, 4, 5, 6, 7)", "FROM u WHERE project % 4 <> 0 GROUP BY 1, 2, 3, 4, 5, 6, 7)", 1)
+    assert known != exact
+    sql["scores_without_truth"] = q(known) + """
+SELECT project, CASE WHEN project % 4 <> 0 THEN round(CASE WHEN m > 0 THEN 2 * m / (2 * m + fp + fn)::DOUBLE ELSE 0 END, 6) END AS group_f1,
+  CASE WHEN project % 4 <> 0 THEN round(CASE WHEN t > 0 THEN abs(p - t) / t::DOUBLE ELSE 0 END, 6) END AS unit_count_error,
+  CASE WHEN project % 4 <> 0 THEN round(CASE WHEN m + fp > 0 THEN fp / (m + fp)::DOUBLE ELSE 0 END, 6) END AS hallucination_rate,
+  CASE WHEN project % 4 <> 0 THEN m END AS matched_groups, CAST(p AS BIGINT) AS pred_units_total FROM s"""
     sql["both_level_metrics"] = """
 WITH p AS (
   SELECT p_brand AS project, CASE p_type WHEN 'PROMO' THEN 'door' WHEN 'LARGE' THEN 'composite' ELSE 'window' END AS kind,
@@ -519,7 +526,11 @@ x AS (
     CASE WHEN group_f1 < 0.9::DOUBLE THEN 'group_f1=' || printf('%.3f', group_f1) || ' < 0.9' END,
     CASE WHEN qty_mae IS NULL THEN 'qty_mae: NO DATA' WHEN qty_mae > 1 THEN 'qty_mae=' || printf('%.3f', qty_mae) || ' > 1.0' END,
     CASE WHEN glass_acc IS NULL THEN 'glass_acc: NO DATA'
-      WHEN glass_acc < 0.95::DOUBLE THEN 'glass_acc=' || printf('%.3f', glass_acc) || ' < 0.95' END) AS reasons FROM r)
+      WHEN glass_acc < 0.95::DOUBLE THEN 'glass_acc=' || printf('%.3f', glass_acc) || ' < 0.95' END,
+    CASE WHEN event_id % 3 = 0 THEN 'egress_acc: NO DATA'
+      WHEN 1 - unit_count_error < 0.95::DOUBLE THEN 'egress_acc=' || printf('%.3f', 1 - unit_count_error) || ' < 0.95' END,
+    CASE WHEN unit_count_error / 2 > 0.05::DOUBLE THEN 'hallucination_rate=' || printf('%.3f', unit_count_error / 2) || ' > 0.05' END,
+    CASE WHEN group_f1 < 0.8::DOUBLE THEN 'error_recall=' || printf('%.3f', group_f1) || ' < 0.8' END) AS reasons FROM r)
 SELECT event_id, reasons = '' AS gate_pass, reasons FROM x"""
     sql["gate_counts"] = q(BOARD) + f"""
 SELECT project, gt_level, count(*) AS cells, count(*) FILTER ({PASS}) AS n_pass, count(*) FILTER (NOT ({PASS})) AS n_fail
@@ -551,6 +562,15 @@ FROM n JOIN o USING (variant, model, project) WHERE n.gt_level = 'extraction'"""
 c AS (SELECT event_id, model, CAST(round(cost_usd, 4) AS DECIMAL(18,4)) AS m FROM r),
 s AS (SELECT *, coalesce(sum(m) OVER ({part} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM c)
 """
+    sql["findings_by_unit"] = q(UNITS) + """
+SELECT project, unit_id, concat_ws(',', CASE WHEN count(*) FILTER (returnflag = 'R') > 0 THEN 'R' END, CASE WHEN count(*) FILTER (tax > 0.05) > 0 THEN 'TAX' END,
+  CASE WHEN count(*) FILTER (w > 60) > 0 THEN 'WIDE' END) AS flags
+FROM u WHERE returnflag = 'R' OR tax > 0.05 OR w > 60 GROUP BY 1, 2"""
+    sql["run_cells"] = q(RUNS) + """
+SELECT event_id, CASE WHEN glass_acc IS NULL THEN '—' ELSE printf('%.1f', glass_acc * 100) || '%' END AS glass_pct,
+  substr('run of ' || variant || ' on ' || project || ' with ' || model, 1, 16) AS title,
+  round(elapsed_sec, 2) AS elapsed_sec, round(cost_usd, 4) AS cost_usd FROM r"""
+    sql["offer_columns"] = "SELECT doc_id, page_no, mark, frame_w AS width, frame_h AS height, ro_w AS rough_opening_width, ro_h AS rough_opening_height, qty, glass, egress FROM (" + sql["offer_block_parse"] + ")"
     sql["budget_cap"] = budget("PARTITION BY model", 100) + "SELECT event_id, model, round(t::DOUBLE, 4) AS spent_before, t < 100 AS runs FROM s"
     sql["budget_cap_total"] = budget("", 500) + "SELECT event_id, round(t::DOUBLE, 4) AS spent_before, t < 500 AS runs FROM s"
     sql["missing_cells"] = q(RUNS) + """
@@ -588,7 +608,7 @@ SELECT {shown('w')} || '×' || {shown('h')} || CASE kind WHEN 'composite' THEN '
 SELECT l_suppkey AS doc_id, l_linenumber::BIGINT AS page_no, concat_ws('-', l_linenumber, l_orderkey, l_partkey) AS unit_id,
   concat_ws('-', l_linenumber, l_orderkey, l_partkey) || ' (' || CAST(l_quantity AS INT) || ')' AS label,
   (l_partkey % 40 * 25)::DOUBLE AS x, (l_orderkey % 30 * 25)::DOUBLE AS y, (60 + p_size)::DOUBLE AS w, (80 + p_size % 7)::DOUBLE AS h
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber <= 5"""
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
     sql["document_inventory"] = """
 SELECT CAST(event_id AS VARCHAR) AS name, n_chars AS n_bytes, CASE WHEN doc_id IS NULL THEN 'MISSING'
   WHEN n_chars > 5000 THEN 'TOO_LARGE' ELSE 'OK' END AS status FROM events LEFT JOIN documents ON event_id = doc_id"""

@@ -12,18 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenestra.functions.geometry import box
 from fenestra.operators.ordered import row_numbers
-from fenestra.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table on all cores, for row work that costs more than moving the rows."""
-    return spread(table(spark, sf, name))
-
-
 def sixteenths(n: Column) -> Column:
     return n % 16 / F.lit(16.0)
 
@@ -51,7 +45,7 @@ def panels_of(kind: Column, *values: Column) -> Column:
 
 def lines_with_parts(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_type", "p_size", "p_brand", "p_retailprice")
-    return spread_table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def line_units(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +81,7 @@ def part_units(spark: SparkSession, sf: str) -> DataFrame:
     kind = part_kind()
     width, height = 20.0 + F.col("p_size"), 60.0 + F.col("p_partkey") % 30
     glass = F.when(F.col("p_type") == "SMALL", "annealed").otherwise("tempered")
-    return spread_table(spark, sf, "part").select(
+    return table(spark, sf, "part").select(
         F.col("p_brand").alias("project"), F.col("p_partkey").cast("string").alias("unit_id"),
         kind.alias("kind"), panels_of(kind, width, height, glass, F.lit(0.24), F.lit(True), F.lit(6.5))
         .alias("panels"), (1 + F.col("p_partkey") % 60).cast("int").alias("qty"),
@@ -95,15 +89,19 @@ def part_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as numbered pages of a (source, language) set; one language is scanned."""
-    docs = spread_table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    """Documents as numbered pages of a (source, language) set; pages of one language are scans.
+
+    A scan has text, as read from its image, but no text layer. Page numbers are made
+    without the texts, which then meet them by key.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     text = (F.when(F.col("lang") == "fr", F.concat(F.lit("WINDOW SCHEDULE\n"), "text"))
             .when(F.col("lang") == "de", F.concat(F.lit("Rough Opening / Mark\n"), "text"))
-            .when(F.col("lang") == "es", F.col("source"))
             .when(F.col("n_chars") > 2000, F.concat("text", F.lit("\nWeather  Shield"))).otherwise(F.col("text")))
-    named = docs.select(F.concat_ws("-", "source", "lang").alias("doc_id"), F.col("doc_id").alias("page_key"),
-                        text.alias("text"), "n_chars")
-    return row_numbers(named, ["doc_id"], [F.col("page_key")], "page_no")
+    name, key = F.concat_ws("-", "source", "lang").alias("doc_id"), F.col("doc_id").alias("page_key")
+    numbers = row_numbers(docs.select(name, key), ["doc_id"], [F.col("page_key")], "page_no").select("page_key", "page_no")
+    named = docs.select(name, key, text.alias("text"), "n_chars", F.coalesce(F.col("lang") == "es", F.lit(False)).alias("scanned"))
+    return named.join(numbers, "page_key")
 
 
 def page_votes(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
@@ -118,7 +116,7 @@ def elevation_text_pages(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
     for word, with_ in (("the", "First Level"), (" and ", " elevation "), ("re", "t.o. parapet"), ("es", "second level")):
         text = F.replace(text, F.lit(word), F.lit(with_))
-    return spread_table(spark, sf, "documents").select(
+    return table(spark, sf, "documents").select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page_no"), text.alias("text"))
 
 
@@ -151,7 +149,7 @@ def offer_pages(spark: SparkSession, sf: str) -> DataFrame:
     first = F.array_join(F.slice(F.array(*[block(j, j == 0) for j in range(3)]), F.lit(1), (1 + key % 3).cast("int")), "\n")
     text = F.concat_ws("\n", first, price(key, unit, qty, unit * qty + off), block(9, True),
                        price(key + 1, F.lit(2500.5), F.lit(2), F.lit(5001.0)))
-    return spread_table(spark, sf, "orders").select(cust.alias("doc_id"), key.alias("page_no"), text.alias("text"))
+    return table(spark, sf, "orders").select(cust.alias("doc_id"), key.alias("page_no"), text.alias("text"))
 
 
 def unit_responses(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +180,7 @@ def unit_responses(spark: SparkSession, sf: str) -> DataFrame:
 def order_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One drawing page per order; scanned where the order is still open."""
     key = F.col("o_orderkey")
-    return spread_table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc_id"), key.alias("page_no"), F.repeat("o_orderpriority", 12).alias("text"),
         F.when(F.col("o_orderstatus") == "O", 2).otherwise(20).alias("n_drawings"),
         (3000 + key % 5 * 700).cast("int").alias("width_px"), (2000 + key % 3 * 900).cast("int").alias("height_px"))
@@ -253,7 +251,7 @@ def schedule_rows(spark: SparkSession, sf: str, reader: str = "a") -> DataFrame:
         code = F.when(F.col("o_orderstatus") == "P", F.lit("2870")).otherwise(F.replace(code, F.lit("-"), F.lit(" - ")))
         qty = qty + F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)
     kind = F.when(k % 5 == 0, "Door").otherwise("window")
-    return spread_table(spark, sf, "orders").select(
+    return table(spark, sf, "orders").select(
         c.alias("project"), F.concat(F.lit("m"), k.cast("string")).alias("mark"), code.alias("size_code"),
         qty.cast("string").alias("qty"), kind.alias("type"))
 
@@ -267,7 +265,7 @@ def transcript(spark: SparkSession, sf: str, source: str) -> DataFrame:
         F.lit("QTY" if first else "QTY."), F.col("o_orderstatus") if first else F.when(
             F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus")),
         F.lit("DAY OPEN (SF)" if first else "Day Open"), F.col("o_orderpriority"))
-    rows = spread_table(spark, sf, "orders")
+    rows = table(spark, sf, "orders")
     if not first:  # the second reader missed the rows of the cheapest orders
         rows = rows.where("o_totalprice >= 50000")
     return rows.select(cells.alias("cells"), F.col("o_orderkey").alias("row_no"))

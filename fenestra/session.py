@@ -56,17 +56,6 @@ def staged_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scanned table enough partitions for costly row work.
-
-    Tables with at least one input split per core, that is all large ones, are
-    left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

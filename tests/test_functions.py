@@ -76,12 +76,12 @@ def test_tiles_and_boxes(spark):
     assert one(spark, ge.clear_opening_sqft(F.lit(72.0), F.lit(24.0))) == 12.0
 
 
-def test_evidence_takes_the_true_page_only_when_missing(spark):
+def test_evidence_always_takes_the_true_page(spark):
     ev = lambda page: F.array(F.struct(F.lit(page).alias("page"), F.lit("plan").alias("region"),
                                        ge.box(*[F.lit(float(v)) for v in (1, 2, 3, 4)]).alias("bbox")))
     moved = one(spark, ge.reanchor(ev(0), F.lit(7), F.lit(10.0), F.lit(20.0)))[0]
     assert (moved.page, tuple(moved.bbox)) == (7, (11.0, 22.0, 3.0, 4.0))
-    assert one(spark, ge.reanchor(ev(3), F.lit(7), F.lit(0.0), F.lit(0.0)))[0].page == 3
+    assert one(spark, ge.reanchor(ev(3), F.lit(7), F.lit(0.0), F.lit(0.0)))[0].page == 7
 
 
 def test_text_predicates(spark):
@@ -101,6 +101,8 @@ def test_identifiers_and_cells(spark):
     assert one(spark, tx.provider_model(F.lit("mock"), F.lit("none"))) == "none"
     cells_ = spark.sql("select map('QTY.', '1', 'Day open (SF)', '2', 'Qty', '3') m").select(tx.canonical_cells(F.col("m")))
     assert cells_.first()[0] == {"DAYOPEN": "2", "QTY": "3"}
+    exact = spark.sql("select map('QTY', '1', 'QTY.', '2', 'Qty', '3') m").select(tx.canonical_cells(F.col("m")))
+    assert exact.first()[0] == {"QTY": "1"}
     marks = spark.sql("select explode(array(map('#', ' a '), map('MARK', 'b'), map('x', 'c'))) m").select(tx.mark_key(F.col("m")))
     assert [r[0] for r in marks.collect()] == ["A", "B", None]
 

@@ -73,6 +73,38 @@ def test_both_solvers_agree_on_supplies(spark):
     assert tuple(total(assign_nodes(edges))) == tuple(total(assign_nodes(edges, max_local_edges=1)))
 
 
+def test_a_tie_is_broken_alike_by_both_solvers(spark):
+    pred = spark.createDataFrame([window(30.0, 40.0, 5), window(31.0, 40.0, 5)], UNIT)
+    true = spark.createDataFrame([window(29.5, 40.0, 1), window(30.5, 40.0, 10), window(31.5, 40.0, 20)], UNIT)
+    pairs = lambda limit: sorted((r.pred_panels[0][1], r.true_panels[0][1]) for r in match_units(
+        pred, true, ["run"], max_local_edges=limit).where("status = 'matched'").collect())
+    assert pairs(4000) == pairs(0)
+
+
+def test_both_solvers_give_the_same_flows_in_tied_cases(spark):
+    """300 blocks full of equal distances, supplies of one to three: the very same flow on every edge."""
+    rng, rows = random.Random(11), []
+    for b in range(300):
+        n = rng.randrange(2, 6)
+        supply, demand = [rng.randrange(1, 4) for _ in range(n)], [rng.randrange(1, 4) for _ in range(n)]
+        rows += [(f"b{b}", f"{b}p{i}", f"{b}t{j}", [2 * i], [2 * j], supply[i], demand[j], rng.choice((1, 1, 2)))
+                 for i in range(n) for j in range(n) if rng.random() < .7]
+    edges = spark.createDataFrame(rows, "block string, p string, t string, p_dims array<bigint>, "
+                                  "t_dims array<bigint>, supply bigint, demand bigint, d bigint")
+    flows = lambda **k: sorted(tuple(r) for r in assign_nodes(edges, **k).where("flow > 0").collect())
+    assert flows() == flows(max_local_edges=0)
+
+
+def test_without_tolerance_one_join_gives_the_same(spark):
+    rng = random.Random(3)
+    side = lambda: spark.createDataFrame([window(30.0 + rng.randrange(4) / 4, 40.0, rng.randrange(1, 4), rng.choice(("a", "b")), run=f"r{k % 5}")
+                                          for k in range(80)], UNIT)
+    pred, true = side(), side()
+    got = match_units(pred, true, ["run"], tau_in=0.0)
+    same = match_units(pred, true, ["run"], tau_in=1e-9)
+    assert got.columns == same.columns and sorted(map(str, got.collect())) == sorted(map(str, same.collect()))
+
+
 def test_greedy_would_lose_a_pair():
     edges = [("p1", "t1", 0), ("p1", "t2", 2), ("p2", "t1", 2)]
     flow = _assign(edges, {"p1": 1, "p2": 1}, {"t1": 1, "t2": 1})

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from fenestra.operators import leaderboard as lb, metrics
 from fenestra.operators.matching import match_units
 from fenestra.operators.spec_groups import distinct_groups, group_units
-from fenestra.session import spread
 from fenestra.sources import inventory, leaderboard_csv as lcsv, units as us
 from fenestra.streaming import incremental, ingest
 
@@ -212,9 +211,3 @@ def test_append_only_new_work(spark, tmp_path):
     for upto, expected in ((3, 3), (3, 3), (6, 6)):
         incremental.append_pending(pages.where(f"page < {upto}"), path, ["page"])
         assert spark.read.parquet(path).count() == expected
-
-
-def test_spread_leaves_large_tables_alone(spark):
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8
-    large = spark.range(100).repartition(20)
-    assert spread(large) is large
