@@ -31,12 +31,12 @@ def key_panels(panels: Column, bucket: float = DEFAULT_BUCKET, mode: str = "full
 
 
 def key_text(kind: Column, panels: Column, bucket: float = DEFAULT_BUCKET) -> Column:
-    """Readable form of a key; sizes are bucket counts, so it is exact."""
+    """Readable form of a key; sizes are bucket counts, so it is exact. NULL without panels to show."""
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
     one = lambda p: F.concat_ws(
         ":", shown(p["role"]), shown(round_steps(p["w"], bucket)), shown(round_steps(p["h"], bucket)),
         shown(p["glass"]), shown(p["u_bucket"]), shown(p["egress"]))
-    return F.concat_ws("|", kind, F.concat_ws("+", F.transform(panels, one)))
+    return F.when(panels.isNotNull(), F.concat_ws("|", kind, F.concat_ws("+", F.transform(panels, one))))
 
 
 def with_key(units: DataFrame, bucket: float = DEFAULT_BUCKET, mode: str = "full") -> DataFrame:
