@@ -661,6 +661,31 @@ SELECT {shown('w')} || '×' || {shown('h')} || CASE kind WHEN 'composite' THEN '
   printf('%.2f', 0.5::DOUBLE + discount) AS conf, CASE WHEN returnflag <> 'R' AND linestatus <> 'O' THEN '—' ELSE
     concat_ws(', ', CASE returnflag WHEN 'R' THEN 'r' END, CASE linestatus WHEN 'O' THEN 'o' END) END AS flags_text,
   '—' AS gaps_text, count(*) AS n FROM u GROUP BY 1, 2, 3, 4"""
+    # the greedy walk, box after box: one goes to the first box that stayed and overlaps it, or stays itself
+    side = lambda o, z: f"greatest(0, least(bs[k].{o} + bs[k].{z}, bs[i + 1].{o} + bs[i + 1].{z}) - greatest(bs[k].{o}, bs[i + 1].{o}))"
+    common = f"({side('x', 'w')} * {side('y', 'h')})"
+    sql["dedup_boxes"] = f"""
+WITH RECURSIVE r AS (
+  SELECT l_suppkey AS doc_id, l_linenumber AS page, CASE p_type WHEN 'PROMO' THEN 'door' WHEN 'LARGE' THEN 'composite' ELSE 'window' END AS kind,
+    concat_ws('-', l_linenumber, l_orderkey, l_partkey) AS unit_id, CAST(l_quantity AS INT)::BIGINT AS qty, 0.5::DOUBLE + l_discount AS conf,
+    (l_partkey % 40 * 25)::DOUBLE AS x, (l_orderkey % 30 * 25)::DOUBLE AS y, (60 + p_size)::DOUBLE AS w, (80 + p_size % 7)::DOUBLE AS h,
+    row_number() OVER (PARTITION BY l_suppkey, l_linenumber, kind ORDER BY l_orderkey, l_partkey) AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+g AS (SELECT doc_id, page, kind, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY n) AS bs FROM r GROUP BY 1, 2, 3),
+walk AS (
+  SELECT doc_id, page, kind, bs, 0::BIGINT AS i, []::BIGINT[] AS kept, []::BIGINT[] AS owner FROM g
+  UNION ALL
+  SELECT doc_id, page, kind, bs, i + 1, CASE WHEN hit IS NULL THEN list_append(kept, i + 1) ELSE kept END, list_append(owner, coalesce(hit, i + 1))
+  FROM (SELECT *, [k FOR k IN kept IF {common} / (bs[k].w * bs[k].h + bs[i + 1].w * bs[i + 1].h - {common}) > 0.4][1] AS hit
+    FROM walk WHERE i < len(bs))),
+o AS (
+  SELECT doc_id, page, kind, n, owner[n] AS owner
+  FROM (SELECT *, unnest(range(1, len(bs) + 1)) AS n FROM walk WHERE i = len(bs))),
+j AS (
+  SELECT r.*, owner, conf > coalesce(max(conf) OVER (PARTITION BY r.doc_id, r.page, r.kind, owner ORDER BY n
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS record FROM r JOIN o USING (doc_id, page, kind, n))
+SELECT doc_id, max(unit_id) FILTER (n = owner) AS unit_id, kind, max(qty) FILTER (record) AS qty, max(conf) AS confidence, count(*) AS n_merged
+FROM j GROUP BY doc_id, page, kind, owner"""
     sql["page_boxes"] = """
 SELECT l_suppkey AS doc_id, l_linenumber::BIGINT AS page_no, concat_ws('-', l_linenumber, l_orderkey, l_partkey) AS unit_id,
   concat_ws('-', l_linenumber, l_orderkey, l_partkey) || ' (' || CAST(l_quantity AS INT) || ')' AS label,
