@@ -159,13 +159,14 @@ def owners(units: DataFrame, scope: list[str], order: list[str], threshold: floa
            max_local_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     """Add ``rid`` and ``parent``: the detection that each one is merged into (itself if it stays).
 
-    ``order`` is unique within ``scope``. ``page_scoped=False`` also merges equal
-    positions on different pages.
+    Detections of equal ``order`` follow each other by confidence and quantity.
+    ``page_scoped=False`` also merges equal positions on different pages.
     """
-    keyed = with_key(units, bucket).withColumns({
+    again = Window.partitionBy(*scope, *order).orderBy("confidence", "qty", "kind")
+    keyed = with_key(units, bucket).withColumn("_again", F.row_number().over(again)).withColumns({
         "grp": F.to_json(F.struct(*scope, "kind", "key_panels")),
-        "rid": F.to_json(F.struct(*scope, *order)), "seq": F.struct(*order),
-        "boxes": _boxes(page_scoped)})
+        "rid": F.to_json(F.struct(*scope, *order, "_again")), "seq": F.struct(*order, "_again"),
+        "boxes": _boxes(page_scoped)}).drop("_again")
     keyed = stage(keyed, "keyed")
     rows = keyed.select("grp", "rid", "seq", "boxes")
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))

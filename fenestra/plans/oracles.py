@@ -669,7 +669,7 @@ WITH RECURSIVE r AS (
   SELECT l_suppkey AS doc_id, l_linenumber AS page, CASE p_type WHEN 'PROMO' THEN 'door' WHEN 'LARGE' THEN 'composite' ELSE 'window' END AS kind,
     concat_ws('-', l_linenumber, l_orderkey, l_partkey) AS unit_id, CAST(l_quantity AS INT)::BIGINT AS qty, 0.5::DOUBLE + l_discount AS conf,
     (l_partkey % 40 * 25)::DOUBLE AS x, (l_orderkey % 30 * 25)::DOUBLE AS y, (60 + p_size)::DOUBLE AS w, (80 + p_size % 7)::DOUBLE AS h,
-    row_number() OVER (PARTITION BY l_suppkey, l_linenumber, kind ORDER BY l_orderkey, l_partkey) AS n
+    row_number() OVER (PARTITION BY l_suppkey, l_linenumber, kind ORDER BY l_orderkey, l_partkey, conf, qty) AS n
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 g AS (SELECT doc_id, page, kind, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY n) AS bs FROM r GROUP BY 1, 2, 3),
 walk AS (
