@@ -136,13 +136,20 @@ def strategy_summary(rows: DataFrame, scope: list[str] | None = None) -> DataFra
 
 
 def title_facts(rows: DataFrame) -> DataFrame:
-    """Row count and the distinct strategies, models, projects and levels, as one row."""
+    """Row count, numbers of models and projects, the strategies and levels, and the best extraction row, as one row.
+
+    Strategies and levels come from short fixed lists; models and projects do not, and are counted.
+    """
     named = lambda c: F.count_distinct(F.when((F.col(c) != WILDCARD) & (F.col(c) != ""), F.col(c)))
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(
         F.when((F.col(c) != WILDCARD) & (F.col(c) != ""), F.col(c)))), ",")
+    clean = (F.col("gt_level") == "extraction") & (F.coalesce("error", F.lit("")) == "")
+    rank = F.when(clean, F.struct((-F.coalesce("group_f1", F.lit(0.0))).alias("f"), *KEYS))
+    best = F.min_by(F.struct(*KEYS, "group_f1"), rank)
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), listed("variant").alias("variants"),
-                    named("model").alias("n_models"), listed("project").alias("projects"),
-                    listed("gt_level").alias("levels"))
+                    named("model").alias("n_models"), named("project").alias("n_projects"),
+                    listed("gt_level").alias("levels"), best["variant"].alias("best_variant"),
+                    best["model"].alias("best_model"), best["project"].alias("best_project"), best["group_f1"].alias("best_f1"))
 
 
 def round_delta(now: DataFrame, before: DataFrame, recency: list[str],
@@ -180,6 +187,14 @@ def within_budget(costs: DataFrame, order: list[str], cap: float, scope: list[st
     return out.withColumn("runs", runs)
 
 
+def budget_markers(capped: DataFrame, order: list[str], scope: list[str] | None = None) -> DataFrame:
+    """One row per scope whose cap was hit: the first cell that did not run, and what was spent before it."""
+    stopped = capped.where(~F.col("runs"))
+    first = F.min(F.struct(*order, "spent_before")).alias("_m")
+    found = stopped.groupBy(*(scope or [])).agg(first, F.count(F.lit(1)).alias("n_skipped")).where("_m is not null")
+    return found.select(*(scope or []), *[F.col(f"_m.{c}").alias(c) for c in order], F.col("_m.spent_before").alias("spent"), "n_skipped")
+
+
 def missing_cells(spark, variants: list[str], models: list[str], projects: list[str],
                   rows: DataFrame) -> DataFrame:
     """Cells of the requested grid without a row yet."""

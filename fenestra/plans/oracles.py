@@ -470,13 +470,13 @@ SELECT page_no, count(*) AS n_tiles, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y
 FROM ts GROUP BY 1"""
     sql["iou_pairs"] = """
 WITH b AS (
-  SELECT label, vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y,
+  SELECT label, vec_id // 100 AS page, vec_id, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y,
     20 + abs(embedding[3]::DOUBLE) * 100 AS w, 20 + abs(embedding[4]::DOUBLE) * 100 AS h FROM embeddings),
 j AS (
-  SELECT a.label, a.vec_id AS a_id, b.vec_id AS b_id, a.w * a.h + b.w * b.h AS areas,
+  SELECT a.label, a.page, a.vec_id AS a_id, b.vec_id AS b_id, a.w * a.h + b.w * b.h AS areas,
     greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i
-  FROM b a JOIN b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT label::BIGINT AS label, a_id, b_id, round(i / (areas - i), 6) AS iou FROM j WHERE i / (areas - i) > 0.4"""
+  FROM b a JOIN b ON a.label = b.label AND a.page = b.page AND a.vec_id < b.vec_id)
+SELECT label::BIGINT AS label, page, a_id, b_id, round(i / (areas - i), 6) AS iou FROM j WHERE i / (areas - i) > 0.4"""
     sql["consensus"] = q(KEYED) + f""",
 s AS (SELECT *, line % 4 AS r, {key()} AS spec_key FROM k),
 g AS (
@@ -603,8 +603,11 @@ s AS (
 SELECT project, variant, coalesce(cells, 0) AS cells, n_pass, n_fail, round(n_pass * 100.0::DOUBLE / cells, 6) AS pass_pct,
   round(f, 6) AS best_group_f1, round(c, 6) AS min_cost_usd FROM d LEFT JOIN s USING (project, variant)"""
     sql["title_facts"] = q(BOARD) + """
-SELECT count(*) AS n_rows, string_agg(DISTINCT variant, ',' ORDER BY variant) AS variants, count(DISTINCT model) AS n_models,
-  string_agg(DISTINCT project, ',' ORDER BY project) AS projects, string_agg(DISTINCT gt_level, ',' ORDER BY gt_level) AS levels FROM b"""
+SELECT count(*) AS n_rows, string_agg(DISTINCT b.variant, ',' ORDER BY b.variant) AS variants, count(DISTINCT b.model) AS n_models,
+  count(DISTINCT b.project) AS n_projects, string_agg(DISTINCT b.gt_level, ',' ORDER BY b.gt_level) AS levels,
+  max(best.variant) AS best_variant, max(best.model) AS best_model, max(best.project) AS best_project, round(max(best.group_f1), 6) AS best_f1
+FROM b, (SELECT variant, model, project, group_f1 FROM b WHERE gt_level = 'extraction' AND error IS NULL
+  ORDER BY group_f1 DESC NULLS LAST, variant, model, project LIMIT 1) best"""
     sql["round_delta"] = q(RUNS) + """,
 n AS (
   SELECT * FROM r WHERE hour(mtime) >= 12 QUALIFY row_number() OVER (
@@ -619,6 +622,24 @@ FROM n JOIN o USING (variant, model, project) WHERE n.gt_level = 'extraction'"""
 c AS (SELECT event_id, model, CAST(round(cost_usd, 4) AS DECIMAL(18,4)) AS m FROM r),
 s AS (SELECT *, coalesce(sum(m) OVER ({part} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM c)
 """
+    sql["budget_markers"] = budget("PARTITION BY model", 100) + """, x AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY event_id) AS n,
+  count(*) OVER (PARTITION BY model) AS n_skipped FROM s WHERE t >= 100)
+SELECT model, event_id, round(t::DOUBLE, 4) AS spent, n_skipped FROM x WHERE n = 1"""
+    sql["variants_round_trip"] = q(UNITS) + """
+SELECT 'v' || (partkey % 5) AS variant_id, kind, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM u GROUP BY 1, 2"""
+    sql["report_round_trip"] = q(RUNS) + """
+SELECT 'r1' AS version, variant, count(*) AS n, round(sum(group_f1), 4) AS f1, TRUE AS dated FROM r GROUP BY 2"""
+    sql["leaderboard_round_trip"] = q(BOARD) + """
+SELECT variant, model, project, gt_level, round(group_f1, 6) AS group_f1, round(cost_usd, 6) AS cost_usd FROM b"""
+    sql["order_overlaps"] = """
+WITH x AS (
+  SELECT l_orderkey AS doc_id, l_returnflag = 'R' AS r, (l_partkey % 40 * 25)::DOUBLE AS x, (l_linenumber * 40)::DOUBLE AS y,
+    (60 + p_size)::DOUBLE AS w, (80 + p_size % 7)::DOUBLE AS h FROM lineitem JOIN part ON l_partkey = p_partkey),
+j AS (
+  SELECT a.doc_id, a.w * a.h + b.w * b.h AS areas,
+    greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i
+  FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.r AND NOT b.r)
+SELECT d.doc_id, coalesce(bool_or(i / (areas - i) > 0.4), FALSE) AS overlaps FROM (SELECT DISTINCT doc_id FROM x) d LEFT JOIN j USING (doc_id) GROUP BY 1"""
     sql["findings_by_unit"] = q(UNITS) + """
 SELECT project, unit_id, concat_ws(',', CASE WHEN count(*) FILTER (returnflag = 'R') > 0 THEN 'R' END, CASE WHEN count(*) FILTER (tax > 0.05) > 0 THEN 'TAX' END,
   CASE WHEN count(*) FILTER (w > 60) > 0 THEN 'WIDE' END) AS flags

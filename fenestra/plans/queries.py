@@ -386,13 +386,13 @@ def grid_tiles(spark, sf):
 
 @query
 def iou_pairs(spark, sf):
-    """Overlapping box pairs of a label; boxes are four values of each vector."""
+    """Overlapping box pairs of a label on a page of a hundred boxes; boxes are four values of each vector."""
     part = lambda i: F.get("embedding", F.lit(i)).cast("double")
     boxes = si.table(spark, sf, "embeddings").select(
-        "label", "vec_id", ge.box(part(0) * 100, part(1) * 100, 20 + F.abs(part(2)) * 100,
+        "label", F.floor(F.col("vec_id") / 100).alias("page"), "vec_id", ge.box(part(0) * 100, part(1) * 100, 20 + F.abs(part(2)) * 100,
                                                       20 + F.abs(part(3)) * 100).alias("b"))
-    return overlaps.overlap_pairs(boxes, ["label"], "vec_id", "b").select(
-        F.col("label").cast("bigint").alias("label"), "a_id", "b_id", _r("iou"))
+    return overlaps.overlap_pairs(boxes, ["label", "page"], "vec_id", "b").select(
+        F.col("label").cast("bigint").alias("label"), "page", "a_id", "b_id", _r("iou"))
 
 
 @query
@@ -667,7 +667,7 @@ def strategy_summary(spark, sf):
 
 @query
 def title_facts(spark, sf):
-    return lb.title_facts(_board(spark, sf))
+    return lb.title_facts(_board(spark, sf)).withColumn("best_f1", _r("best_f1"))
 
 
 @query
@@ -689,6 +689,53 @@ def budget_cap(spark, sf):
     return capped.select("event_id", "model", _r(F.col("spent_before").cast("double"), 4).alias("spent_before"), "runs")
 
 
+@query
+def budget_markers(spark, sf):
+    """Per model the first run that the budget stopped."""
+    cells = si.runs(spark, sf).select("event_id", "model", F.round("cost_usd", 4).alias("cost_usd"))
+    found = lb.budget_markers(lb.within_budget(cells, ["event_id"], 100.0, ["model"]), ["event_id"], ["model"])
+    return found.withColumn("spent", _r(F.col("spent").cast("double"), 4))
+
+
+@query
+def variants_round_trip(spark, sf):
+    """Units of five variants, written by variant and read back."""
+    path = staged_path(spark, "variants")
+    units = si.line_units(spark, sf).select(
+        F.concat(F.lit("v"), (F.col("partkey") % 5).cast("string")).alias("variant_id"), "unit_id", "kind", "qty")
+    us.write_variants(units, path)
+    return spark.read.json(path).groupBy("variant_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("qty").alias("qty"))
+
+
+@query
+def report_round_trip(spark, sf):
+    """Result rows written as a dated, versioned report and read back."""
+    path = staged_path(spark, "report")
+    us.write_report(si.runs(spark, sf).select("variant", "group_f1"), path, "r1")
+    return spark.read.json(path).groupBy("version", "variant").agg(
+        F.count(F.lit(1)).alias("n"), _r(F.sum("group_f1"), 4).alias("f1"), F.bool_and(F.col("generated").isNotNull()).alias("dated"))
+
+
+@query
+def leaderboard_round_trip(spark, sf):
+    """The leaderboard as a CSV with named columns, read back by them."""
+    path = staged_path(spark, "board")
+    lcsv.write_leaderboard(_board(spark, sf).select(*lb.KEYS, "group_f1", "cost_usd"), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(*lb.KEYS, *[_r(F.col(c).cast("double")).alias(c) for c in ("group_f1", "cost_usd")])
+
+
+@query
+def order_overlaps(spark, sf):
+    """Does a returned line's box overlap another line's box of its order?"""
+    b = ge.box(F.col("l_partkey") % 40 * 25, F.col("l_linenumber") * 40, 60 + F.col("p_size"), 80 + F.col("p_size") % 7)
+    boxes = si.lines_with_parts(spark, sf).select("l_orderkey", "l_returnflag", b.alias("b"))
+    of = lambda c: F.collect_list(F.when(c, F.col("b")))  # an order has few lines
+    returned = F.col("l_returnflag") == "R"
+    return boxes.groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+        ge.any_overlap(of(returned), of(~returned)).alias("overlaps"))
+
+
 @query
 def budget_cap_total(spark, sf):
     """One budget over all runs."""
