@@ -719,10 +719,10 @@ SELECT CAST(event_id AS VARCHAR) AS name, n_chars AS n_bytes, CASE WHEN doc_id I
 SELECT 'm_' || returnflag AS model, kind, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty, 0::BIGINT AS rejects,
   CAST(sum(CASE kind WHEN 'composite' THEN 2 ELSE 1 END) AS BIGINT) AS panels, sum(w) AS width_sum, 1.0::DOUBLE AS confidence
 FROM u GROUP BY 1, 2"""
-    sql["csv_partial_merge"] = q(RUNS) + f""",
+    sql["csv_partial_merge"] = q(RUNS) + """,
 h AS (
-  SELECT * REPLACE (CASE WHEN hour(mtime) < 12 THEN 'e' ELSE 'l' END || project AS project), hour(mtime) < 12 AS early FROM r
-  QUALIFY row_number() OVER (PARTITION BY early, variant, model, project, gt_level ORDER BY event_id DESC) = 1)
+  SELECT *, hour(mtime) < 12 AS early FROM r
+  QUALIFY row_number() OVER (PARTITION BY variant, model, project, gt_level ORDER BY hour(mtime) < 12, event_id DESC) = 1)
 SELECT variant, model, project, gt_level, round(group_f1, 6) AS group_f1, round(unit_count_error, 6) AS unit_count_error,
   CASE WHEN early THEN round(qty_mae, 6) END AS qty_mae, round(cost_usd, 6) AS cost_usd,
   CASE WHEN NOT early THEN round(glass_acc, 6) END AS glass_acc, CASE WHEN early THEN error END AS error FROM h"""

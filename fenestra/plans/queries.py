@@ -855,13 +855,12 @@ def units_jsonl_round_trip(spark, sf):
 
 @query
 def csv_partial_merge(spark, sf):
-    """Partial leaderboards with different headers, merged to the newest row per key."""
+    """Partial leaderboards with different headers and common keys, merged: the later file wins."""
     path = staged_path(spark, "boards")
     runs = si.runs(spark, sf).drop("elapsed_sec")
     for half, dropped in (("early", ["glass_acc", "mtime"]), ("late", ["error", "qty_mae", "mtime"])):
         side = F.hour("mtime") < 12 if half == "early" else F.hour("mtime") >= 12
-        rows = lb.latest_wins(runs.where(side), ["event_id"]).drop(*dropped).withColumn("project", F.concat(
-            F.lit(half[0]), "project"))
+        rows = lb.latest_wins(runs.where(side), ["event_id"]).drop(*dropped)
         lcsv.write_partials(rows, f"{path}/{half}")
     merged = lcsv.merge_leaderboards(spark, path)
     return merged.select(*lb.KEYS, *[_r(c) for c in (*_FIGURES, "glass_acc")], "error")
@@ -889,8 +888,7 @@ def stream_merge_latest(spark, sf):
     root, checkpoint = staged_path(spark, "versions"), staged_path(spark, "offsets")
     merge = incremental.merge_batch(root, ["ts", "event_id"], ["user_id", "event_type"])
     ingest.for_each_batch(_event_stream(spark, sf), checkpoint, merge)
-    version = incremental.current_version(spark, root)
-    return spark.read.parquet(f"{root}/v{version:012d}").select("user_id", "event_type", "event_id", "value")
+    return incremental.read_current(spark, root).select("user_id", "event_type", "event_id", "value")
 
 
 @query

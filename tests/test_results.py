@@ -201,13 +201,21 @@ def test_merge_versions(spark, tmp_path):
     merge(rows(("a", 2, 2)), 1)
     merge(rows(("a", 2, 2)), 1)          # the same batch once more
     merge(rows(("a", 0, 9)), 2)          # older than what is there
-    latest = spark.read.parquet(f"{root}/v{incremental.current_version(spark, root):012d}")
-    assert {r.k: r.x for r in latest.collect()} == {"a": 2, "b": 1}
+    assert {r.k: r.x for r in incremental.read_current(spark, root).collect()} == {"a": 2, "b": 1}
+    held = sorted(p.parent.name[-1] + p.name for p in (tmp_path / "v").glob("v*/_bucket=*"))
+    a, b = ({h[1:] for h in held if h[0] in v} for v in ("12", "0"))
+    assert a < b | a and len(a) == 1        # later batches wrote the bucket of "a" only
+    assert [h[0] for h in held if h[1:] in a] == ["1", "2"]   # of which two versions are kept
+
+
+def test_merge_of_nothing(spark, tmp_path):
+    assert incremental.read_current(spark, str(tmp_path / "none")) is None
 
 
 def test_append_only_new_work(spark, tmp_path):
     path = str(tmp_path / "done")
     pages = spark.range(6).withColumnRenamed("id", "page")
+    incremental.append_pending(spark.createDataFrame([(0,), (0,)], "page bigint"), path, ["page"])
     for upto, expected in ((3, 3), (3, 3), (6, 6)):
         incremental.append_pending(pages.where(f"page < {upto}"), path, ["page"])
         assert spark.read.parquet(path).count() == expected
