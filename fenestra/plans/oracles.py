@@ -727,7 +727,8 @@ SELECT variant, model, project, gt_level, round(group_f1, 6) AS group_f1, round(
   CASE WHEN early THEN round(qty_mae, 6) END AS qty_mae, round(cost_usd, 6) AS cost_usd,
   CASE WHEN NOT early THEN round(glass_acc, 6) END AS glass_acc, CASE WHEN early THEN error END AS error FROM h"""
     sql["stream_ingest_dedup"] = """
-SELECT DISTINCT event_type || '-' || user_id AS name, json_extract_string(props, '$.k') AS size, event_type, user_id FROM events"""
+SELECT event_type || '-' || user_id AS name, json_extract_string(props, '$.k') AS size, event_type, user_id, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY ts, event_id) = 1"""
     sql["stream_merge_latest"] = """
 SELECT user_id, event_type, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"""

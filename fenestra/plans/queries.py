@@ -877,9 +877,8 @@ def stream_ingest_dedup(spark, sf):
     """Events as a file stream, one row per (name, size), run twice on one checkpoint."""
     sink, checkpoint = staged_path(spark, "sink"), staged_path(spark, "offsets")
     for _ in range(2):
-        once = ingest.drop_repeats(_event_stream(spark, sf), ["name", "size"], "ts", "365 days")
-        ingest.run_once(once.select("name", "size", "event_type", "user_id"), sink, checkpoint)
-    return spark.read.parquet(sink).select("name", "size", "event_type", "user_id")
+        ingest.for_each_batch(_event_stream(spark, sf), checkpoint, ingest.append_new(sink, ["name", "size"], ["ts", "event_id"]))
+    return spark.read.parquet(sink).select("name", "size", "event_type", "user_id", "event_id")
 
 
 @query

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from fenestra.streaming.incremental import read_or_empty
+
 # fixed schema of the binary file source
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -61,6 +63,22 @@ def for_each_batch(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame,
     return query
 
 
+def append_new(sink: str, keys: list[str], first: list[str]) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: append the rows whose keys the sink does not have yet.
+
+    Of repeated keys in a batch the first by ``first`` stays. The sink itself is the history, so
+    nothing is kept in state however far apart repeats are, and a batch that is run again adds nothing.
+    """
+    def append(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in keys]
+        once = batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*first)).alias("_r")).select(*keys, "_r.*")
+        done = read_or_empty(batch.sparkSession, sink, once).select(*[F.col(k).alias(f"_done_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys]
+        once.join(done, same, "left_anti").write.mode("append").parquet(sink)
+
+    return append
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     """Recent progress of a query as a table: batch, rows in, duration."""
     rows = [(query.name or "", str(p["id"]), int(p["batchId"]), int(p["numInputRows"]),

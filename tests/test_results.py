@@ -181,6 +181,15 @@ def test_file_stream_twice(spark, tmp_path):
     assert names_after_run() == ["a.pdf", "b.pdf"]
 
 
+def test_append_new_needs_no_state(spark, tmp_path):
+    sink = str(tmp_path / "sink")
+    append = ingest.append_new(sink, ["k"], ["t"])
+    rows = lambda *r: spark.createDataFrame(r, "k string, t int")
+    for i, batch in enumerate((rows(("a", 2), ("a", 1), (None, 3)), rows(("a", 0), ("b", 5), (None, 1)), rows(("b", 5)))):
+        append(batch, i)
+    assert sorted((r.k or "", r.t) for r in spark.read.parquet(sink).collect()) == [("", 3), ("a", 1), ("b", 5)]
+
+
 def test_small_sinks(spark, tmp_path):
     rows = board(spark, ("A", "m", .123456, 1., 1., 1.23456, None)).withColumn("elapsed_sec", F.lit(1.239))
     based = lb.base_row(rows).first()
