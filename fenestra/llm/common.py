@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -40,6 +41,25 @@ def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Send at most ``rows`` rows to Python at once in the jobs that run inside; the setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, usual)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, which bounds what a task makes of them at once."""
+    for batch in batches:
+        for start in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(start, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """Groups of a sorted partition, one at a time: the values of the first ``keys`` columns, and the rows."""
     held, group = None, []

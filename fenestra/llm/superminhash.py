@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fenestra.llm.common import runs, ship
+from fenestra.llm.common import runs, ship, slices, small_batches
 from fenestra.session import stage
 
 ship(__name__)
@@ -138,7 +138,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_id binary, sig binary"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -153,7 +153,7 @@ def _with_sets(docs: DataFrame) -> DataFrame:
     """c, n, sig and the shingle set of every row of (id, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -310,11 +310,8 @@ def _texts_of_one_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(held.groupBy("id").agg(F.min("c").alias("b")), "id").where("c != b").select(F.col("c").alias("a"), "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept of every document.
-
-    ``component_id`` is the least id reachable over links; null for a null id, which is always kept.
-    """
+def _components_of_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows, classes of equal sets, and the root of each class that is not its own; all written."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = stage(_signed(source), "signatures")
     filled = signed.where("n_shingles > 0 and id is not null")
@@ -340,7 +337,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     suspects = stage(_suspects(dealt.join(sets.drop("shingles"), "c")), "suspects")
     more = stage(_confirmed(suspects.join(sets, "c")), "links")
     found = components(links.unionByName(more))
+    return signed, classes, found
 
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id, kept of every document.
+
+    ``component_id`` is the least id reachable over links; null for a null id, which is always kept.
+    """
+    with small_batches(docs.sparkSession):
+        signed, classes, found = _components_of_sets(docs, id_col, text_col)
     rooted = classes.select("set_id", "c").join(found, "c", "left").select("set_id", F.coalesce("root", "c").alias("_root"))
     joined = signed.drop("sig").join(rooted, "set_id", "left")
     kind = docs.schema[id_col].dataType
