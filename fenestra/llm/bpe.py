@@ -24,7 +24,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm.common import ship, with_fields
+from fenestra.llm.common import ship, slices, with_fields
 
 ship(__name__)
 
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, text_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(x, "<u4").astype(np.int64)
                    for x in encoder.ids(batch.column(len(carried)).to_pylist())]
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, keep: list[str], path: str, pattern: str, ids_col
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value["tokens"]
-        for batch in batches:
+        for batch in slices(batches):
             texts = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column(len(carried)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(carried)], pa.array(texts, pa.binary())], names=[*carried, "bytes"])
@@ -216,7 +216,7 @@ def digests(docs: DataFrame, keep: list[str], path: str, pattern: str, text_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sha = Encoder(shared.value), lambda x: hashlib.sha256(x).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(len(x) // 4, sha(x), sha(encoder.text(x)))
                     for x in encoder.ids(batch.column(len(carried)).to_pylist())]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())

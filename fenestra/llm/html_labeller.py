@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fenestra.llm.common import ship, with_fields
+from fenestra.llm.common import ship, slices, with_fields
 
 ship(__name__)
 
@@ -37,8 +37,8 @@ SEED = 11
 HIDDEN = 24
 PATH_DIM, WORD_DIM, SHAPE_DIM = 256, 32, 6
 INPUTS = PATH_DIM + WORD_DIM + SHAPE_DIM
-#: Pages whose blocks go through the network together.
-PAGES_AT_ONCE = 64
+#: Pages that go through the network together, and their blocks with padding; a page alone may have more.
+PAGES_AT_ONCE, BLOCKS_AT_ONCE = 64, 8_192
 #: Words whose hash a task remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
 
@@ -396,8 +396,12 @@ def label(w: Weights, pages: list[list[tuple]], vectors: Vectors) -> list[np.nda
     """Per page, which of its blocks are main text; pages of like length share a run of the network."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for start in range(0, len(order), PAGES_AT_ONCE):
-        part = order[start:start + PAGES_AT_ONCE]
+    start = 0
+    while start < len(order):
+        upto = start + 1
+        while upto < len(order) and upto - start < PAGES_AT_ONCE and (upto + 1 - start) * len(pages[order[upto]]) <= BLOCKS_AT_ONCE:
+            upto += 1
+        part, start = order[start:upto], upto
         odds = scores(w, *_padded([vectors.page(pages[i]) for i in part]))
         for row, i in zip(odds, part):
             out[i] = row[:len(pages[i])] > 0
@@ -412,7 +416,7 @@ def main_text(pages: DataFrame, keep: list[str], html_col: str = "html", weights
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors()
-        for batch in batches:
+        for batch in slices(batches):
             found = [blocks(p) for p in batch.column(len(carried)).to_pylist()]
             texts = ["\n\n".join(b[1] for b, k in zip(page, kept) if k)
                      for page, kept in zip(found, label(shared.value, found, vectors))]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenestra.llm.common import ship, with_fields
+from fenestra.llm.common import ship, slices, with_fields
 
 ship(__name__)
 
@@ -103,7 +103,7 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     carried = [c for c in schema.names if c not in MEASURES]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(t) for t in batch.column(len(carried)).to_pylist()]
             found = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
             yield pa.RecordBatch.from_arrays(
