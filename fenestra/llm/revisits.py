@@ -5,7 +5,7 @@ latest earlier full response of the same canonical URL; its validators must agre
 response; the headers a 304 answer may update replace those of the response.
 
 The join is one range partitioning by (URL, date) and a running "last response" in each piece;
-what reaches a piece from earlier ones is one row per URL and piece. So a URL with a third of all
+what reaches a piece from earlier ones is one row per piece. So a URL with a third of all
 rows is spread over many tasks, and no pairs are made. Bodies never move.
 
 Defined results: earlier means a smaller date; of several responses with the latest date the one with the
@@ -60,13 +60,19 @@ def _last_response(records: DataFrame) -> DataFrame:
     own = F.when(F.col("is_response"), F.struct("record_id", "date", "headers", "digest"))
     before = Window.partitionBy("url_key", "_piece").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     inside = pieces.withColumn("_inside", F.last(own, ignorenulls=True).over(before))
-    ends = pieces.where("is_response").groupBy("url_key", "_piece").agg(
-        F.max_by(own, F.struct("date", "record_id")).alias("_end"))
-    starts = pieces.where("not is_response").select("url_key", "_piece").distinct()
-    spans = starts.join(ends, ["url_key", "_piece"], "full")
-    earlier = Window.partitionBy("url_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).where(
-        "_carried is not null").select("url_key", "_piece", "_carried")
+    # rows are in order over all pieces: only the first URL of a piece can have rows in earlier ones, as their last URL
+    last = F.struct("url_key", "record_id", "date", "headers", "digest")
+    summary = pieces.groupBy("_piece").agg(
+        F.min("url_key").alias("first"), F.max("url_key").alias("last"),
+        F.max_by(last, F.when(F.col("is_response"), F.struct("url_key", "date", "record_id"))).alias("_r"))
+    reaches = (F.col("_r.url_key") == F.col("last")) & F.col("_r.record_id").isNotNull()
+    ends = summary.select(F.col("last").alias("url_key"), (F.col("_piece") * 2 + 1).alias("at"), F.when(reaches, F.struct(
+        "_r.record_id", "_r.date", "_r.headers", "_r.digest")).alias("_end"))
+    none = F.lit(None).cast(ends.schema["_end"].dataType).alias("_end")
+    starts = summary.select(F.col("first").alias("url_key"), (F.col("_piece") * 2).alias("at"), none)
+    earlier = Window.partitionBy("url_key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.unionByName(ends).withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).where(
+        "at % 2 = 0 and _carried is not null").select("url_key", (F.col("at") / 2).cast("int").alias("_piece"), "_carried")
     return inside.where("not is_response").join(carried, ["url_key", "_piece"], "left").withColumn(
         "found", F.coalesce("_inside", "_carried")).drop("_inside", "_carried", "_piece")
 
