@@ -101,17 +101,19 @@ def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFram
     """The kept columns, the measurements and ``fail_bits`` for every row; one narrow pass."""
     schema = with_fields(docs, keep, LEDGER)
     carried = [c for c in schema.names if c not in MEASURES]
+    # a text that is kept anyway is sent once
+    at = carried.index(text_col) if text_col in carried else len(carried)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [measure(t) for t in batch.column(len(carried)).to_pylist()]
+            rows = [measure(t) for t in batch.column(at).to_pylist()]
             found = np.array(rows, np.int64).reshape(len(rows), len(MEASURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(carried)], *[pa.array(found[:, i]) for i in range(len(MEASURES))]],
                 names=[*carried, *MEASURES])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias("_measured_text"))
-    measured = source.mapInArrow(task, schema)
+    extra = [] if at < len(carried) else [F.col(f"`{text_col}`").alias("_measured_text")]
+    measured = docs.select(*[F.col(f"`{c}`") for c in carried], *extra).mapInArrow(task, schema)
     bits = None
     for name, failed in RULES:
         bit = F.when(failed(), F.lit(BIT[name])).otherwise(F.lit(0)).cast("bigint")
@@ -147,6 +149,8 @@ def ablations(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
 
 def good_documents(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with the columns of ``docs``."""
-    prefix = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    kept = ledger(prefix, ["_row"]).where(BASE.keeps() & policy.keeps())
-    return kept.select("_row.*")
+    names = {f"_c{i}": c for i, c in enumerate(docs.columns)}  # free of the names of the ledger
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+    text = next(n for n, c in names.items() if c == "text")
+    kept = ledger(rows, list(names), text).where(BASE.keeps() & policy.keeps())
+    return kept.select(*[F.col(n).alias(c) for n, c in names.items()])
