@@ -8,7 +8,8 @@ signature of a set of n shingles is done after about 256 * ln(256) / n steps.
 
 1. Signatures: one narrow pass over the texts; a register is kept as one byte. Equal sets become one class
    (their copies never meet in pairs).
-2. Banding: 42 bands of 6 registers. Two sets of similarity 0.85 share no band once in 400 million.
+2. Banding: 42 bands of 6 registers. Two sets of similarity 0.85 share no band once in 400 million, two of 0.80
+   three times in a million.
 3. Links to a centre: in each band's bucket every class is compared with the least one only, so a bucket of n
    classes gives n - 1 pairs. Pairs whose signatures differ too much for the threshold (five
    standard deviations) go; the rest is confirmed on the full shingle sets, read again from the texts.
@@ -38,7 +39,8 @@ from fenestra.session import stage
 ship(__name__)
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent
+#: Least similarity of a link, in per cent: that of ``near_duplicates``, and that of ``without_duplicates``.
+THRESHOLD, STAGE_THRESHOLD = 85, 80
 BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 #: Shingles drawn at once; bounds the memory of a task.
@@ -120,16 +122,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     """The exact rule on two sets of distinct shingles."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= THRESHOLD * (len(a) + len(b) - shared)
+    return 100 * shared >= threshold * (len(a) + len(b) - shared)
 
 
-def plausible(sig: np.ndarray, n: int, sigs: np.ndarray, ns: np.ndarray) -> np.ndarray:
+def plausible(sig: np.ndarray, n: int, sigs: np.ndarray, ns: np.ndarray, threshold: int) -> np.ndarray:
     """Which sets may be similar to one set: sizes fit and the signatures agree to five standard deviations."""
-    t = THRESHOLD / 100
-    fits = 100 * np.minimum(n, ns) >= THRESHOLD * np.maximum(n, ns)
+    t = threshold / 100
+    fits = 100 * np.minimum(n, ns) >= threshold * np.maximum(n, ns)
     return fits & ((sigs == sig).mean(axis=1) >= t - 5 * (t * (1 - t) / REGISTERS) ** 0.5)
 
 
@@ -168,7 +170,7 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
                                       names=["a", "b"])
 
 
-def _centre_links(pairs: DataFrame, sets: DataFrame, per_task: int = 2_000) -> DataFrame:
+def _centre_links(pairs: DataFrame, sets: DataFrame, threshold: int, per_task: int = 2_000) -> DataFrame:
     """Confirmed links among (c, pivot); a centre with many members is dealt out with them."""
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
     salted = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "c")
@@ -190,7 +192,7 @@ def _centre_links(pairs: DataFrame, sets: DataFrame, per_task: int = 2_000) -> D
                     centre.append((np.frombuffer(sig, np.uint8), n, mine))
                     continue
                 own = np.frombuffer(sig, np.uint8)[None, :]
-                if any(plausible(s, m, own, np.array([n]))[0] and similar(theirs, mine) for s, m, theirs in centre):
+                if any(plausible(s, m, own, np.array([n]), threshold)[0] and similar(theirs, mine, threshold) for s, m, theirs in centre):
                     found.append((c, pivot))
             yield _links(found)
 
@@ -207,7 +209,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         "hi", F.greatest("block", "other")).drop("blocks", "other")
 
 
-def _compared(group: list[tuple]) -> Iterator[tuple[int, int]]:
+def _compared(group: list[tuple], threshold: int) -> Iterator[tuple[int, int]]:
     """Positions of rows (bucket, lo, hi, band, block, comp, c, n, sig, ...) that may be similar.
 
     Rows of one component are no pair, nor are rows whose first common band is another one.
@@ -218,7 +220,7 @@ def _compared(group: list[tuple]) -> Iterator[tuple[int, int]]:
     for i in range(len(group)):
         rest = np.arange(i + 1, len(group))
         rest = rest[(comps[rest] != comps[i]) & ((blocks[rest] != blocks[i]) | (lo == hi))]
-        rest = rest[plausible(sigs[i], ns[i], sigs[rest], ns[rest])] if len(rest) else rest
+        rest = rest[plausible(sigs[i], ns[i], sigs[rest], ns[rest], threshold)] if len(rest) else rest
         if len(rest):
             shared = (sigs[rest] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2)
             for j in rest[shared.argmax(axis=1) == band].tolist():
@@ -229,12 +231,12 @@ _GROUP = ["bucket", "lo", "hi", "band"]
 _MEMBER = [*_GROUP, "block", "comp", "c", "n", "sig"]
 
 
-def _suspects(rows: DataFrame) -> DataFrame:
+def _suspects(rows: DataFrame, threshold: int) -> DataFrame:
     """The rows of block pairs that have a possible partner there."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, 4):
-            used = sorted({x for pair in _compared(group) for x in pair})
+            used = sorted({x for pair in _compared(group, threshold) for x in pair})
             columns = list(zip(*[group[x][:7] for x in used])) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=_MEMBER[:7])
@@ -243,13 +245,13 @@ def _suspects(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(task, "bucket bigint, lo int, hi int, band int, block int, comp bigint, c bigint")
 
 
-def _confirmed(rows: DataFrame) -> DataFrame:
+def _confirmed(rows: DataFrame, threshold: int) -> DataFrame:
     """Links among the suspects, by their full sets."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in runs(batches, 4):
             sets = [np.frombuffer(r[9], _U) for r in group]
-            yield _links([(group[i][6], group[j][6]) for i, j in _compared(group) if similar(sets[i], sets[j])])
+            yield _links([(group[i][6], group[j][6]) for i, j in _compared(group, threshold) if similar(sets[i], sets[j], threshold)])
 
     dealt = rows.select(*_MEMBER, "shingles").repartition(*_GROUP[:3]).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(task, "a bigint, b bigint")
@@ -310,7 +312,7 @@ def _texts_of_one_id(filled: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(held.groupBy("id").agg(F.min("c").alias("b")), "id").where("c != b").select(F.col("c").alias("a"), "b")
 
 
-def _components_of_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _components_of_sets(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signed rows, classes of equal sets, and the root of each class that is not its own; all written."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     signed = stage(_signed(source), "signatures")
@@ -327,26 +329,26 @@ def _components_of_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[Da
     sets = stage(_with_sets(source.join(meeting, F.col("id") == F.col("c")).select("id", "text")), "sets")
 
     pairs = stage(members.where("c != pivot").select("c", "pivot").distinct(), "pairs")
-    links = stage(_centre_links(pairs, sets).unionByName(_texts_of_one_id(filled, classes)), "links")
+    links = stage(_centre_links(pairs, sets, threshold).unionByName(_texts_of_one_id(filled, classes)), "links")
     found = components(links)
 
     labelled = stage(members.drop("pivot", "size").join(found, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
     open_members = labelled.join(mixed.where("lo != hi").select("bucket", "size"), "bucket")
     dealt = stage(_block_pairs(open_members).drop("size"), "blocks")
-    suspects = stage(_suspects(dealt.join(sets.drop("shingles"), "c")), "suspects")
-    more = stage(_confirmed(suspects.join(sets, "c")), "links")
+    suspects = stage(_suspects(dealt.join(sets.drop("shingles"), "c"), threshold), "suspects")
+    more = stage(_confirmed(suspects.join(sets, "c"), threshold), "links")
     found = components(links.unionByName(more))
     return signed, classes, found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """id, n_shingles, component_id, kept of every document.
 
     ``component_id`` is the least id reachable over links; null for a null id, which is always kept.
     """
     with small_batches(docs.sparkSession):
-        signed, classes, found = _components_of_sets(docs, id_col, text_col)
+        signed, classes, found = _components_of_sets(docs, id_col, text_col, threshold)
     rooted = classes.select("set_id", "c").join(found, "c", "left").select("set_id", F.coalesce("root", "c").alias("_root"))
     joined = signed.drop("sig").join(rooted, "set_id", "left")
     kind = docs.schema[id_col].dataType
@@ -356,13 +358,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       threshold: int = STAGE_THRESHOLD) -> DataFrame:
     """``docs`` without the documents that are not the first of their component, and without repeated rows.
 
     The ids to be left out are written first, so Spark knows how many there are when it chooses
     the join. Rows of equal id and text are kept once.
     """
-    found = stage(near_duplicates(docs, id_col, text_col), "components")
+    found = stage(near_duplicates(docs, id_col, text_col, threshold), "components")
     key = F.col(f"`{id_col}`")
     gone = stage(found.where("not kept").select(key.alias("_gone")).distinct(), "gone")
     again = stage(found.where(key.isNotNull()).groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "again")

@@ -17,7 +17,7 @@ from test_poisson_mix import draw  # noqa: E402
 from test_randomness import base_spans  # noqa: E402
 from test_superminhash import brute  # noqa: E402
 
-from fenestra.llm import quality_rules as q  # noqa: E402
+from fenestra.llm import quality_rules as q, superminhash  # noqa: E402
 
 
 def is_good(text):
@@ -77,3 +77,52 @@ def test_the_rest_works_without_these_operators(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=60)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 70
+
+
+def roots_at(docs, percent):
+    """Least id of every component of (id, text), by comparing all pairs that share a five-word shingle."""
+    sets, holders = {}, defaultdict(set)
+    for d, text in docs:
+        words = text.lower().split()
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for g in sets[d]:
+            holders[g].add(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, own in sets.items():
+        for e in set().union(*(holders[g] for g in own)):
+            if e < d and 100 * len(own & sets[e]) >= percent * len(own | sets[e]):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in sets}
+
+
+def single_at(docs, percent):
+    return {d for d, root in roots_at(docs, percent).items() if d == root}
+
+
+def test_every_stage_with_links_at_80_per_cent(spark, sf, monkeypatch):
+    monkeypatch.setitem(globals(), "brute", lambda docs: {d: (None, root) for d, root in roots_at(docs, 80).items()})
+    test_every_stage_by_brute_force(spark, sf)
+
+
+def test_near_dedup_stage_links_at_80_per_cent(spark, sf, monkeypatch):
+    monkeypatch.setattr(superminhash, "BLOCK", 8)
+    docs = []
+    for n in [*range(45, 70), *range(90, 130)]:  # one inner word changed, or two far apart: around 0.80 and 0.85
+        words = [f"t{n}_{i}" for i in range(n)]
+        docs.append(words)
+        docs.append([f"c{i}" if i in ((n // 2,) if n < 70 else (n // 4, 3 * n // 4)) else w for i, w in enumerate(words)])
+    for n in (50, 60):  # many texts that are near the first only, by another place each
+        docs += [[f"v{i}_{k}" if i == 5 + k else f"s{n}_{i}" for i in range(n)] for k in range(40)]
+    docs = [(k, " ".join(words)) for k, words in enumerate(docs)]
+    want = single_at(docs, 80)
+    assert want < single_at(docs, 85) and len(want) < len(docs)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, sf).collect()} == want
+    assert {r.doc_id for r in superminhash.near_duplicates(frame).where("kept").collect()} == single_at(docs, 85)
