@@ -363,12 +363,16 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` without the documents that are not the first of their component, and without repeated rows.
 
     The ids to be left out are written first, so Spark knows how many there are when it chooses
-    the join. Rows of equal id and text are kept once.
+    the join. Of rows that repeat an id one is kept: the one of least text among those with words,
+    if there are any. Rows without an id stay.
     """
     found = stage(near_duplicates(docs, id_col, text_col, threshold), "components")
-    key = F.col(f"`{id_col}`")
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     gone = stage(found.where("not kept").select(key.alias("_gone")).distinct(), "gone")
     again = stage(found.where(key.isNotNull()).groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "again")
     kept = docs.join(gone, key == F.col("_gone"), "left_anti")
-    once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col, text_col])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(~F.coalesce(text.rlike(_WORD.pattern), F.lit(False)), text.isNull(), text, F.xxhash64(*columns))
+    once = kept.join(again, key == F.col("_again"), "left_semi").groupBy(key.alias("_id")).agg(
+        F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")
     return kept.join(again, key == F.col("_again"), "left_anti").unionByName(once)

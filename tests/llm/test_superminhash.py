@@ -126,3 +126,14 @@ def test_texts_of_one_id_count_together(spark):
     words = [f"w{i}" for i in range(50)]
     rows = [(5, " ".join(words)), (7, " ".join(words)), (7, "another text of the same id"), (9, "another text of the same id")]
     check(s.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, words, 1), (5, words.upper() + " ", 2), (5, " ", 3), (5, None, 4), (7, words + " x", 5), (7, "b", 6),
+            (8, "c", 7), (8, "c", 7), (9, None, 8), (9, "", 9), (None, "d", 10), (None, "d", 10)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, n bigint").repartition(5)
+    left = s.without_duplicates(frame)
+    assert left.schema == frame.schema
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(
+        [(5, words.upper() + " ", 2), (8, "c", 7), (9, "", 9), (None, "d", 10), (None, "d", 10)], key=str)
