@@ -1,7 +1,7 @@
 """Secret scan with a battery of randomness tests, with DataFrame functions only.
 
 Three patterns find the usual secrets. On top, every long run of key-like characters that mixes
-the character classes of an encoding (hex, base32, base64) is tested for randomness:
+the character classes of an encoding (hex, base32 and base36 in either case, letters of both cases, base64) is tested for randomness:
 
 * chi-squared: how uniform its characters are over the alphabet of the encoding,
 * runs: how often it changes between letters, capitals, digits and signs,
@@ -21,6 +21,7 @@ stay; a ``random`` span is added only where it overlaps none of them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -43,6 +44,8 @@ LENGTH_CLASSES = [20, 28, 40, 64]
 ENCODINGS = {
     "hex": ("0123456789abcdef", 0.6, 0.2, 0.5),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2, 0.15, 0.3),
+    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", 1.35, 0.2, 0.3),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1.5, 0.3, 0.2),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 1.2, 0.45, 0.2),
 }
 #: The grid of p-values: this many steps per power of ten, down to ten to the minus 60.
@@ -78,47 +81,63 @@ def encoding(token: Column) -> Column:
     """The encoding whose character classes the token mixes; null for words and numbers."""
     has = lambda p: token.rlike(p)
     return (F.when(has("^[0-9a-f]+=*$|^[0-9A-F]+=*$") & has("[0-9]") & has("[A-Fa-f]"), "hex")
-            .when(has("^[A-Z2-7]+=*$") & has("[A-Z]") & has("[2-7]"), "base32")
-            .when(has("[a-z]") & has("[A-Z]") & has("[0-9]"), "base64"))
+            .when(has("^[A-Z2-7]+=*$|^[a-z2-7]+=*$") & has("[A-Za-z]") & has("[2-7]"), "base32")
+            .when(has("^[A-Z0-9]+=*$|^[a-z0-9]+=*$") & has("[A-Za-z]") & has("[0-9]"), "base36")
+            .when(has("^[A-Za-z]+=*$") & has("[a-z]") & has("[A-Z]"), "letters")
+            .when(has("[a-z]") & has("[A-Z]"), "base64"))
 
 
-def _score(token: Column, alphabet: str, excess: float, written: float, told: float) -> Column:
-    """Stouffer's sum of the three scores; large for random tokens."""
-    k = len(alphabet)
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once and written once in the plan."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _score(token: Column, by: Column) -> Column:
+    """Stouffer's sum of the three scores; large for random tokens. ``by`` holds the values of the encoding."""
+    k = F.length(by["alphabet"])
     n = F.length(token).cast("double")
     sum_of = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    letters = F.array(*[F.lit(c) for c in alphabet])
-    counts = F.transform(letters, lambda c: n - F.length(F.replace(token, c, F.lit(""))))
+    counts = F.transform(by["letters"], lambda c: n - F.length(F.replace(token, c, F.lit(""))))
     chi = sum_of(F.transform(counts, lambda c: c * c)) * k / n - n
-    shift = n * excess
-    uniform = ((k - 1) + shift - chi) / F.sqrt(2 * (k - 1) + 4 * shift * (1 + excess))
+    shift = n * by["excess"]
+    uniform = ((k - 1) + shift - chi) / F.sqrt(2 * (k - 1) + 4 * shift * (1 + by["excess"]))
 
     folded = token
     for characters, sign in (("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0"), ("[^a-zA-Z0-9]+", "-")):
         folded = F.regexp_replace(folded, characters, sign)
     changes = F.length(folded) - 1.0
-    runs = (changes - (n - 1) * written) / F.sqrt((n - 1) * written * (1 - written))
-
-    values = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    mean = sum_of(values) / n
-    centred = F.transform(values, lambda v: v - mean)
-    before, after = F.slice(centred, F.lit(1), F.length(token) - 1), F.slice(centred, F.lit(2), F.length(token) - 1)
-    variance = sum_of(F.transform(centred, lambda v: v * v))
-    serial = F.when(variance > 0, sum_of(F.zip_with(before, after, lambda a, b: a * b)) / variance).otherwise(1.0)
-    serial_score = (told - F.abs(serial)) * F.sqrt(n) / math.sqrt(1 - told ** 2)
+    runs = (changes - (n - 1) * by["written"]) / F.sqrt((n - 1) * by["written"] * (1 - by["written"]))
+
+    def correlation(values: Column) -> Column:
+        centred = _bound(sum_of(values) / n, lambda mean: F.transform(values, lambda v: v - mean))
+        return _bound(centred, lambda c: F.when(
+            sum_of(F.transform(c, lambda v: v * v)) > 0,
+            sum_of(F.zip_with(F.slice(c, F.lit(1), F.length(token) - 1), F.slice(c, F.lit(2), F.length(token) - 1), lambda a, b: a * b))
+            / sum_of(F.transform(c, lambda v: v * v))).otherwise(1.0))
+
+    serial = _bound(F.transform(F.split(token, ""), lambda c: F.instr(by["alphabet"], c).cast("double")), correlation)
+    serial_score = (by["told"] - F.abs(serial)) * F.sqrt(n) / by["told_norm"]
     return (uniform + runs + serial_score) / math.sqrt(3)
 
 
 def grid(token: Column) -> Column:
     """Steps of the token's p-value on the grid, rounded towards 1; null where nothing is tested."""
-    token = F.regexp_replace(token, "=+$", "")
-    kind = encoding(token)
-    score = F.lit(None).cast("double")
-    for name, expected in ENCODINGS.items():
-        own = F.lower(token) if name == "hex" else token
-        score = F.when(kind == name, _score(own, *expected)).otherwise(score)
-    p = F.greatest(tail(score), F.lit(10.0 ** -_LOWEST))
-    return F.when(kind.isNotNull(), F.floor(-F.log10(p) * _STEPS).cast("int"))
+    values = lambda alphabet, excess, written, told: F.struct(
+        F.lit(alphabet).alias("alphabet"), F.array(*[F.lit(c) for c in alphabet]).alias("letters"), F.lit(excess).alias("excess"),
+        F.lit(written).alias("written"), F.lit(told).alias("told"), F.lit(math.sqrt(1 - told ** 2)).alias("told_norm"))
+
+    def steps(t: Column) -> Column:
+        token, kind = t["token"], t["kind"]
+        by = F.lit(None)
+        for name, expected in ENCODINGS.items():
+            by = F.when(kind == name, values(*expected)).otherwise(by)
+        own = F.when(kind.isin("hex", "base36"), F.lower(token)).when(kind == "base32", F.upper(token)).otherwise(token)
+        p = _bound(F.struct(own.alias("token"), by.alias("by")),
+                   lambda x: F.greatest(_bound(_score(x["token"], x["by"]), tail), F.lit(10.0 ** -_LOWEST)))
+        return F.when(kind.isNotNull(), F.floor(-F.log10(p) * _STEPS).cast("int"))
+
+    kinds = lambda token: F.struct(token.alias("token"), encoding(token).alias("kind"))
+    return _bound(F.regexp_replace(token, "=+$", ""), lambda token: _bound(kinds(token), steps))
 
 
 def length_class(length: Column) -> Column:

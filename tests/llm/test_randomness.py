@@ -102,3 +102,23 @@ def test_no_python_in_the_plan(spark, sf):
 @pytest.mark.parametrize("token,kind", [("0a1b", "hex"), ("0A1B", "hex"), ("XYZ234", "base32"), ("aB3", "base64"), ("abc", None), ("123", None), ("ABC", None), ("", None)])
 def test_encodings(spark, token, kind):
     assert spark.range(1).select(r.encoding(F.lit(token)).alias("k")).first().k == kind
+
+
+@pytest.mark.parametrize("token,kind", [("xyz234", "base32"), ("xyz089", "base36"), ("XYZ089", "base36"), ("xYz", "letters"), ("xY-z", "base64"), ("xyz-089", None)])
+def test_further_encodings(spark, token, kind):
+    assert spark.range(1).select(r.encoding(F.lit(token)).alias("k")).first().k == kind
+
+
+def test_random_tokens_of_further_encodings(spark):
+    rng = random.Random(9)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    secrets = [draw(alphabet, n) for alphabet, n in ((lower + "234567", 56), (lower + digits, 50), (upper + digits, 50), (lower + upper, 64))
+               for _ in range(6)]
+    names = ["internationalization2024configuration", "averyveryverylongfilename2", "release20240101candidate3final", "AbstractSingletonProxyFactoryBean",
+             "ThisIsAVeryLongHeadingWithoutSpaces", "REPORT2019ANNUALSUMMARYFINAL", "createUserAccountIfNotExistsAlready", "testcase1testcase2testcase3testcase4",
+             "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa9", "abcdefghijklmnopqrstuvwxyz0123456789", "CamelCaseWordsInARowForTheTest", "PARAGRAPH18SECTION90CHAPTER11"]
+    got = scanned(spark, [f"see {t} there" for t in secrets + names])
+    hits = [bool(re.search("random:4:", got[i][1])) for i in range(len(secrets))]
+    assert sum(hits) >= 0.9 * len(hits), hits
+    assert not [t for i, t in enumerate(names) if "random" in got[len(secrets) + i][1]]
