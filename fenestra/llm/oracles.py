@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fenestra.llm import bisector_clusters as clusters
+from fenestra.llm.lexical_masks import TOP
 from fenestra.llm.poisson_mix import SEED, TEMPERATURE
 from fenestra.llm.quality_rules import BASE, BIT, DEFAULT
 
@@ -86,5 +88,48 @@ SELECT 2 * k + 1 AS record_id, url_key, seen AS date, status, CASE WHEN status =
 FROM j"""
 
 
+def _op12() -> str:
+    terms = lambda text: (f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+                          "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')")
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {terms('text')} AS ts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM t WHERE len(ts) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest({terms('text')}) AS term FROM benchmark WHERE text IS NOT NULL),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM t)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM d, s),
+found AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM found WHERE score > 0)
+WHERE rank <= {TOP}"""
+
+
+def _op13() -> str:
+    k, d = clusters.K, clusters.DIMENSION
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+  list_transform(embedding, lambda x: floor({clusters.SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {d} AND len(list_filter(embedding, lambda x: isfinite(x))) = {d})""",
+             f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id), vec_id) - 1 AS c, x FROM v
+  QUALIFY c < {k})"""]
+    for i in range(clusters.ROUNDS + 1):
+        away = "list_sum(list_transform(list_zip(v.x, s.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, vec_id, any_value(x) AS x, min(near) % {k} AS c, min(near) // {k} AS distance
+  FROM (SELECT v.r, v.vec_id, v.x, ({away} * {k} + s.c)::BIGINT AS near FROM v, c{i} s) GROUP BY r, vec_id)""")
+        if i < clusters.ROUNDS:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN
+  (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (SELECT c, i, sum(x[i])::BIGINT AS s, count(*) AS n
+    FROM a{i}, range(1, {d + 1}) AS t(i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+    last = clusters.ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c::INT AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{last}.x, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": _op1(), "op4_warc_revisits": _op4(), "op9_poisson_mix": _op9()}
+    return {"op1_quality_ledger": _op1(), "op4_warc_revisits": _op4(), "op9_poisson_mix": _op9(), "op12_mask_search": _op12(),
+            "op13_bisector_clusters": _op13()}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fenestra.llm import bpe, chat_events, html_labeller, label_shards, poisson_mix, quality_rules, randomness, revisits, superminhash, vector_tree
+from fenestra.llm import (bisector_clusters, bpe, chat_events, hidden_markov, html_labeller, label_shards, lexical_masks, poisson_mix, quality_rules,
+                          randomness, revisits, superminhash, vector_tree)
 from fenestra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +98,21 @@ def op2_html_labeller(spark, sf):
 def op6_kmeans_tree(spark, sf):
     """The 20 vectors of largest inner product for every vector whose id is divisible by 20."""
     return vector_tree.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_hidden_markov(spark, sf):
+    """Unigram score and hidden Markov likelihood of every document, learnt from the nine tenths that are not held out."""
+    return hidden_markov.score(table(spark, sf, "documents"))
+
+
+@query
+def op12_mask_search(spark, sf):
+    """The 50 best documents for every benchmark item."""
+    return lexical_masks.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_bisector_clusters(spark, sf):
+    """Eight clusters of all vectors, after ten rounds in integer arithmetic."""
+    return bisector_clusters.cluster(table(spark, sf, "embeddings"))
