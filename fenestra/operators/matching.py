@@ -15,7 +15,7 @@ How it is laid out for Spark:
 * An edge whose two nodes have no other edge is settled at once.
 * The rest falls into components separated by gaps in the occupied cells. Small
   ones are solved inside tasks, each task streaming over many components. Large
-  ones are solved by repeated joins over the whole edge table
+  ones are solved by an auction in rounds over squares of sizes
   (``_solve_distributed``), so no component has to fit into one task. The limit
   between the two picks the way, not the result.
 * Without a tolerance, sizes match only themselves: one full outer join does it.
@@ -23,12 +23,12 @@ How it is laid out for Spark:
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
-from decimal import Decimal
-from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,11 +42,12 @@ DEFAULT_TAU_IN = 1.0
 #: Edges of a component that one task may solve.
 MAX_LOCAL_EDGES = 4_000
 #: An edge costs its distance times two to this power, plus a tie-breaking number of 48 bits.
-TIE_SHIFT = 72
+TIE_SHIFT, TIE_BITS = 72, 48
+#: The auction's bid step is divided by this from phase to phase; offers in a square that one task may hold.
+STEP, MAX_SQUARE_OFFERS = 16, 40_000
 
 _EDGE = ["block", "p", "t", "d"]
 _FLOW = "comp string, p string, t string, flow bigint"
-_COST = "decimal(38,0)"
 
 
 def _block(scope: list[str]) -> Column:
@@ -223,112 +224,168 @@ def _solve_local(edges: DataFrame) -> DataFrame:
     return edges.select("comp", *_EDGE).join(flows, ["comp", "p", "t"]).select(*_EDGE, "flow")
 
 
-def _shortest(edges: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Residual distances from nodes with supply left: (per p, per t)."""
-    dist_p = stage(left.where("rest > 0").select("comp", "p", F.lit(0).cast(_COST).alias("dp")), "dp")
-    while True:
-        dist_t = stage(edges.join(dist_p, ["comp", "p"]).groupBy("comp", "t").agg(
-            F.min((F.col("dp") + F.col("cost")).cast(_COST)).alias("dt")), "dt")
-        back = edges.where("flow > 0").join(dist_t, ["comp", "t"]).select(
-            "comp", "p", (F.col("dt") - F.col("cost")).cast(_COST).alias("dp"))
-        better = stage(dist_p.withColumn("old", F.col("dp")).unionByName(
-            back, allowMissingColumns=True).groupBy("comp", "p").agg(
-            F.min("dp").alias("dp"), F.min("old").alias("old")), "dp")
-        if better.where(F.col("old").isNull() | (F.col("dp") < F.col("old"))).isEmpty():
-            return dist_p, dist_t
-        dist_p = better.drop("old")
-
-
-def _forest(edges: DataFrame, left: DataFrame, dist_p: DataFrame, dist_t: DataFrame) -> tuple:
-    """Breadth-first forest over shortest-path edges; trees do not share nodes.
-
-    Every node has one parent and one root, so paths taken from different roots
-    cannot meet and may all be used in the same phase.
+def _mirrored(edges: DataFrame) -> DataFrame:
+    """comp, name, copies, cells, edges(o, d, tie, cells): who bids for what.
+
+    Every node bids on its own side and is bid for on a mirrored one, where each node may also stay with itself (``d`` is NULL). So
+    everybody gets something, a pair on one side is a pair on the other, and as few nodes as possible stay with themselves.
     """
-    tight = stage(edges.join(dist_p, ["comp", "p"]).join(dist_t, ["comp", "t"]).where(
-        (F.col("dp") + F.col("cost")).cast(_COST) == F.col("dt")).select("comp", "p", "t", "flow"), "tight")
-    reached_p = stage(left.where("rest > 0").select(
-        "comp", "p", F.col("p").alias("root"), F.lit(None).cast("string").alias("via"),
-        F.lit(0).alias("level")), "tree")
-    reached_t = None
-    frontier, level = reached_p, 0
-    pick = lambda side: F.min(F.struct("root", side)).alias("_m")
-    while True:
-        level += 1
-        step = frontier.join(tight, ["comp", "p"]).groupBy("comp", "t").agg(pick("p")).select(
-            "comp", "t", F.col("_m.root").alias("root"), F.col("_m.p").alias("via"),
-            F.lit(level).alias("level"))
-        if reached_t is not None:
-            step = step.join(reached_t.select("comp", "t"), ["comp", "t"], "left_anti")
-        step = stage(step, "tree")
-        reached_t = step if reached_t is None else reached_t.unionByName(step)
-        back = step.join(tight.where("flow > 0"), ["comp", "t"]).groupBy("comp", "p").agg(
-            pick("t")).select("comp", "p", F.col("_m.root").alias("root"),
-                                    F.col("_m.t").alias("via"), F.lit(level).alias("level"))
-        frontier = stage(back.join(reached_p.select("comp", "p"), ["comp", "p"], "left_anti"), "tree")
-        if frontier.isEmpty():
-            return reached_p, reached_t
-        reached_p = reached_p.unionByName(frontier)
-
-
-def _solve_distributed(edges: DataFrame) -> DataFrame:
-    """Exact assignment of components of any size by joins over the edge table.
-
-    Each phase finds the residual shortest paths of every component and augments
-    along one path per tree that has the component's least length. All those
-    paths are tight and disjoint, so the flow stays the cheapest of its size; it
-    ends with the largest size when no path is left.
+    offer = lambda o, cells: F.struct(o.alias("o"), F.col("d").alias("d"), F.col("tie").alias("tie"), F.col(cells).alias("cells"))
+    sides = []
+    for own, other, copies in (("p", "t", "supply"), ("t", "p", "demand")):
+        o = F.concat(F.lit(f"{other}:"), F.col(other))
+        sides.append(edges.groupBy("comp", F.concat(F.lit(f"{own}:"), F.col(own)).alias("name")).agg(
+            F.any_value(copies).cast("bigint").alias("copies"), F.any_value(f"{own}_cells").alias("cells"),
+            F.collect_list(offer(o, f"{other}_cells")).alias("edges")))  # the nodes within the tolerance of one
+    both = sides[0].unionByName(sides[1])
+    alone = F.struct(F.col("name").alias("o"), F.lit(None).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("tie"), F.col("cells").alias("cells"))
+    return both.withColumn("edges", F.array_append("edges", alone))
+
+
+def _square(cells: Column, width: int, shift: int) -> Column:
+    """Name of the square of cells, ``width`` per axis, that a node lies in; an odd ``shift`` moves the grid at random."""
+    moved = lambda c, i: c + F.pmod(F.xxhash64(F.lit(shift), i), F.lit(width)) if shift % 2 else c
+    return F.concat_ws(",", F.transform(cells, lambda c, i: F.floor(moved(c, i) / width).cast("string")))
+
+
+def _auction(persons: list[tuple], objects: list[tuple], eps: int, cost) -> list[tuple]:
+    """Bids inside one square until each of its persons has something; (object, slot, price, owner) of all objects.
+
+    ``persons``: (name, copies, offers); an object has the price of its cheapest slot.
+    """
+    slots: dict[str, list] = {}
+    owners = set()
+    for o, slot, price, owner in objects:
+        slots.setdefault(o, []).append((price, slot, owner))
+        owners.add(owner)
+    for heap in slots.values():
+        heapq.heapify(heap)
+    offers = {name: [(o, cost(d, tie)) for o, d, tie in own] for name, _, own in persons}
+    waiting = [f"{name}#{k}" for name, copies, _ in persons for k in range(copies) if f"{name}#{k}" not in owners]
+    while waiting:
+        person = waiting.pop()
+        best = second = None
+        for o, c in offers[person[:person.rindex("#")]]:
+            heap = slots[o]
+            value = -c - heap[0][0]
+            if best is None or value > best:
+                best, second, chosen = value, best, o
+            elif second is None or value > second:
+                second = value
+            if len(heap) > 1:  # the next slot of the same object
+                value = -c - min(heap[1:3])[0]
+                if second is None or value > second:
+                    second = value
+        price, slot, owner = slots[chosen][0]
+        heapq.heapreplace(slots[chosen], (price + best - second + eps, slot, person))
+        if owner is not None and owner[:owner.rindex("#")] in offers:
+            waiting.append(owner)
+    return [(o, slot, price, owner) for o, heap in slots.items() for price, slot, owner in heap]
+
+
+_STATE = "comp string, name string, slot bigint, cells array<bigint>, price string, owner string"
+
+
+def _auction_round(bidders: DataFrame, state: DataFrame, eps: int, width: int, shift: int, scale: int, bits: int, alone: int) -> DataFrame:
+    """One round: every square of the grid holds its auction; who has an offer in another square waits for a grid that has moved."""
+    square = lambda cells: _square(cells, width, shift)
+    inside = bidders.withColumn("square", square(F.col("cells"))).where(
+        F.forall("edges", lambda e: square(e["cells"]) == F.col("square")))
+    rows = inside.select("comp", "square", F.lit(0).alias("kind"), "name", F.col("copies").alias("slot"), "cells",
+                         F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("owner"),
+                         F.transform("edges", lambda e: F.struct(e["o"].alias("o"), e["d"].alias("d"), e["tie"].alias("tie"))).alias("edges"))
+    held = state.withColumn("square", square(F.col("cells"))).withColumn("kind", F.lit(1))
+    dealt = rows.unionByName(held, allowMissingColumns=True).repartition("comp", "square").sortWithinPartitions("comp", "square", "kind", "name", "slot")
+    cost = lambda d, tie: scale * (alone if d is None else (d << bits) + tie)
+
+    def solve(group: list[tuple]) -> list[tuple]:
+        comp = group[0][0]
+        persons = [(r[3], r[4], [(e["o"], e["d"], e["tie"]) for e in r[8]]) for r in group if r[2] == 0]
+        cells = {r[3]: r[5] for r in group if r[2] == 1}
+        found = _auction(persons, [(r[3], r[4], int(r[6]), r[7]) for r in group if r[2] == 1], eps, cost)
+        return [(comp, o, slot, cells[o], str(price), owner) for o, slot, price, owner in found]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("comp", pa.string()), ("name", pa.string()), ("slot", pa.int64()), ("cells", pa.list_(pa.int64())),
+                            ("price", pa.string()), ("owner", pa.string())])
+        frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
+        group: list[tuple] = []
+        for batch in batches:
+            done: list[tuple] = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if group and row[:2] != group[0][:2]:
+                    done += solve(group)
+                    group = []
+                group.append(row)
+            yield frame(done)
+        if group:
+            yield frame(solve(group))
+
+    return dealt.select("comp", "square", "kind", "name", "slot", "cells", "price", "owner", "edges").mapInArrow(task, _STATE)
+
+
+def _from_corner(bidders: DataFrame) -> DataFrame:
+    """Cells counted from the least ones of the component, so a component as large as a square lies in one."""
+    corner = bidders.select("comp", F.posexplode("cells").alias("i", "c")).groupBy("comp", "i").agg(F.min("c").alias("c"))
+    corner = corner.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("corner"))
+    moved = lambda cells: F.zip_with(cells, F.col("corner"), lambda c, least: c - least)
+    return bidders.join(corner, "comp").select(
+        "comp", "name", "copies", moved(F.col("cells")).alias("cells"), F.transform("edges", lambda e: F.struct(
+            e["o"].alias("o"), e["d"].alias("d"), e["tie"].alias("tie"), moved(e["cells"]).alias("cells"))).alias("edges"))
+
+
+def _width(bidders: DataFrame, most: int) -> int:
+    """Cells per side of the squares: the largest for which no square has more than ``most`` offers, four at least."""
+    width = 4
+    while width < 1 << 16:
+        wider = width * 2
+        fullest = bidders.groupBy("comp", _square(F.col("cells"), wider, 0)).agg(F.sum(F.size("edges")).alias("n")).agg(F.max("n")).first()[0]
+        if fullest > most:
+            break
+        width = wider
+    return width
+
+
+def _solve_distributed(edges: DataFrame, tau_in: float, bucket: float, most: int = MAX_SQUARE_OFFERS) -> DataFrame:
+    """Exact assignment of components of any size: an auction with falling bid steps, in squares of a grid.
+
+    Nodes bid for the best offer, by as much as it is better than the second best, plus a step; who is outbid bids again. All
+    costs are multiples of more than the number of bids that can be open, so with a last step of 1 the result is the best
+    assignment. The step starts at a share of the largest cost and is divided by ``STEP`` per phase; prices
+    stay. In a round, a task holds the auction of a square of sizes; in every second round the grid moves. So the number of phases
+    grows with the logarithm of the cost range, and tasks do not grow with the component. A component as large as a square takes one
+    round per phase, a larger one as many as prices need to settle across borders.
     """
-    cost = F.col("d").cast("decimal(14,0)") * F.lit(Decimal(1 << TIE_SHIFT)) + F.col("tie")
-    edges = stage(edges.withColumn("flow", F.lit(0).cast("bigint")).withColumn("cost", cost.cast(_COST)), "flow")
-    left = stage(edges.select("comp", "p", F.col("supply").alias("rest")).distinct(), "supply")
-    right = stage(edges.select("comp", "t", F.col("demand").alias("rest")).distinct(), "demand")
+    limit = lambda dims: F.greatest(F.floor(F.size(dims) / 2 * F.lit(tau_in / bucket)), F.lit(1))
+    cells = lambda dims: F.transform(dims, lambda v: F.floor(v / limit(dims)).cast("bigint"))
+    placed = edges.withColumn("p_cells", cells(F.col("p_dims"))).withColumn("t_cells", cells(F.col("t_dims")))
+    bidders = stage(_from_corner(_mirrored(placed)), "bidders")
+    slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
+    state = bidders.select("comp", "name", slots.alias("slot"), "cells", F.lit("0").alias("price"), F.lit(None).cast("string").alias("owner"))
+    size = bidders.groupBy("comp").agg(F.sum("copies").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    top = edges.agg(F.max("d")).first()[0]
+    bits = TIE_BITS + 1 + int(size).bit_length()
+    alone = (top + 1 << bits) * (size + 1)
+    scale, width = size + 1, _width(bidders, most)
+    eps, turn = scale * alone // STEP + 1, 0
     while True:
-        dist_p, dist_t = _shortest(edges, left)
-        open_t = dist_t.join(right.where("rest > 0"), ["comp", "t"])
-        if open_t.isEmpty():
-            return edges.where("flow > 0").select(*_EDGE, "flow")
-        least = open_t.groupBy("comp").agg(F.min("dt").alias("least"))
-        tree_p, tree_t = _forest(edges, left, dist_p, dist_t)
-        ends = open_t.join(least, "comp").where(F.col("dt") == F.col("least")).join(
-            tree_t.select("comp", "t", "root", "level"), ["comp", "t"])
-        ends = ends.groupBy("comp", "root").agg(F.min(F.struct("level", "t", "rest")).alias("_e"))
-        at_t = stage(ends.select("comp", "root", F.col("_e.t").alias("t"),
-                                 F.col("_e.rest").alias("cap")), "ends")
-        closing = at_t
-        steps: list[DataFrame] = []
+        state = state.withColumn("owner", F.lit(None).cast("string"))
         while True:
-            forward = stage(at_t.select("comp", "root", "t").join(
-                tree_t.select("comp", "t", F.col("via").alias("p")), ["comp", "t"]), "path")
-            steps.append(forward.select("comp", "root", "p", "t", F.lit(1).alias("sign")))
-            onward = stage(forward.select("comp", "root", "p").join(
-                tree_p.where("via is not null").select("comp", "p", F.col("via").alias("t")),
-                ["comp", "p"]), "path")
-            if onward.isEmpty():
+            state = stage(_auction_round(bidders, state, eps, width, turn, scale, bits, alone), "auction")
+            turn += 1
+            if state.where("owner is null").isEmpty():
                 break
-            steps.append(onward.select("comp", "root", "p", "t", F.lit(-1).alias("sign")))
-            at_t = onward
-        path = reduce(DataFrame.unionByName, steps)
-        used = path.where("sign < 0").join(edges.select("comp", "p", "t", "flow"), ["comp", "p", "t"])
-        caps = closing.select("comp", "root", "cap").unionByName(
-            used.select("comp", "root", F.col("flow").alias("cap"))).unionByName(
-            left.select("comp", F.col("p").alias("root"), F.col("rest").alias("cap")).join(
-                closing.select("comp", "root"), ["comp", "root"]))
-        amount = stage(caps.groupBy("comp", "root").agg(F.min("cap").alias("amount")), "amount")
-        change = path.join(amount, ["comp", "root"]).groupBy("comp", "p", "t").agg(
-            F.sum(F.col("sign") * F.col("amount")).alias("change"))
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        edges = stage(edges.join(change, ["comp", "p", "t"], "left").withColumn(
-            "flow", F.col("flow") + zero("change")).drop("change"), "flow")
-        left = stage(left.join(amount.withColumnRenamed("root", "p"), ["comp", "p"], "left").select(
-            "comp", "p", (F.col("rest") - zero("amount")).alias("rest")), "supply")
-        taken = closing.join(amount, ["comp", "root"]).select("comp", "t", "amount")
-        right = stage(right.join(taken, ["comp", "t"], "left").select(
-            "comp", "t", (F.col("rest") - zero("amount")).alias("rest")), "demand")
+        if eps == 1:
+            break
+        eps = max(1, eps // STEP)
+    pair = state.where("name like 't:%' and owner like 'p:%'").select(
+        "comp", F.expr("substr(owner, 3, length(owner) - 2 - locate('#', reverse(owner)))").alias("p"), F.expr("substr(name, 3)").alias("t"))
+    flows = pair.groupBy("comp", "p", "t").agg(F.count(F.lit(1)).alias("flow"))
+    return edges.select("comp", *_EDGE).join(flows, ["comp", "p", "t"]).select(*_EDGE, "flow")
 
 
 def assign_nodes(edges: DataFrame, tau_in: float = DEFAULT_TAU_IN, bucket: float = DEFAULT_BUCKET,
-                 max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
+                 max_local_edges: int = MAX_LOCAL_EDGES, max_square_offers: int = MAX_SQUARE_OFFERS) -> DataFrame:
     """Optimal flow on node edges: block, p, t, d (in buckets), flow."""
     edges = stage(_degrees(stage(edges.withColumn("tie", tie_number()), "edges")), "edges")
     alone = (F.col("p_deg") == 1) & (F.col("t_deg") == 1)
@@ -341,7 +398,7 @@ def assign_nodes(edges: DataFrame, tau_in: float = DEFAULT_TAU_IN, bucket: float
     rest = stage(rest.join(sizes, "comp"), "components")
     small = rest.where(F.col("n_edges") <= max_local_edges)
     large = rest.where(F.col("n_edges") > max_local_edges).drop("n_edges")
-    return settled.unionByName(_solve_local(small)).unionByName(_solve_distributed(large))
+    return settled.unionByName(_solve_local(small)).unionByName(_solve_distributed(large, tau_in, bucket, max_square_offers))
 
 
 def candidate_edges(pred_groups: DataFrame, true_groups: DataFrame, scope: list[str],

@@ -664,9 +664,30 @@ SELECT variant, model, round(sum(CASE WHEN model <> 'view' THEN cost_usd END), 4
   count(*) FILTER (model = 'view') AS unpriced_rows, count(error) AS errors_count,
   CAST(coalesce(sum(event_id) FILTER (variant <> 'G'), 0) AS BIGINT) AS n_units FROM r GROUP BY 1, 2"""
     sql["branch_results"] = q(ROUTE) + """,
-x AS (SELECT doc_id, n_chars / 4 > 600 OR n_chars <= 0 AS bad, n_chars % 2 = 0 AS missing FROM p)
-SELECT n.doc_id, n.branch::BIGINT AS branch, branch_name, count(*) AS n_units, count(*) FILTER (bad) AS n_errors,
-  count(*) FILTER (missing) AS n_warnings, count(*) FILTER (bad) = 0 AS ok FROM named n JOIN x USING (doc_id) GROUP BY 1, 2, 3"""
+x AS (SELECT p.doc_id, page_key AS k, n_chars AS n, page_no, branch, branch_name, count(*) OVER (PARTITION BY p.doc_id) AS pages,
+  k % 6 <> 0 AS read FROM p JOIN named USING (doc_id)),
+offers AS (
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (30 + n % 600 > 600) + CASE WHEN count(*) FILTER (k % 9 = 0) > 0 THEN 1 ELSE 0 END AS n_errors,
+    0::BIGINT AS n_warnings, CAST(sum(1 + n % 5) AS BIGINT) AS total_qty, count(*) FILTER (k % 9 = 0) = 0 AS reconciled,
+    count(*) AS offer_lines FROM x WHERE branch = 1 GROUP BY 1),
+r AS (SELECT doc_id, k % 5 = 0 AS door, k % 3 AS w, n % 2 AS h, CAST(sum(1 + n % 5) AS BIGINT) AS qty,
+    CAST(coalesce(sum(1 + n % 5) FILTER (k % 3 <> 0), 0) AS BIGINT) AS true_qty, count(*) FILTER (k % 3 <> 0) > 0 AS known
+  FROM x WHERE branch = 2 AND k % 4 <> 0 GROUP BY 1, 2, 3, 4),
+schedules AS (
+  SELECT doc_id, CAST(sum(qty) AS BIGINT) AS n_units, CASE WHEN bool_or(known) THEN 2 * count(*) FILTER (known) / (count(*) + count(*) FILTER (known))::DOUBLE
+    ELSE 0.0::DOUBLE END AS group_f1, sum(true_qty) AS t, sum(qty) AS pq FROM r GROUP BY 1),
+dense AS (SELECT * FROM x WHERE branch = 3 AND 1 + n % 5 >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n % 5 DESC, page_no) <= 2),
+sampled AS (SELECT * FROM x WHERE branch = 4 AND page_no IN (1, pages // 2 + 1, pages)),
+reads AS (SELECT * FROM dense UNION ALL SELECT * FROM sampled),
+found AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (n / 4 > 600 OR n <= 0) AS n_errors, count(*) FILTER (n % 2 = 0) AS n_warnings
+  FROM reads WHERE read GROUP BY 1),
+sure AS (SELECT doc_id, CASE min(CASE WHEN NOT read THEN 1 WHEN n % 3 = 0 THEN 2 ELSE 3 END) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' ELSE 'high' END AS confidence
+  FROM sampled GROUP BY 1)
+SELECT d.doc_id, d.branch::BIGINT AS branch, d.branch_name, coalesce(o.n_units, s.n_units, f.n_units, 0) AS n_units,
+  coalesce(o.n_errors, f.n_errors) AS n_errors, coalesce(o.n_warnings, f.n_warnings) AS n_warnings,
+  coalesce(o.n_errors, f.n_errors) = 0 AS ok, total_qty, reconciled, offer_lines, s.doc_id IS NOT NULL AS scored, round(group_f1, 6) AS group_f1,
+  CASE WHEN s.doc_id IS NOT NULL THEN CASE WHEN t = 0 AND pq > 0 THEN 'FAIL' WHEN group_f1 >= 0.7 AND abs(pq - t) <= 0.05::DOUBLE * t THEN 'PASS' ELSE 'FAIL' END END AS gate, confidence
+FROM named d LEFT JOIN offers o USING (doc_id) LEFT JOIN schedules s USING (doc_id) LEFT JOIN found f USING (doc_id) LEFT JOIN sure c USING (doc_id)"""
     sql["elevation_reads"] = q(ELEVATION) + """
 SELECT doc_id, page_no, 'low' AS confidence, page_no % 2 = 0 AS readable,
   CASE WHEN page_no % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_units FROM e"""
@@ -732,6 +753,22 @@ QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY ts, event_id) = 1"""
     sql["stream_merge_latest"] = """
 SELECT user_id, event_type, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"""
+    sql["stream_indexed_sink"] = """
+SELECT user_id, event_type, event_id, value FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3, ts, event_id) = 1"""
+    sql["stream_status"] = """
+SELECT event_id % 3 AS batch_id, count(*) AS rows_in FROM events GROUP BY 1"""
+    sql["chat_attachments"] = """
+WITH e AS (SELECT event_id AS update_id, json_extract_string(props, '$.k')::BIGINT AS k, event_type, user_id FROM events),
+f AS (SELECT update_id, CASE WHEN update_id % 5 <> 0 THEN event_type || '.' || k || '.pdf'
+    ELSE 'file_' || substr('id' || update_id || '-long', 1, 8) || '.bin' END AS name,
+  CASE WHEN update_id % 7 <> 0 THEN k % 4 ELSE 0 END AS size FROM e WHERE user_id % 10 = 3 AND event_type <> 'view')
+SELECT update_id, name, size FROM f QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY update_id) = 1"""
+    sql["run_commits"] = """
+SELECT l_linenumber AS page_no, count(*) AS n_log, count(*) FILTER (l_orderkey % 7 = 0) AS n_failed,
+  nullif(count(*) FILTER (l_orderkey % 7 <> 0), 0) AS n_raw,
+  nullif(count(*) FILTER (l_orderkey % 7 <> 0 AND l_linenumber < 7), 0) AS n_units
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
     sql["incremental_append"] = """
 WITH g AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS qty, max(l_linestatus) AS status FROM lineitem GROUP BY 1, 2)
 SELECT l_linenumber, status, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM g GROUP BY 1, 2"""

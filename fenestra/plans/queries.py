@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fenestra.functions import cells as ce, codes, geometry as ge, inches, text as tx
@@ -14,7 +15,7 @@ from fenestra.operators.responses import accepted, anchor_units, parse_responses
 from fenestra.plans import branches, standins as si, strategies
 from fenestra.session import stage, staged_path
 from fenestra.sources import inventory as inv, leaderboard_csv as lcsv, units as us
-from fenestra.streaming import incremental, ingest
+from fenestra.streaming import incremental, ingest, merged, runs as run_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -774,20 +775,14 @@ def run_totals(spark, sf):
 
 @query
 def branch_results(spark, sf):
-    """Routed documents with the units and quality of their branch."""
+    """Routed documents through the four branches: offers, schedules against a truth without every third row, sheets, sampled pages."""
     pages = si.document_pages(spark, sf)
-    routed = routing.classify(routing.route_signals(pages, si.page_votes(spark, sf, pages)))
-    reads = pages.select("doc_id", "page_no", F.concat(
-        F.lit('Page read: {"readable":true,"confidence":"low","units":[{"mark":"M'), "page_no",
-        F.lit('","width_in":'), F.col("n_chars") / 4, F.lit(',"qty":'), F.when(F.col("n_chars") % 2 == 0, "null").otherwise("3"),
-        F.lit("}]}")).alias("raw_text"))
-    summaries = {}
-    for number, source in ((1, "schedule_column"), (2, "schedule_column"), (3, "counted_openings"), (4, "vlm_read")):
-        mine = reads.join(routed.where(F.col("branch") == number).select("doc_id"), "doc_id", "left_semi")
-        units = branches.read_units(branches.page_reads(mine), source)
-        summaries[number] = quality.quality_summary(quality.unit_findings(units), ["doc_id"])
-    return branches.branch_results(routed, summaries).select(
-        "doc_id", F.col("branch").cast("bigint").alias("branch"), "branch_name", "n_units", "n_errors", "n_warnings", "ok")
+    routed = stage(routing.classify(routing.route_signals(pages, si.page_votes(spark, sf, pages))), "routes")
+    content = si.branch_pages(spark, sf)
+    truth = schedules.schedule_units(content.select("doc_id", F.inline("rows")).where("cast(substr(mark, 2) as bigint) % 3 != 0"))
+    return branches.branch_results(routed, branches.run_branches(routed, content, truth)).select(
+        "doc_id", F.col("branch").cast("bigint").alias("branch"), "branch_name", "n_units", "n_errors", "n_warnings", "ok", "total_qty",
+        "reconciled", "offer_lines", "scored", _r("group_f1"), "gate", "confidence")
 
 
 @query
@@ -883,11 +878,93 @@ def stream_ingest_dedup(spark, sf):
 
 @query
 def stream_merge_latest(spark, sf):
-    """Newest run per key, merged batch by batch from a stream."""
-    root, checkpoint = staged_path(spark, "versions"), staged_path(spark, "offsets")
-    merge = incremental.merge_batch(root, ["ts", "event_id"], ["user_id", "event_type"])
-    ingest.for_each_batch(_event_stream(spark, sf), checkpoint, merge)
-    return incremental.read_current(spark, root).select("user_id", "event_type", "event_id", "value")
+    """Newest run per key, merged batch by batch from a stream of three files."""
+    root, checkpoint = staged_path(spark, "merged"), staged_path(spark, "offsets")
+    merge = merged.merge_batch(root, ["ts", "event_id"], ["user_id", "event_type"])
+    ingest.for_each_batch(_event_files(spark, sf), checkpoint, merge)
+    return merged.read_current(spark, root).select("user_id", "event_type", "event_id", "value")
+
+
+def _event_files(spark, sf):
+    """Events as a stream of three files, one batch each."""
+    path, events = staged_path(spark, "files"), si.table(spark, sf, "events")
+    for k in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    stream = ingest.watch_table(spark, path, events.schema, "parquet", "*.parquet", max_files=1)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_indexed_sink(spark, sf):
+    """First event per user and type among three batches, the last two run twice; filters pick the files to be read."""
+    sink = staged_path(spark, "sink")
+    append = merged.append_new_indexed(sink, ["user_id", "event_type"], ["ts", "event_id"], buckets=16)
+    events = si.table(spark, sf, "events")
+    for k in (0, 1, 1, 2, 2):
+        append(events.where(F.pmod("event_id", F.lit(3)) == k), k)
+    return merged.read_indexed(spark, sink).select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def stream_status(spark, sf):
+    """Rows per batch, as a listener wrote them while the stream ran."""
+    path, checkpoint, sink = (staged_path(spark, n) for n in ("status", "offsets", "sink"))
+    listener = ingest.StatusTable(path)
+    spark.streams.addListener(listener)
+    try:
+        ingest.for_each_batch(_event_files(spark, sf), checkpoint, lambda batch, _: batch.write.mode("append").parquet(sink))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()  # the last batch is reported after the query has ended
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.read.parquet(path).where("rows_in > 0").select("batch_id", "rows_in")
+
+
+@query
+def chat_attachments(spark, sf):
+    """Files sent by one user among chat messages, in two polls with the message number carried on; repeats are skipped."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    file = F.when(kind != "view", F.struct(
+        F.concat(F.lit("id"), k.cast("string"), F.lit("-long")).alias("file_id"),
+        F.when(k % 5 != 0, F.concat_ws(".", kind, F.get_json_object("props", "$.k"), F.lit("pdf"))).alias("file_name"),
+        F.when(k % 7 != 0, F.get_json_object("props", "$.k").cast("bigint") % 4).alias("file_size")))
+    sender = lambda c: F.struct(c.alias("id"))
+    message = F.struct(sender(F.col("user_id") % 10).alias("from"), sender(F.lit(77)).alias("chat"), file.alias("document"))
+    path, checkpoint, sink = (staged_path(spark, n) for n in ("chat", "offsets", "sink"))
+    events = si.table(spark, sf, "events").select(k.alias("update_id"), F.when(k % 3 != 0, message).alias("message"),
+                                                  F.when(k % 3 == 0, message).alias("channel_post"))
+    seen, half = None, events.agg(F.expr("(min(update_id) + max(update_id)) div 2")).first()[0]
+    append = merged.append_new_indexed(sink, ["name", "size"], ["update_id"], buckets=16)
+    for upto in (F.col("update_id") <= half, F.lit(True)):  # the second poll sees the first messages again
+        events.where(upto).write.mode("overwrite").json(path)
+        updates = spark.read.schema(ingest.CHAT_UPDATE).json(path)
+        append(ingest.chat_files(updates, 3, seen), 0 if seen is None else 1)
+        seen = ingest.next_offset(updates)
+    return merged.read_indexed(spark, sink).select("update_id", "name", "size")
+
+
+@query
+def run_commits(spark, sf):
+    """Units, log and raw text of three batches of responses, of which one is lost half way and run again, and one repeated."""
+    root = staged_path(spark, "run")
+    responses = si.unit_responses(spark, sf).withColumn("error", F.when(F.col("doc_id") % 7 == 0, "timeout"))
+    part = lambda k: responses.where(F.col("page_no") % 3 == k)
+
+    def lost(batch):
+        tables = run_files.run_tables(batch)
+        return {**tables, "raw": tables["raw"].withColumn("raw_text", F.raise_error(F.lit("executor lost")).cast("string"))}
+
+    record = run_files.record_run(root)
+    record(part(0), 0)
+    try:
+        run_files.write_together(root, lost)(part(1), 1)
+        raise AssertionError("the batch was to fail")
+    except PySparkException:
+        pass
+    for k in (1, 2, 0):
+        record(part(k), k)
+    count = lambda name: run_files.run_table(spark, root, name).groupBy("page_no").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+    failed = run_files.run_table(spark, root, "log").groupBy("page_no").agg(F.count("error").alias("n_failed"))
+    return count("log").join(failed, "page_no").join(count("raw"), "page_no", "left").join(count("units"), "page_no", "left")
 
 
 @query

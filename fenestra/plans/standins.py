@@ -104,6 +104,23 @@ def document_pages(spark: SparkSession, sf: str) -> DataFrame:
     return named.join(numbers, "page_key")
 
 
+def branch_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of ``document_pages`` with an offer, level datums, a reading and a schedule row each, by arithmetic."""
+    k, n, page = F.col("page_key"), F.col("n_chars"), F.col("page_no")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    unit, qty = 100 + k % 50, 1 + n % 5
+    offer = F.concat_ws("\n", F.lit("Profile: P"), text("Frame size: ", 30 + n % 600, " x ", 60 + k % 40), F.lit("Glass TEMP"),
+                        F.lit("Egress: NO"), k.cast("string"), F.lit("1,000.00"), F.lit("-"), _money(unit.cast("double")), F.lit("-"),
+                        qty.cast("string"), _money((unit * qty + F.when(k % 9 == 0, 10).otherwise(0)).cast("double")), F.lit("9.00"),
+                        F.lit("Accessories"), F.repeat(F.lit("First Level "), (1 + n % 5).cast("int")))
+    answer = F.when(k % 6 == 0, "nothing to be read").otherwise(text(
+        'Page read: {"readable":true,"confidence":"', F.when(n % 3 == 0, "medium").otherwise("high"), '","units":[{"mark":"M', page,
+        '","width_in":', n / 4, ',"qty":', F.when(n % 2 == 0, "null").otherwise("3"), "}]}"))
+    row = F.struct(text("m", k).alias("mark"), F.when(k % 4 == 0, "n/a").otherwise(text(2 + k % 3, "0", 5 + n % 2, "0")).alias("size_code"),
+                   qty.cast("string").alias("qty"), F.when(k % 5 == 0, "Door").otherwise("window").alias("type"))
+    return document_pages(spark, sf).select("doc_id", "page_no", offer.alias("text"), answer.alias("raw_text"), F.array(row).alias("rows"))
+
+
 def page_votes(spark: SparkSession, sf: str, pages: DataFrame) -> DataFrame:
     labels = table(spark, sf, "labels").withColumn(
         "vote", F.when(F.col("toxic") == 1, "HANDWRITTEN").when(F.col("quality") == 0, "TABLE").otherwise("PLAN"))

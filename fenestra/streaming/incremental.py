@@ -2,17 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
-
-from fenestra.operators.leaderboard import KEYS, latest_wins
-
-#: Parts of a merged table; a batch rewrites those it touches.
-BUCKETS = 64
-_BUCKET = "_bucket"
-
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Table at ``path``, or no rows if it does not exist yet."""
@@ -22,93 +13,27 @@ def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
+def _same(keys: list[str]) -> list:
+    return [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys]
+
+
 def pending(requested: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Requested work that is not done yet."""
-    return requested.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Requested work that is not done yet; null keys are keys like others."""
+    return requested.join(done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct(), _same(keys), "left_anti")
 
 
-def append_pending(requested: DataFrame, path: str, keys: list[str], work=lambda df: df) -> None:
+def append_pending(requested: DataFrame, path: str, keys: list[str], work=lambda df: df, first: list[str] | None = None) -> None:
     """Append ``work`` of the pending rows; a second call with the same request adds nothing.
 
-    A key that is requested twice is worked on once. ``work`` keeps the keys.
+    A key that is requested twice is worked on once: the first row by ``first``, by all other columns if it is not given.
+    ``work`` keeps the keys.
     """
-    requested = requested.dropDuplicates(keys)
+    rest = [c for c in requested.columns if c not in keys]
+    if rest:
+        once = F.min_by(F.struct(*rest), F.struct(*(first or rest)))
+        requested = requested.groupBy(*keys).agg(once.alias("_r")).select(*keys, "_r.*")
+    else:
+        requested = requested.distinct()
     result = work(requested)
     done = read_or_empty(requested.sparkSession, path, result)
     work(pending(requested, done, keys)).write.mode("append").parquet(path)
-
-
-def merge_batch(root: str, recency: list[str], keys: list[str] | None = None, buckets: int = BUCKETS):
-    """``foreachBatch`` function: keep the newest row per key over all batches.
-
-    Keys are dealt in ``buckets``. A batch rewrites only the buckets it has rows for, as a new
-    version next to the older ones; readers take the highest complete version of each bucket
-    (``read_current``), so a repeated or failed batch leaves no half state. Of each bucket the
-    last two versions are kept.
-    """
-    keys = keys or KEYS
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        dealt = batch.withColumn(_BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = {r[0] for r in dealt.select(_BUCKET).distinct().collect()}  # at most ``buckets`` rows
-        before = {b: p for b, p in _current_paths(spark, root, before=batch_id).items() if b in touched}
-        rows = dealt
-        if before:
-            rows = _read(spark, root, before).unionByName(dealt, allowMissingColumns=True)
-        latest_wins(rows, recency, [*keys, _BUCKET]).write.mode("overwrite").partitionBy(_BUCKET).parquet(
-            f"{root}/v{batch_id:012d}")
-        _forget(spark, root, touched)
-
-    return merge
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The merged rows; None before the first batch."""
-    paths = _current_paths(spark, root)
-    return _read(spark, root, paths).drop(_BUCKET) if paths else None
-
-
-def _read(spark: SparkSession, root: str, paths: dict[int, str]) -> DataFrame:
-    # the folder of a bucket is its partition, so each version is read under its own base path
-    by_version: dict[str, list[str]] = {}
-    for path in paths.values():
-        by_version.setdefault(path.rsplit("/", 1)[0], []).append(path)
-    parts = [spark.read.option("basePath", version).parquet(*found) for version, found in by_version.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _versions(spark: SparkSession, root: str, before: int | None = None) -> list[tuple[int, int]]:
-    """(bucket, version) of all complete versions below ``root``, optionally lower than ``before``."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = []
-    for status in fs.listStatus(folder) if fs.exists(folder) else ():
-        name = status.getPath().getName()
-        if name.startswith("v") and fs.exists(status.getPath().suffix("/_SUCCESS")):
-            version = int(name[1:])
-            if before is None or version < before:
-                names = (s.getPath().getName() for s in fs.listStatus(status.getPath()))
-                found += [(int(n.split("=")[1]), version) for n in names if n.startswith(f"{_BUCKET}=")]
-    return found
-
-
-def _current_paths(spark: SparkSession, root: str, before: int | None = None) -> dict[int, str]:
-    """Folder of the highest complete version of each bucket."""
-    latest: dict[int, int] = {}
-    for bucket, version in _versions(spark, root, before):
-        latest[bucket] = max(version, latest.get(bucket, -1))
-    return {b: f"{root}/v{v:012d}/{_BUCKET}={b}" for b, v in latest.items()}
-
-
-def _forget(spark: SparkSession, root: str, touched: set[int]) -> None:
-    """Delete all but the last two versions of the touched buckets."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    by_bucket: dict[int, list[int]] = {}
-    for bucket, version in _versions(spark, root):
-        by_bucket.setdefault(bucket, []).append(version)
-    for bucket in touched:
-        for version in sorted(by_bucket.get(bucket, ()))[:-2]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/v{version:012d}/{_BUCKET}={bucket}"), True)

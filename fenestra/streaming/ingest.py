@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from fenestra.streaming.incremental import read_or_empty
@@ -32,6 +32,33 @@ def watch_table(spark: SparkSession, path: str, schema: StructType | str, fmt: s
     return reader.load(path)
 
 
+#: Fixed fields of a chat message file, one JSON object per line.
+CHAT_MESSAGE = ("struct<`from`:struct<id:bigint>,chat:struct<id:bigint>,"
+                "document:struct<file_id:string,file_name:string,file_size:bigint>>")
+CHAT_UPDATE = f"update_id bigint, message {CHAT_MESSAGE}, channel_post {CHAT_MESSAGE}"
+
+
+def chat_files(updates: DataFrame, chat_id: int, offset: int | None = None) -> DataFrame:
+    """Attachments of one sender or chat as (update_id, file_id, name, size), from a stream or table of ``CHAT_UPDATE``.
+
+    Messages of others and messages without an attachment are left out; a file without a name is named by its id. With
+    ``offset``, messages of smaller numbers have been seen.
+    """
+    said = F.coalesce("message", "channel_post")
+    ours = F.coalesce(said["from"]["id"] == chat_id, F.lit(False)) | F.coalesce(said["chat"]["id"] == chat_id, F.lit(False))
+    new = F.lit(True) if offset is None else F.col("update_id") >= offset
+    file = said["document"]
+    name = F.coalesce(file["file_name"], F.concat(F.lit("file_"), F.substring(file["file_id"], 1, 8), F.lit(".bin")))
+    return updates.where(ours & new & file.isNotNull()).select(
+        "update_id", file["file_id"].alias("file_id"), name.alias("name"), F.coalesce(file["file_size"], F.lit(0)).alias("size"))
+
+
+def next_offset(updates: DataFrame) -> int | None:
+    """Number of the first message that has not been seen, whoever sent the others; None without messages."""
+    last = updates.agg(F.max("update_id")).first()[0]
+    return None if last is None else last + 1
+
+
 def drop_repeats(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
     """One row per key among those less than ``lateness`` apart.
 
@@ -79,8 +106,38 @@ def append_new(sink: str, keys: list[str], first: list[str]) -> Callable[[DataFr
     return append
 
 
+PROGRESS = "name string, id string, batch_id bigint, rows_in bigint, rows_per_second double, millis bigint, at string"
+
+
+def _progress_row(p) -> tuple:
+    return (p["name"] or "", str(p["id"]), int(p["batchId"]), int(p["numInputRows"]), float(p["processedRowsPerSecond"]),
+            int(p["durationMs"].get("triggerExecution", 0)), p["timestamp"])
+
+
 def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Recent progress of a query as a table: batch, rows in, duration."""
-    rows = [(query.name or "", str(p["id"]), int(p["batchId"]), int(p["numInputRows"]),
-             int(p["durationMs"].get("triggerExecution", 0))) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "name string, id string, batch_id bigint, rows_in bigint, millis bigint")
+    """Recent progress of a query as a table."""
+    return spark.createDataFrame([_progress_row(p) for p in query.recentProgress], PROGRESS)
+
+
+class StatusTable(StreamingQueryListener):
+    """Appends a row to a table whenever a streaming query has finished a batch, while it runs.
+
+    Add it with ``spark.streams.addListener``; readers see what all listeners of the table have written so far.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        row = (p.name or "", str(p.id), p.batchId, p.numInputRows, float(p.processedRowsPerSecond), p.durationMs.get("triggerExecution", 0), p.timestamp)
+        SparkSession.active().createDataFrame([row], PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
