@@ -43,8 +43,8 @@ RECALL = 0.94
 #: Vectors that a task holds, and queries that it compares with them at once.
 CHUNK_ROWS = 8_192
 QUERIES_AT_ONCE = 512
-#: Nearest by matrix product that are scored again in the fixed order of summation, beyond those wanted.
-SPARE = 8
+#: Queries of one chunk that go to one task; beyond it the chunk is sent to several tasks.
+QUERIES_PER_TASK = 4_096
 
 
 def usable(vector: Column) -> Column:
@@ -124,10 +124,11 @@ def _nearest(block: np.ndarray, ids: np.ndarray, queries: np.ndarray, visited: n
     rough = queries @ block.T
     if visited is not None:
         rough[~visited] = -np.inf
-    take = min(k + SPARE, len(ids))
-    near = np.argpartition(-rough, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    for i, at in enumerate(near):
-        at = at[rough[i, at] > -np.inf]
+    # no product and no sum is further from the true value than this, so every row of the k nearest is within twice of the k-th
+    unsure = 4 * (block.shape[1] + 2) * np.finfo(np.float64).eps * np.linalg.norm(queries, axis=1) * np.linalg.norm(block, axis=1).max()
+    least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(queries), -np.inf)
+    for i, row in enumerate(rough):
+        at = np.flatnonzero((row >= least[i] - unsure[i]) & (row > -np.inf))
         scores = (block[at] * queries[i]).sum(axis=1)
         order = np.lexsort((ids[at], -scores))[:k]
         if len(order):
@@ -185,18 +186,16 @@ def calibrated_visits(tree: dict[str, Any], truth: list[tuple[int, int]], querie
 
 
 def chunks_of(sizes: dict[int, int], leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """First chunk and number of chunks of each leaf; leaves in order fill a chunk together."""
-    first, count = np.zeros(leaves, int), np.ones(leaves, int)
-    chunk = held = 0
-    for leaf in range(leaves):
-        n = sizes.get(leaf, 0)
-        if held and held + n > CHUNK_ROWS:
-            chunk, held = chunk + 1, 0
-        first[leaf], count[leaf] = chunk, max(1, -(-n // CHUNK_ROWS))
-        held += n
-        if count[leaf] > 1:
-            chunk, held = chunk + int(count[leaf]), 0
-    return first, count
+    """First chunk and number of chunks of each leaf; leaves in order share chunks of even size, a larger leaf has several of its own."""
+    counts = np.array([sizes.get(leaf, 0) for leaf in range(leaves)], np.int64)
+    parts = np.maximum(1, -(-counts // CHUNK_ROWS))
+    small = np.where(parts == 1, counts, 0)
+    chunks = max(1, -(-small.sum() // CHUNK_ROWS))
+    even = max(1.0, small.sum() / chunks)
+    place = np.minimum((np.cumsum(small) - small / 2) // even, chunks - 1).astype(np.int64)
+    own = place[parts == 1].max(initial=-1) + 1  # the first chunk of the large leaves
+    first = np.where(parts == 1, place, own + np.cumsum(np.where(parts > 1, parts, 0)) - parts)
+    return first, parts
 
 
 def _visits(asked: DataFrame, shared, where, visits: int) -> DataFrame:
@@ -222,14 +221,14 @@ def _visits(asked: DataFrame, shared, where, visits: int) -> DataFrame:
     return asked.select("cls", "vector").mapInArrow(task, f"chunk int, cls bigint, vector {kind}, leaves array<int>")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.RecordBatch]]:
-    """(chunk, side, rows) of a partition sorted by both; a chunk's queries may come in many pieces."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """((chunk, salt), side, rows) of a partition sorted by these; a chunk's queries may come in many pieces."""
     for batch in batches:
-        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        keys = np.stack([batch.column(i).to_numpy() for i in (0, 5, 1)], axis=1)
         ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
         for start, end in zip([0, *ends], ends):
             if end > start:
-                yield int(keys[start, 0]), int(keys[start, 1]), batch.slice(start, end - start)
+                yield (int(keys[start, 0]), int(keys[start, 1])), int(keys[start, 2]), batch.slice(start, end - start)
 
 
 def _searched(dealt: DataFrame, k: int) -> DataFrame:
@@ -306,8 +305,12 @@ def search(vectors: DataFrame, is_query: Column | str, k: int = 20, recall: floa
     held = indexed.join(at, "leaf").select(
         (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).cast("int").alias("chunk"), F.lit(0).alias("side"), "cls", "vector",
         F.array("leaf").alias("leaves"))
-    wanted = _visits(asked, shared, where, visits).select("chunk", F.lit(1).alias("side"), "cls", "vector", "leaves")
-    dealt = held.unionByName(wanted).repartition("chunk").sortWithinPartitions("chunk", "side")
+    salts = -(-asked.count() // QUERIES_PER_TASK)  # no chunk is visited by more than all queries
+    copies = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else held.withColumn("salt", F.lit(0))
+    wanted = _visits(asked, shared, where, visits).select("chunk", F.lit(1).alias("side"), "cls", "vector", "leaves",
+                                                         F.pmod(F.xxhash64("cls"), F.lit(salts)).cast("int").alias("salt"))
+    dealt = copies.unionByName(wanted).repartition("chunk", "salt").sortWithinPartitions("chunk", "salt", "side").select(
+        "chunk", "side", "cls", "vector", "leaves", "salt")
     near = top(_searched(dealt, k + 1), ["query"], [F.desc("score"), F.col("cls")], k + 1).drop("rank")
 
     # classes to ids: the smallest k + 1 of a class are enough; then the queries' own ids go

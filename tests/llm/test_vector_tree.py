@@ -79,3 +79,36 @@ def test_awkward_vectors(spark):
     assert dict(got) == {0: [(1, 5.0), (20, 5.0), (40, 2.0)], 20: [(0, 5.0), (1, 5.0), (40, 2.0)], 40: [(0, 2.0), (20, 2.0), (1, 1.0)]}
     assert t.search(df.limit(0), ASKS).count() == 0
     assert t.search(df.where("vec_id = 0"), ASKS).count() == 0
+
+
+def test_ties_go_to_the_smaller_id():
+    rng = np.random.default_rng(8)
+    block = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 3))], axis=1)  # distinct vectors of equal product with the query
+    ids = rng.permutation(400) + 1
+    for k in (1, 21, 399, 400, 500):
+        (_, at, scores), = t._nearest(block, ids, np.array([[2.0, 0.0, 0.0, 0.0]]), None, k)
+        assert ids[at].tolist() == list(range(1, min(k, 400) + 1)) and set(scores) == {2.0}
+    seen = np.zeros((1, 400), bool)
+    seen[0, :30] = True
+    (_, at, _), = t._nearest(block, ids, np.array([[2.0, 0.0, 0.0, 0.0]]), seen, 21)
+    assert ids[at].tolist() == sorted(ids[:30].tolist())[:21]
+
+
+def test_quantised_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(t, "CHUNK_ROWS", 200)
+    monkeypatch.setattr(t, "QUERIES_PER_TASK", 7)
+    rng = np.random.default_rng(9)
+    points = [(i, v) for i, v in enumerate(rng.integers(-1, 2, (900, 5)).astype(float).tolist())]
+    points += [(1_000 + i, [float(j == i % 9) for j in range(5)]) for i in range(200)]  # one-hot, many of them zero
+    df = spark.createDataFrame(points, "vec_id bigint, embedding array<float>")
+    want = brute([p for p in points if any(p[1])])
+    assert dict(found(t.search(df, ASKS, recall=1.0).collect())) == want
+
+
+def test_chunks_are_even():
+    sizes = {leaf: 100 + leaf % 7 for leaf in range(300)}
+    first, count = t.chunks_of(sizes, 300)
+    rows = np.bincount(first, [sizes[i] for i in range(300)])
+    assert (count == 1).all() and rows.max() < 1.1 * rows.min() and rows.max() <= t.CHUNK_ROWS
+    first, count = t.chunks_of({0: 10, 1: 3 * t.CHUNK_ROWS, 2: 20, 3: t.CHUNK_ROWS + 1}, 5)
+    assert count.tolist() == [1, 3, 1, 2, 1] and first[1] == 1 and first[3] == 4 and first[0] == first[2] == first[4] == 0
