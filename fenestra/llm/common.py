@@ -36,6 +36,17 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def by_position(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position, free of any name an operator uses, and the former names by the new ones."""
+    names = {f"_c{i}": c for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]), names
+
+
+def name_of(names: dict[str, str], column: str) -> str:
+    """The positional name of a column."""
+    return next(n for n, c in names.items() if c == column)
+
+
 def replaced(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with the values of existing columns exchanged; order and other columns stay."""
     return df.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns])

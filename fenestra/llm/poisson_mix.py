@@ -13,14 +13,18 @@ The distribution function of a source is a list of about rate + 12 * sqrt(rate)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fenestra.llm.common import partitions
+from fenestra.llm.common import by_position, name_of, partitions
 from fenestra.session import stage
 
 #: Share of a source without a target of its own: its volume to this power.
 TEMPERATURE = 0.5
 SEED = 17
+#: Code points in a partition of the mix, about; the session's number of partitions is the least.
+PIECE = 128 << 20
 _BITS = 52
 
 
@@ -45,12 +49,9 @@ def source_rates(docs: DataFrame, targets: dict[str, float] | None = None, tempe
         named = [F.when(F.col("source") == F.lit(k), F.lit(float(v))) for k, v in targets.items()]
         weight = F.coalesce(*named, F.lit(0.0))
     weighed = sources.withColumn("weight", F.when(F.col("volume") > 0, weight).otherwise(0.0))
-    # two sums over all sources, joined back on a constant key
-    sums = weighed.groupBy(F.lit(1).alias("_one")).agg(
-        F.sum("weight").alias("_weights"), F.sum("volume").alias("_volumes"))
-    rate = F.col("weight") / F.col("_weights") * F.lit(total) * F.col("_volumes") / F.col("volume")
-    return weighed.withColumn("_one", F.lit(1)).join(sums, "_one").select(
-        "source", "volume", F.when(F.col("volume") > 0, F.round(rate, 9)).otherwise(1.0).alias("rate"))
+    sums = weighed.agg(F.struct(F.sum("weight").alias("weights"), F.sum("volume").alias("volumes"))).scalar()
+    rate = F.col("weight") / sums["weights"] * F.lit(total) * sums["volumes"] / F.col("volume")
+    return weighed.select("source", "volume", F.when(F.col("volume") > 0, F.round(rate, 9)).otherwise(1.0).alias("rate"))
 
 
 def with_distribution(rates: DataFrame) -> DataFrame:
@@ -66,6 +67,12 @@ def with_distribution(rates: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cdf"))
 
 
+def _pieces(rates: DataFrame) -> int:
+    """Partitions of about ``PIECE`` code points for the expected volume of the mix."""
+    expected = rates.agg(F.sum(F.col("volume") * F.col("rate"))).first()[0]  # one row per source was written
+    return math.ceil((expected or 0) / PIECE)
+
+
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float = 1.0,
         seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with ``copy`` (from 0), ``rate`` and ``order_key``, in global random order.
@@ -76,17 +83,16 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, temperature: f
     its order key, which is uniform, so no pass for range bounds is needed.
     """
     rates = stage(with_distribution(source_rates(docs, targets, temperature, total, source_col, text_col)), "rates")
-    names = [c for c in docs.columns if c not in ("copy", "rate", "order_key")]
-    left = docs.alias("d").join(rates.alias("r"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("r.source")))
-    ident = F.coalesce(F.col(f"d.`{id_col}`").cast("string"), F.lit(""))
-    u = uniform("count", seed, ident)
-    drawn = left.select(*[F.col(f"d.`{c}`") for c in names], F.col("r.rate").alias("rate"), F.col("r.cdf").alias("_cdf"),
-                        ident.alias("_id"), u.alias("_u"))
-    times = F.size(F.filter(F.col("_cdf"), lambda c: c <= F.col("_u")))
-    counted = drawn.withColumn("_times", times).where("_times > 0").drop("_cdf", "_u")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).withColumn(
-        "order_key", (uniform("order", seed, F.col("_id"), F.col("copy")) * F.lit(2.0 ** _BITS)).cast("bigint"))
-    parts = partitions(docs)
+    rows, names = by_position(docs)
+    left = rows.join(rates, F.col(name_of(names, source_col)).eqNullSafe(F.col("source")))
+    ident = F.coalesce(F.col(name_of(names, id_col)).cast("string"), F.lit(""))
+    drawn = left.select(*names, "rate", "cdf", ident.alias("ident"), uniform("count", seed, ident).alias("u"))
+    times = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("u")))
+    counted = drawn.withColumn("times", times).where("times > 0").drop("cdf", "u")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times") - 1))).withColumn(
+        "order_key", (uniform("order", seed, F.col("ident"), F.col("copy")) * F.lit(2.0 ** _BITS)).cast("bigint"))
+    parts = max(partitions(docs), _pieces(rates))
     place = F.floor(F.col("order_key") / F.lit(2.0 ** _BITS) * parts).cast("int")
-    shuffled = copies.select(*[F.col(f"`{c}`") for c in names], "copy", "rate", "order_key", place.alias("_place"))
-    return shuffled.repartitionById(parts, "_place").drop("_place").sortWithinPartitions("order_key")
+    shuffled = copies.withColumn("place", place).repartitionById(parts, "place").sortWithinPartitions("order_key")
+    new = ("copy", "rate", "order_key")
+    return shuffled.select(*[F.col(n).alias(c) for n, c in names.items() if c not in new], *new)

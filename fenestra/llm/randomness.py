@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fenestra.llm.common import replaced
+from fenestra.llm.common import by_position, name_of
 
 # The base patterns and the least lengths of their matches.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -51,23 +51,42 @@ ENCODINGS = {
 #: The grid of p-values: this many steps per power of ten, down to ten to the minus 60.
 _STEPS, _LOWEST = 20, 60
 
+#: Items that a growing list holds.
+_BLOCK = 128
 _SPAN = "array<struct<start:int,end:int,token:string>>"
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value worked out once and written once in the plan."""
+    return F.transform(F.array(value), then)[0]
+
+
+def running(items: Column, advance: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(at, item)`` of every item, where ``at`` starts at 0 and ``advance(at, item)`` is the next one.
+
+    Lists grow inside blocks only, so the work is in proportion to the number of items. ``items`` is a bound value.
+    """
+    part = lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(blocks, first, lambda acc, b: F.struct(
+        F.aggregate(part(b), acc["at"], advance).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+    inside = lambda starts: F.flatten(F.transform(blocks, lambda b: F.aggregate(
+        part(b), F.struct(F.get(starts, b).alias("at"), F.array().cast(kind).alias("out")), lambda acc, v: F.struct(
+            advance(acc["at"], v).alias("at"), F.array_append(acc["out"], emit(acc["at"], v)).alias("out")))["out"]))
+    return F.when(F.size(items) > 0, _bound(starts, inside)).otherwise(F.array().cast(kind))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """start, end and text of all leftmost matches: the pieces between them give the positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    def located(pair: Column) -> Column:
+        sized = F.zip_with(F.slice(pair["gaps"], F.lit(1), F.size(pair["found"])), pair["found"], lambda gap, token: F.struct(
+            F.length(gap).alias("gap"), F.length(token).alias("n"), token.alias("token")))
+        return _bound(sized, lambda items: running(items, lambda at, v: at + v["gap"] + v["n"], lambda at, v: F.struct(
+            (at + v["gap"]).alias("start"), (at + v["gap"] + v["n"]).alias("end"), v["token"].alias("token")), _SPAN))
 
-    def step(acc: Column, i: Column) -> Column:
-        token = F.get(found, i)
-        start = acc["at"] + F.length(F.get(gaps, i))
-        span = F.struct(start.alias("start"), (start + F.length(token)).alias("end"), token.alias("token"))
-        return F.struct((start + F.length(token)).alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step)["out"]
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(pattern), _bound(pair, located)).otherwise(F.array().cast(_SPAN))
 
 
 def tail(z: Column) -> Column:
@@ -87,11 +106,6 @@ def encoding(token: Column) -> Column:
             .when(has("[a-z]") & has("[A-Z]"), "base64"))
 
 
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value worked out once and written once in the plan."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _score(token: Column, by: Column) -> Column:
     """Stouffer's sum of the three scores; large for random tokens. ``by`` holds the values of the encoding."""
     k = F.length(by["alphabet"])
@@ -188,10 +202,24 @@ def discoveries(scanned: DataFrame, limits: dict[int, int]) -> DataFrame:
     if limits:
         of = lambda s: F.coalesce(*[F.when(length_class(s["end"] - s["start"]) == k, v) for k, v in limits.items()])
         passes = lambda s: F.coalesce(s["grid"] >= of(s), F.lit(False))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.transform(F.filter("candidates", lambda s: passes(s) & free(s)), lambda s: F.struct(
+    extra = F.transform(F.filter("candidates", passes), lambda s: F.struct(
         s["start"].alias("start"), F.lit(len(BASE)).alias("order"), s["end"].alias("end"), F.lit("random").alias("kind")))
-    return scanned.withColumn("spans", F.array_sort(F.concat("base", extra))).drop("candidates")
+    found = _bound(F.struct(F.col("base").alias("base"), extra.alias("extra")), lambda x: F.when(
+        (F.size(x["base"]) > 0) & (F.size(x["extra"]) > 0), _bound(F.array_sort(F.concat(x["base"], x["extra"])), _free)).otherwise(
+        F.array_sort(F.concat(x["base"], x["extra"]))))
+    return scanned.withColumn("spans", found).drop("candidates")
+
+
+def _free(found: Column) -> Column:
+    """Base spans, and those other spans that overlap none of them: one walk for base spans that start before, one back for those after."""
+    kind = "array<struct<start:int,order:int,end:int,kind:string,met:boolean>>"
+    is_base, far = lambda s: s["order"] < len(BASE), (1 << 31) - 1
+    named = lambda s, met: F.struct(*[s[f].alias(f) for f in ("start", "order", "end", "kind")], met.alias("met"))
+    ahead = running(found, lambda at, s: F.when(is_base(s), F.greatest(at, s["end"])).otherwise(at), lambda at, s: named(s, at > s["start"]), kind)
+    back = lambda spans: running(spans, lambda at, s: F.when(is_base(s), F.lit(far) - s["start"]).otherwise(at),
+                                 lambda at, s: named(s, s["met"] | (F.lit(far) - at < s["end"])), kind)
+    walked = F.filter(_bound(F.reverse(ahead), back), lambda s: is_base(s) | ~s["met"])
+    return F.transform(F.reverse(walked), lambda s: F.struct(*[s[f].alias(f) for f in ("start", "order", "end", "kind")]))
 
 
 def find_secrets(docs: DataFrame, keep: list[str], text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -206,28 +234,38 @@ def listed(found: str) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """``text`` with the mask in place of every group of overlapping spans; spans are ordered and not empty."""
+    gap = "array<struct<start:int,end:int>>"
+    gaps = running(found, lambda at, s: F.greatest(at, s["end"]), lambda at, s: F.struct(at.alias("start"), s["start"].alias("end")), gap)
+    cut = lambda text, start, end: F.substring(text, start + 1, end - start)
+
+    def joined(gaps: Column) -> Column:
+        # a block's text is cut out first, so no cut counts its way through the whole text
+        part = lambda b: F.slice(gaps, b * _BLOCK + 1, F.lit(_BLOCK))
+        block = lambda own: _bound(
+            F.struct(F.get(own, F.lit(0))["start"].alias("at"), cut(text, F.get(own, F.lit(0))["start"], F.element_at(own, -1)["end"]).alias("text")),
+            lambda whole: F.transform(own, lambda g: cut(whole["text"], g["start"] - whole["at"], g["end"] - whole["at"])))
+        pieces = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / _BLOCK).cast("int")), lambda b: _bound(part(b), block)))
+        return F.concat(F.array_join(pieces, mask), F.lit(mask))
+
+    end = F.array_max(F.transform(found, lambda s: s["end"]))
+    return F.concat(_bound(F.filter(gaps, lambda g: g["start"] <= g["end"]), joined), F.substring(text, end + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``docs`` with every span of its texts exchanged for ``mask``; other columns stay, ``n_chars`` follows.
 
     Overlapping spans are masked once. Rows without a span are untouched.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                      F.col(f"`{text_col}`").alias("_text"))
-    found = find_secrets(row, ["_row", "_text"], "_text", fdr)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.array(
-            F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(
-            F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    walked = F.aggregate("spans", first, step)
-    rest = F.substring(F.col("_text"), walked["at"] + 1, F.length("_text"))
-    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(walked["out"], ""), rest)).otherwise(F.col("_text"))
-    done = found.select("_row.*", clean.alias("_clean"), (F.size("spans") > 0).alias("_hit"))
-    columns = {text_col: F.col("_clean")}
+    rows, names = by_position(docs)
+    text_name = name_of(names, text_col)
+    text = F.col(text_name)
+    found = find_secrets(rows, list(names), text_name, fdr)
+    hit = F.size("spans") > 0
+    done = found.withColumn(text_name, F.when(hit, _masked(text, F.col("spans"), mask)).otherwise(text))
+    columns = {n: F.col(n) for n in names}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("_hit"), F.length("_clean").cast(kind)).otherwise(F.col("n_chars"))
-    return replaced(done, columns).drop("_clean", "_hit")
+        n = name_of(names, "n_chars")
+        columns[n] = F.when(hit, F.length(text_name).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n))
+    return done.select(*[columns[n].alias(c) for n, c in names.items()])

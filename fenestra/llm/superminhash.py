@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fenestra.llm.common import runs, ship, slices, small_batches
+from fenestra.llm.common import by_position, name_of, runs, ship, slices, small_batches
 from fenestra.session import stage
 
 ship(__name__)
@@ -171,10 +171,10 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _centre_links(pairs: DataFrame, sets: DataFrame, threshold: int, per_task: int = 2_000) -> DataFrame:
-    """Confirmed links among (c, pivot); a centre with many members is dealt out with them."""
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("salts"))
-    salted = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"), "c")
-    centres = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    """Confirmed links among (c, pivot, size); a centre of large buckets is dealt out with their members."""
+    salts = F.ceil(F.col("size") / per_task).cast("int")
+    salted = pairs.select("pivot", F.pmod(F.xxhash64("c"), salts).cast("int").alias("salt"), "c")
+    centres = salted.select("pivot", "salt").distinct()
     columns = ["pivot", "salt", "side", "c", "n", "sig", "shingles"]
     members = salted.join(sets, "c").withColumn("side", F.lit(1)).select(*columns)
     heads = centres.join(sets.withColumnRenamed("c", "pivot"), "pivot").select(
@@ -328,7 +328,7 @@ def _components_of_sets(docs: DataFrame, id_col: str, text_col: str, threshold:
     meeting = stage(members.select("c").distinct(), "meeting")
     sets = stage(_with_sets(source.join(meeting, F.col("id") == F.col("c")).select("id", "text")), "sets")
 
-    pairs = stage(members.where("c != pivot").select("c", "pivot").distinct(), "pairs")
+    pairs = stage(members.where("c != pivot").groupBy("c", "pivot").agg(F.max("size").alias("size")), "pairs")
     links = stage(_centre_links(pairs, sets, threshold).unionByName(_texts_of_one_id(filled, classes)), "links")
     found = components(links)
 
@@ -366,13 +366,15 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the join. Of rows that repeat an id one is kept: the one of least text among those with words,
     if there are any. Rows without an id stay.
     """
-    found = stage(near_duplicates(docs, id_col, text_col, threshold), "components")
-    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    gone = stage(found.where("not kept").select(key.alias("_gone")).distinct(), "gone")
-    again = stage(found.where(key.isNotNull()).groupBy(key.alias("_again")).count().where("count > 1").select("_again"), "again")
-    kept = docs.join(gone, key == F.col("_gone"), "left_anti")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows, names = by_position(docs)
+    id_name, text = name_of(names, id_col), F.col(name_of(names, text_col))
+    found = stage(near_duplicates(docs, id_col, text_col, threshold).select(F.col(f"`{id_col}`").alias("id"), "kept"), "components")
+    gone = stage(found.where("not kept").select("id").distinct(), "gone")
+    again = stage(found.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "again")
+    same = lambda ids: F.col(id_name) == ids["id"]
+    kept = rows.join(gone, same(gone), "left_anti")
+    columns = [F.col(n) for n in names]
     order = F.struct(~F.coalesce(text.rlike(_WORD.pattern), F.lit(False)), text.isNull(), text, F.xxhash64(*columns))
-    once = kept.join(again, key == F.col("_again"), "left_semi").groupBy(key.alias("_id")).agg(
-        F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")
-    return kept.join(again, key == F.col("_again"), "left_anti").unionByName(once)
+    once = kept.join(again, same(again), "left_semi").groupBy(id_name).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+    single = kept.join(again, same(again), "left_anti").unionByName(once)
+    return single.select(*[F.col(n).alias(c) for n, c in names.items()])

@@ -27,6 +27,15 @@ def awkward(spark):
                                        "n_words bigint, kept string")
 
 
+CLASHES = "_id _u _place _times _cdf _clean _hit _gone _again _root _row _text c id row word key sig n side pivot salt size base spans candidates".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(awkward):
+    """The same documents with a column of every name that an operator might use itself."""
+    return awkward.selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(CLASHES)])
+
+
 @pytest.fixture(scope="session")
 def no_documents(spark, awkward):
     return spark.createDataFrame([], awkward.schema)

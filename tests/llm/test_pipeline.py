@@ -15,7 +15,6 @@ import corpus_pipeline  # noqa: E402
 from test_bpe import REFERENCE  # noqa: E402
 from test_poisson_mix import draw  # noqa: E402
 from test_randomness import base_spans  # noqa: E402
-from test_superminhash import brute  # noqa: E402
 
 from fenestra.llm import quality_rules as q, superminhash  # noqa: E402
 
@@ -37,11 +36,34 @@ def masked(text):
     return out + text[at:] if spans else text
 
 
+def roots_at(docs, percent):
+    """Least id of every component of (id, text), by comparing all pairs that share a five-word shingle."""
+    sets, holders = {}, defaultdict(set)
+    for d, text in docs:
+        words = text.lower().split()
+        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        for g in sets[d]:
+            holders[g].add(d)
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, own in sets.items():
+        for e in set().union(*(holders[g] for g in own)):
+            if e < d and 100 * len(own & sets[e]) >= percent * len(own | sets[e]):
+                a, b = find(d), find(e)
+                root[max(a, b)] = min(a, b)
+    return {d: find(d) for d in sets}
+
+
 def test_every_stage_by_brute_force(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     good = {d: r for d, r in docs.items() if is_good(r.text)}
-    parts = brute([(d, r.text) for d, r in good.items()])
-    single = {d: r for d, r in good.items() if parts[d][1] == d}
+    roots = roots_at([(d, r.text) for d, r in good.items()], 80)
+    single = {d: r for d, r in good.items() if roots[d] == d}
     assert 0 < len(single) < len(good) < len(docs)
     clean = {d: (r.source, masked(r.text)) for d, r in single.items()}
     volume = defaultdict(int)
@@ -70,6 +92,19 @@ def test_stages_keep_the_columns_of_documents(spark, sf, awkward, no_documents):
     assert docs.count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark, sf, awkward, clashing):
+    extra = [c for c in clashing.columns if c not in awkward.columns]
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        rows = step(spark, clashing, sf)
+        assert rows.columns == clashing.columns
+        assert sorted(map(str, rows.select(plain).collect())) == sorted(map(str, step(spark, awkward.select(plain), sf).collect()))
+        for r in rows.collect():
+            assert [r[c] for c in extra] == list(range(len(extra)))
+    tokens = corpus_pipeline.STAGES[-1][1](spark, clashing, sf)
+    assert tokens.count() == clashing.count()
+
+
 def test_the_rest_works_without_these_operators(tmp_path):
     root = os.path.join(os.path.dirname(os.path.abspath(__file__)), "..", "..")
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
@@ -79,38 +114,10 @@ def test_the_rest_works_without_these_operators(tmp_path):
     assert done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 70
 
 
-def roots_at(docs, percent):
-    """Least id of every component of (id, text), by comparing all pairs that share a five-word shingle."""
-    sets, holders = {}, defaultdict(set)
-    for d, text in docs:
-        words = text.lower().split()
-        sets[d] = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-        for g in sets[d]:
-            holders[g].add(d)
-    root = {d: d for d in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for d, own in sets.items():
-        for e in set().union(*(holders[g] for g in own)):
-            if e < d and 100 * len(own & sets[e]) >= percent * len(own | sets[e]):
-                a, b = find(d), find(e)
-                root[max(a, b)] = min(a, b)
-    return {d: find(d) for d in sets}
-
-
 def single_at(docs, percent):
     return {d for d, root in roots_at(docs, percent).items() if d == root}
 
 
-def test_every_stage_with_links_at_80_per_cent(spark, sf, monkeypatch):
-    monkeypatch.setitem(globals(), "brute", lambda docs: {d: (None, root) for d, root in roots_at(docs, 80).items()})
-    test_every_stage_by_brute_force(spark, sf)
-
-
 def test_near_dedup_stage_links_at_80_per_cent(spark, sf, monkeypatch):
     monkeypatch.setattr(superminhash, "BLOCK", 8)
     docs = []
