@@ -115,13 +115,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans of each conversation of an event log."""
-    dealt = events.select(*EVENT).repartition("conv_id")
-    return fold_sorted(dealt.sortWithinPartitions("conv_id", "seq", "msg", "kind", "role", "text"))
+    """conv_id, formatted, loss_spans of each conversation of an event log.
 
-
-def fold_sorted(events: DataFrame) -> DataFrame:
-    """``fold`` for events whose conversations lie in one partition each, in the order of application."""
+    The window brings a conversation's events together, unless they already are, and puts them in order.
+    """
+    order = Window.partitionBy("conv_id").orderBy("seq", "msg", "kind", "role", "text")
+    events = events.select(*EVENT).withColumn("place", F.row_number().over(order))
     spans = "array<struct<start:bigint,end:bigint>>"
     fields = StructType.fromDDL(f"formatted string, loss_spans {spans}").fields
     schema = StructType([StructField("conv_id", events.schema["conv_id"].dataType), *fields])
@@ -139,7 +138,7 @@ def fold_sorted(events: DataFrame) -> DataFrame:
 
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
-            for c, *event in zip(*[column.to_pylist() for column in batch.columns]):
+            for c, *event in zip(*[column.to_pylist() for column in batch.columns[:len(EVENT)]]):
                 if c != conv:
                     if conv is not none:
                         done.append((conv, state))
@@ -149,23 +148,37 @@ def fold_sorted(events: DataFrame) -> DataFrame:
         if conv is not none:
             yield out([(conv, state)])
 
-    return events.select(*EVENT).mapInArrow(task, schema)
+    return events.mapInArrow(task, schema)
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """Rows of turns (conv_id, turn, role, text) as streamed events: two deltas for each turn.
+    """Rows of turns (conv_id, turn, role, text) as the log of a chat service that ends in these turns.
 
-    Turns of equal number follow each other by role and text; equal rows stay two turns. The
-    result is partitioned by conversation and in order, for ``fold_sorted``.
+    Every turn is streamed in two deltas. By its number, a turn's first delta was wrong and is edited, or a first answer
+    (with a further message after it) was abandoned and is regenerated, or the second delta is delivered
+    twice, or a message is sent in between and deleted again. Turns of equal number follow each other by role and
+    text; equal rows stay two turns. Events of a turn come in reverse order.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    text = F.coalesce("text", F.lit(""))
-    half = F.floor(F.length(text) / 2).cast("int")
-    parts = F.posexplode(F.array(F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))))
-    numbered = turns.select("conv_id", "turn", "role", "text").withColumn("msg", F.row_number().over(order).cast("bigint"))
-    deltas = numbered.select("conv_id", "msg", "role", parts.alias("k", "text"))
-    return deltas.select("conv_id", (F.col("msg") * 2 + F.col("k")).alias("seq"), "msg", F.lit("delta").alias("kind"),
-                         "role", "text").sortWithinPartitions("conv_id", "seq")
+    numbered = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "msg", F.row_number().over(order).cast("bigint"))
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda k, kind, text, msg=F.col("msg"): F.struct(
+        (F.col("msg") * 8 + k).alias("seq"), msg.alias("msg"), F.lit(kind).alias("kind"), "role", text.alias("text"))
+    late, aside = -F.col("msg") * 2, -F.col("msg") * 2 - 1  # ids of messages that do not last
+    plain = [event(5, "delta", left), event(6, "delta", right)]
+    stories = [
+        [event(1, "delta", F.lit("<|draft|> ")), event(2, "edit", left), event(6, "delta", right)],
+        [event(1, "delta", F.lit("abandoned")), event(2, "delta", right, late), event(3, "regenerate", F.lit("")), *plain],
+        [*plain, event(6, "delta", right)],
+        [event(1, "delta", F.lit("aside"), aside), event(2, "delete", F.lit(""), aside), *plain],
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "msg"), F.lit(len(stories)))
+    log = F.array(*plain)
+    for k, story in enumerate(stories):
+        log = F.when(kind == k, F.reverse(F.array(*story))).otherwise(log)
+    return numbered.select("conv_id", F.inline(log))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

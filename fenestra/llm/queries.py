@@ -66,13 +66,13 @@ def op10_label_shards(spark, sf):
 
 @query
 def op3_chat_events(spark, sf):
-    """All conversations folded from streamed deltas, formatted, and read back."""
+    """All conversations folded from a log of deltas, edits, regenerations and repeats, formatted, and read back."""
     turns = table(spark, sf, "conversations")
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
                                   "conv_id bigint, turn bigint, role string, text string")
     events = chat_events.events_of_turns(turns.select("conv_id", "turn", "role", "text").unionByName(probe))
-    return chat_events.read_back(chat_events.fold_sorted(events))
+    return chat_events.read_back(chat_events.fold(events))
 
 
 @query

@@ -76,5 +76,14 @@ def test_awkward_turns(spark):
     turns = [(1, 1, "user", "a"), (1, 1, "user", "a"), (1, 2, "assistant", None), (1, None, None, "first"), (2, 0, "assistant", "é" * 200_000),
              (None, 3, "user", "x"), (2, 1, "user", "")]
     table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
-    rows = c.read_back(c.fold_sorted(c.events_of_turns(table))).collect()
+    rows = c.read_back(c.fold(c.events_of_turns(table))).collect()
     check(rows, turns)
+
+
+def test_the_log_of_turns_has_every_kind_of_event(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    log = c.events_of_turns(turns)
+    rows = log.collect()
+    assert {r.kind for r in rows} == {"delta", "edit", "regenerate", "delete"}
+    assert len(set(rows)) < len(rows) and [r.seq for r in rows] != sorted(r.seq for r in rows)
+    check(c.read_back(c.fold(log.repartition(7))).collect(), [tuple(r) for r in turns.collect()])
