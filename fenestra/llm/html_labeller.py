@@ -42,12 +42,15 @@ PAGES_AT_ONCE, BLOCKS_AT_ONCE = 64, 8_192
 #: Words whose hash a task remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
 
-# Fixed values of HTML: elements without an end tag, elements that stand in a line of text, elements whose text is no text,
-# and elements that end when one of the same kind begins.
+# Fixed values of HTML: elements without an end tag, elements that stand in a line of text (formulas among them), elements whose
+# text is no text, and elements that end when one of the same kind begins.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
-HIDDEN_TEXT = frozenset("script style template noscript title textarea svg math iframe object head".split())
+                   "small span strike strong sub sup time tt u var wbr math maction mfrac mi mn mo mover mroot mrow ms mspace msqrt "
+                 "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+HIDDEN_TEXT = frozenset("script style template noscript title textarea svg iframe object head".split())
+#: Elements that may stand in a head; any other one, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 RAW_TEXT = frozenset("script style textarea title".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 #: Elements that name a part of the page by themselves; others do by a class, id or role.
@@ -86,6 +89,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
     def push_text(raw: str) -> None:
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and raw.strip():
+            pop(len(stack) - 1)
         if raw and not hidden:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -120,6 +125,8 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     pop(i)
                     break
             continue
+        if hidden and stack[-1][0] == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
         if tag == "body":
             for i, (name, _) in enumerate(stack):
                 if name == "head":

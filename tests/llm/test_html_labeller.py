@@ -65,6 +65,14 @@ def test_blocks_of_broken_markup():
     assert found[0][0][:4] == ("body", "div", ".a", ".b") and found[3][2] == 4
 
 
+def test_an_open_head_ends():
+    texts = lambda page: [b[1] for b in h.blocks(page)]
+    assert texts("<html><head><title>no</title><meta x><div><p>one</p><p>two</div>") == ["one", "two"]
+    assert texts("<head><title>no</title><script>x</script> text <b>more</b><p>next") == ["text more", "next"]
+    assert texts("<head><noscript><p>no</p></noscript><template><p>no</p></template></head><p>yes") == ["yes"]
+    assert texts("<p>sum <math><mi>a</mi><mo>+</mo><mn>1</mn></math> is") == ["sum a+1 is"]
+
+
 def test_awkward_pages(spark):
     long = "<article>" + "<p>" + "many words here. " * 40_000 + "</p></article>"
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "just text, no tags", None), (4, "u", long, "x"), (4, "u", long, "x"),
