@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 from typing import Any
 
@@ -28,8 +29,11 @@ from fenestra.llm.common import ship, slices, with_fields
 
 ship(__name__)
 
-#: Pre-tokens a worker process remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+#: Size in bytes, about, of the pre-tokens that one generation of a worker's memory holds, and of what an entry takes besides.
+REMEMBERED = 48 << 20
+_OVERHEAD = 200
+#: Characters that are split into pre-tokens at once.
+SPLIT_AT_ONCE = 1 << 20
 _MIX = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -89,33 +93,37 @@ def resolve(tokens: list[bytes], vocabulary: dict[str, Any]) -> np.ndarray:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always the lowest rank first, the leftmost of equals."""
+    """Ids of one pre-token: always the lowest rank first, the leftmost of equals.
+
+    A candidate is one number made of rank, start and end, and counts if two neighbouring spans still cover just these bytes.
+    """
     n = len(piece)
-    after = list(range(1, n + 1))  # start of the next span; n at the end
+    after = list(range(1, n + 1))  # start of the next span; n at the end, 0 inside a span
     before = list(range(-1, n))
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(piece[i:i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 1, i + 2))
+    bits = n.bit_length()
+    low = (1 << bits) - 1
+    rank_of = ranks.get
+    heap = [rank << 2 * bits | i << bits | i + 2 for i in range(n - 1) if (rank := rank_of(piece[i:i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, left, right, end = heapq.heappop(heap)
-        if after[left] != right or right == n or after[right] != end:  # one of the spans has changed
+        candidate = heapq.heappop(heap)
+        left, end = candidate >> bits & low, candidate & low
+        right = after[left]
+        if not 0 < right < end or after[right] != end:  # one of the spans has changed
             continue
         after[left] = end
-        after[right] = -1
+        after[right] = 0
         if end < n:
             before[end] = left
             stop = after[end]
-            rank = ranks.get(piece[left:stop])
+            rank = rank_of(piece[left:stop])
             if rank is not None:
-                heapq.heappush(heap, (rank, left, end, stop))
+                heapq.heappush(heap, rank << 2 * bits | left << bits | stop)
         start = before[left]
         if start >= 0:
-            rank = ranks.get(piece[start:end])
+            rank = rank_of(piece[start:end])
             if rank is not None:
-                heapq.heappush(heap, (rank, start, left, end))
+                heapq.heappush(heap, rank << 2 * bits | start << bits | end)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i:after[i]]])
@@ -131,39 +139,65 @@ def broadcast_vocabulary(spark: SparkSession, path: str, pattern: str):
 
 
 class Encoder:
-    """Encodes the texts of a task; keeps its memory with the broadcast value for the next task."""
+    """Encodes the texts of a task; keeps its memory with the broadcast value for the next task.
+
+    The memory holds the ids of pre-tokens in two generations of bounded size: those used since the last change, and the
+    ones before, from which they come back when they are used again.
+    """
 
     def __init__(self, vocabulary: dict[str, Any]):
         self.vocabulary, self.tokens = vocabulary, vocabulary["tokens"]
         self.split = regex.compile(vocabulary["pattern"]).findall
         if "ranks" not in vocabulary:
-            vocabulary["ranks"] = {t: i for i, t in enumerate(self.tokens)}
-            vocabulary["memory"] = {}
+            vocabulary |= {"ranks": {t: i for i, t in enumerate(self.tokens)}, "young": {}, "old": {}, "used": 0}
         self.ranks = vocabulary["ranks"]
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Remember the ids, as little-endian bytes, of pre-tokens not seen yet."""
-        memory = self.vocabulary["memory"]
-        new = [p for p in pieces if p not in memory]
-        if len(memory) + len(new) > REMEMBERED:
-            memory = self.vocabulary["memory"] = {}
-            new = list(pieces)
+        """The memory, with the ids of all pieces as little-endian bytes: one look-up in the hash for all that are new."""
+        v = self.vocabulary
+        young, old = v["young"], v["old"]
+        missing = pieces - young.keys()
+        new = []
+        for piece in missing:
+            known = old.get(piece)
+            if known is None:
+                new.append(piece)
+            else:
+                young[piece] = known
         raw = [p.encode() for p in new]
-        whole = resolve(raw, self.vocabulary) if raw else ()
+        whole = resolve(raw, v).tolist() if raw else ()
         for piece, data, at in zip(new, raw, whole):
-            ids = [int(at)] if at >= 0 else merge(data, self.ranks)
-            memory[piece] = np.array(ids, "<u4").tobytes()
-        return memory
+            if at >= 0:
+                young[piece] = at.to_bytes(4, "little")
+            else:
+                ids = merge(data, self.ranks)
+                young[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        v["used"] += sum(map(len, missing)) + _OVERHEAD * len(missing)
+        return young
+
+    def forget(self) -> None:
+        """Start a new generation when the young one is full."""
+        v = self.vocabulary
+        if v["used"] > REMEMBERED:
+            v["old"] = v["young"] if v["used"] < 2 * REMEMBERED else {}
+            v["young"], v["used"] = {}, 0
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            pieces = self.split(text or "")
-            memory = self.learn(set(pieces))
-            yield b"".join(map(memory.__getitem__, pieces))
+        """The ids of each text as little-endian unsigned 32-bit integers; texts are split some at a time."""
+        at = 0
+        while at < len(texts):
+            held, size = [], 0
+            while at < len(texts) and (not held or size < SPLIT_AT_ONCE):
+                held.append(self.split(texts[at] or ""))
+                size += len(texts[at] or "")
+                at += 1
+            memory = self.learn(set().union(*held))
+            for pieces in held:
+                yield b"".join(map(memory.__getitem__, pieces))
+            self.forget()
 
     def text(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
 def encode(docs: DataFrame, keep: list[str], path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -37,10 +37,19 @@ def test_long_and_odd_texts(text):
     assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
-def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    text = "several different words that do not fit"
-    assert ids(text) == REFERENCE.encode_ordinary(text)
+@pytest.mark.parametrize("size", [1, 700, 2_000])
+def test_memory_has_two_generations(monkeypatch, size):
+    monkeypatch.setattr(bpe, "REMEMBERED", size)
+    monkeypatch.setattr(bpe, "SPLIT_AT_ONCE", 20)
+    vocabulary = dict(VOCABULARY)
+    for k in ("ranks", "young", "old", "used"):
+        vocabulary.pop(k, None)
+    texts = ["several different words that do not fit", "words that do", None, "unfitting differentlyish wordings", "x" * 5_000] * 4
+    encoder = bpe.Encoder(vocabulary)
+    for text, found in zip(texts, encoder.ids(texts)):
+        assert np.frombuffer(found, "<u4").tolist() == REFERENCE.encode_ordinary(text or "")
+        assert encoder.text(found) == (text or "").encode()
+    assert len(vocabulary["young"]) + len(vocabulary["old"]) < 30
 
 
 def test_tables(awkward, no_documents):
