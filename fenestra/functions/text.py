@@ -123,20 +123,22 @@ def provider_model(spec: Column, default: Column | None = None) -> Column:
 
 def canonical_key(c: Column) -> Column:
     """Column heading without dots, blanks and ``(SF)``, upper case."""
-    return F.upper(F.replace(F.regexp_replace(c, r"[. ]", ""), F.lit("(SF)"), F.lit("")))
+    return F.upper(F.replace(F.translate(c, ". ", ""), F.lit("(SF)"), F.lit("")))
 
 
 def canonical_cells(cells: Column) -> Column:
     """Map with canonical headings; of headings that fold together the exact one stays, else the last."""
     folded = F.transform(F.map_entries(cells), lambda e: F.struct(
-        canonical_key(e["key"]).alias("key"), e["value"].alias("value"), (canonical_key(e["key"]) == e["key"]).alias("exact")))
+        canonical_key(e["key"]).alias("key"), e["value"].alias("value"), e["key"].alias("written")))
+    exact = lambda e: e["key"] == e["written"]
     # exact headings go to the end, where they are the last of their kind
-    ordered = F.concat(F.filter(folded, lambda e: ~e["exact"]), F.filter(folded, lambda e: e["exact"]))
-    entries = F.transform(ordered, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-        lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    ordered = lambda f: F.concat(F.filter(f, lambda e: ~exact(e)), F.filter(f, exact))
+    last = lambda o: F.filter(o, lambda e, i: ~F.exists(
+        F.slice(o, i + 2, F.greatest(F.size(o) - i - 1, F.lit(0))), lambda later: later["key"] == e["key"]))
+    # most rows have no headings that fold together
+    single = lambda o: F.size(F.array_distinct(F.transform(o, lambda e: e["key"]))) == F.size(o)
+    kept = bind(folded, lambda f: bind(ordered(f), lambda o: F.when(single(o), o).otherwise(last(o))))
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
 
 
 def mark_key(cells: Column) -> Column:

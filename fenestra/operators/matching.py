@@ -109,8 +109,7 @@ def _edges(pred: DataFrame, true: DataFrame, tau_in: float, bucket: float) -> Da
 
 def _degrees(edges: DataFrame) -> DataFrame:
     for side in ("p", "t"):
-        degree = edges.groupBy("block", side).agg(F.count(F.lit(1)).alias(f"{side}_deg"))
-        edges = edges.join(degree, ["block", side])
+        edges = edges.withColumn(f"{side}_deg", F.count(F.lit(1)).over(Window.partitionBy("block", side)))
     return edges
 
 
@@ -387,11 +386,11 @@ def _solve_distributed(edges: DataFrame, tau_in: float, bucket: float, most: int
 def assign_nodes(edges: DataFrame, tau_in: float = DEFAULT_TAU_IN, bucket: float = DEFAULT_BUCKET,
                  max_local_edges: int = MAX_LOCAL_EDGES, max_square_offers: int = MAX_SQUARE_OFFERS) -> DataFrame:
     """Optimal flow on node edges: block, p, t, d (in buckets), flow."""
-    edges = stage(_degrees(stage(edges.withColumn("tie", tie_number()), "edges")), "edges")
+    edges = stage(_degrees(edges), "edges")
     alone = (F.col("p_deg") == 1) & (F.col("t_deg") == 1)
     settled = edges.where(alone).select(
         *_EDGE, F.least("supply", "demand").cast("bigint").alias("flow"))
-    rest = stage(_islands(edges.where(~alone), tau_in, bucket), "components")
+    rest = stage(_islands(edges.where(~alone).withColumn("tie", tie_number()), tau_in, bucket), "components")
     sizes = rest.groupBy("comp").agg(F.count(F.lit(1)).alias("n_edges"))
     if sizes.where(F.col("n_edges") > max_local_edges).isEmpty():
         return settled.unionByName(_solve_local(rest))

@@ -7,6 +7,8 @@ said in plain SQL (assignments, order-dependent merging) are absent.
 
 from __future__ import annotations
 
+from fenestra.functions.geometry import TILE_PX
+
 # one row per order line as a unit; w, h first panel, composite units also have a 36 in door
 UNITS = """
 u AS (
@@ -497,6 +499,19 @@ SELECT supplier, spec_key, unit_id, coalesce(greatest(q0, q1, q2), q3)::BIGINT A
     sql["table_units_strict"] = q(CELLS) + table_columns + """
   CASE WHEN dc > 0.05 THEN TRUE WHEN dc <= 0.02 THEN FALSE END AS egress, confidence FROM cl"""
     sql["table_units_lenient"] = q(CELLS) + table_columns + " dc > 0.02 AS egress, confidence FROM cl"
+    sql["table_units_split"] = q(CELLS) + table_columns + """
+  CASE WHEN dc > 0.05 THEN TRUE WHEN dc <= 0.02 THEN FALSE END AS egress, confidence FROM cl WHERE row_no % 4 <> 0 AND row_no % 3 <> 0"""
+    sql["table_rejects"] = q(CELLS) + """
+SELECT doc_id, row_no, 'unreadable ' || concat_ws(', ', CASE WHEN row_no % 4 = 0 THEN 'width' END, CASE WHEN row_no % 3 = 0 THEN 'height' END) AS reject,
+  7::BIGINT AS n_cells FROM cl WHERE row_no % 4 = 0 OR row_no % 3 = 0"""
+    sql["consensus_evidence"] = q(KEYED) + f""",
+s AS (SELECT *, line % 4 AS r, {key()} AS spec_key FROM k),
+g AS (
+  SELECT supplier, spec_key, string_agg(DISTINCT mark, '|' ORDER BY mark) FILTER (WHERE partkey % 3 = 0) AS marks, min((r, project, line, partkey)) AS seen,
+    max(qty) FILTER (r = 0) AS q0, max(qty) FILTER (r = 1) AS q1, max(qty) FILTER (r = 2) AS q2, max(qty) FILTER (r = 3) AS q3,
+    count(*) AS n_evidence, count(DISTINCT r) AS n_regions, max(line)::BIGINT AS last_page FROM s GROUP BY 1, 2)
+SELECT supplier, spec_key, coalesce(marks, 'F' || row_number() OVER (PARTITION BY supplier ORDER BY seen, spec_key)) AS unit_id,
+  coalesce(greatest(q0, q1, q2), q3)::BIGINT AS qty, n_evidence, n_regions, last_page FROM g"""
     sql["schedule_row_units"] = q(SCHEDULE) + """
 SELECT project, 'm' || k AS unit_id, CASE type WHEN 'Door' THEN 'door' ELSE 'window' END AS kind, qty,
   w AS width_in, h AS height_in FROM rows_a WHERE w IS NOT NULL"""
@@ -753,6 +768,31 @@ QUALIFY row_number() OVER (PARTITION BY name, size ORDER BY ts, event_id) = 1"""
     sql["stream_merge_latest"] = """
 SELECT user_id, event_type, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"""
+    sql["strategy_tiles"] = q(PAGES) + f""",
+t AS (SELECT doc_id, page_no, wpx, unnest([1, 2])::BIGINT AS region_no FROM pg WHERE st <> 'O'),
+x AS (
+  SELECT *, CASE region_no WHEN 1 THEN 0 ELSE least({TILE_PX}, greatest(0, wpx - {TILE_PX})) END AS x,
+    CASE region_no WHEN 1 THEN 30 + page_no % 20 ELSE 50 + page_no % 10 END AS width FROM t)
+SELECT doc_id, page_no, region_no, 'W' || width AS unit_id, 1 + page_no % 9 AS qty, width::DOUBLE AS width_in, page_no AS page, x + 1::DOUBLE AS x,
+  2::DOUBLE AS y, 1::BIGINT AS n_merged FROM x"""
+    part = lambda letter, name, n="count(*)": f"SELECT '{letter}' AS letter, {n} AS n_units, CAST(sum(qty) AS BIGINT) AS qty FROM ({sql[name]})"
+    sql["strategy_registry"] = " UNION ALL ".join([
+        "SELECT 'A' AS letter, count(*) AS n_units, CAST(sum(1 + o_orderkey % 9) AS BIGINT) AS qty FROM orders",
+        part("B", "strategy_region_crops"), part("C", "strategy_tiles"), part("D", "strategy_coarse_to_fine"),
+        part("E", "strategy_tables_first", "CAST(sum(n_units) AS BIGINT)"), part("F", "strategy_agents")])
+    sql["truth_files"] = """
+SELECT 'p' || (p_partkey // 50) AS project, gt_level, count(*) AS n, CAST(sum(1 + p_partkey % 60) AS BIGINT) AS qty,
+  CAST(sum((1 + p_partkey % 60) * CASE p_type WHEN 'LARGE' THEN 2 ELSE 1 END) AS BIGINT) AS true_frames, sum(20 + p_size)::DOUBLE AS width_sum,
+  1.0::DOUBLE AS confidence
+FROM part, (VALUES ('extraction'), ('offer')) l(gt_level) WHERE gt_level = 'extraction' OR p_type <> 'PROMO' GROUP BY 1, 2"""
+    sql["transcript_files"] = """
+WITH c AS (
+  SELECT 'a' AS source, unnest(['#', 'WINDOW SIZE', 'QTY', 'DAY OPEN (SF)']) AS heading,
+    unnest([' k' || o_orderkey, o_custkey::VARCHAR, o_orderstatus, o_orderpriority]) AS v FROM orders
+  UNION ALL SELECT 'b', unnest(['MARK', 'Window Size', 'QTY.', 'Day Open']),
+    unnest(['K' || o_orderkey, o_custkey::VARCHAR, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END, o_orderpriority])
+  FROM orders WHERE o_totalprice >= 50000)
+SELECT source, heading, count(*) AS n, CAST(sum(length(v)) AS BIGINT) AS chars FROM c GROUP BY 1, 2"""
     sql["stream_indexed_sink"] = """
 SELECT user_id, event_type, event_id, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3, ts, event_id) = 1"""

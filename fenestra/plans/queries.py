@@ -165,6 +165,24 @@ def tolerance_match_dense(spark, sf):
         F.sum("pred_qty").alias("pred_qty"), F.sum("true_qty").alias("true_qty"))
 
 
+def _lattice_units(keys, number):
+    """Windows of one project on a lattice of sizes, so that most of them belong to one component."""
+    k = F.col(number)
+    glass = F.when(k % 4 == 0, "tempered")
+    panels = si.panels_of(F.lit("window"), 30 + F.pmod(k * 7, F.lit(31)) / 2, 60 + F.pmod(k * 11, F.lit(29)) / 2, glass)
+    return keys.select(F.lit("all").alias("project"), F.lit("window").alias("kind"), panels.alias("panels"), (1 + k % 5).cast("int").alias("qty"))
+
+
+@query
+def tolerance_match_large(spark, sf):
+    """Parts of one remainder against those of another, all in one project: a component of thousands of size pairs."""
+    part = si.table(spark, sf, "part")
+    side = lambda r: _lattice_units(part.where(F.col("p_partkey") % 3 == r), "p_partkey")
+    out = matching.match_units(side(0), side(1), ["project"])
+    return out.select("project", spec_groups.key_text(F.col("kind"), F.col("pred_panels")).alias("pred_key"),
+                      spec_groups.key_text(F.col("kind"), F.col("true_panels")).alias("true_key"), "pred_qty", "true_qty", "distance", "status")
+
+
 def _metric_columns(df, scope):
     rounded = ["group_precision", "group_recall", "group_f1", "qty_mae", "unit_count_error", "frame_count_error",
                "glass_acc", "ufactor_acc", "egress_acc", "hallucination_rate", "miss_rate"]
@@ -415,6 +433,21 @@ def consensus(spark, sf):
                       _flags("flags").alias("flags"), _first("width_in").alias("width_in"))
 
 
+@query
+def consensus_evidence(spark, sf):
+    """The same with evidence on every unit and marks on every third part only: other groups are named by their position."""
+    names = F.array(*[F.lit(s) for s in cons.SOURCES])
+    box = F.struct(*[(F.col("line") * k).cast("double").alias(n) for k, n in enumerate("xywh", 1)])
+    units = si.line_units(spark, sf).withColumn("source", F.get(names, (F.col("line") % 4).cast("int"))).withColumns({
+        "source_marks": F.when(F.col("partkey") % 3 == 0, F.col("source_marks")).otherwise(F.array().cast("array<string>")),
+        "evidence": F.array(F.struct(F.col("line").cast("int").alias("page"), F.col("source").alias("region"), box.alias("bbox")))})
+    groups = cons.with_unit_ids(cons.consensus(units, ["supplier"], ["project", "line", "partkey"]), ["supplier"])
+    text = lambda: spec_groups.key_text(F.col("kind"), F.col("key_panels")).alias("spec_key")
+    shown = cons.consensus_evidence(units, ["supplier"]).select("supplier", text(), "region", "page").groupBy("supplier", "spec_key").agg(
+        F.count(F.lit(1)).alias("n_evidence"), F.count_distinct("region").alias("n_regions"), F.max("page").cast("bigint").alias("last_page"))
+    return groups.select("supplier", text(), "unit_id", F.col("qty").cast("bigint").alias("qty")).join(shown, ["supplier", "spec_key"])
+
+
 # -- schedules --------------------------------------------------------------------
 
 def _table_view(units):
@@ -434,6 +467,30 @@ def table_units_lenient(spark, sf):
     return _table_view(schedules.table_units(si.schedule_cells(spark, sf), "v2"))
 
 
+def _split_cells(spark, sf):
+    """Schedule tables with a width and a height column instead of a size; some cells say something else."""
+    cells = si.schedule_cells(spark, sf)
+    side = lambda i: F.element_at(F.split("text", " X "), i)
+    row, head = F.col("row_no"), F.col("row_no") == 0
+    width = F.when(head, "Width").when(row % 4 == 0, "see plan").otherwise(side(1))
+    height = F.when(head, "Height").when(row % 3 == 0, "").otherwise(side(-1))
+    sizes = cells.where("col_no = 0")
+    return cells.where("col_no > 0").unionByName(sizes.withColumn("text", width)).unionByName(
+        sizes.withColumns({"col_no": F.lit(6), "text": height}))
+
+
+@query
+def table_units_split(spark, sf):
+    """Units of tables with width and height columns."""
+    return _table_view(schedules.table_units(_split_cells(spark, sf), "v1"))
+
+
+@query
+def table_rejects(spark, sf):
+    """Rows of these tables that give no unit, with the reason."""
+    return schedules.table_rejects(_split_cells(spark, sf), "v1").select("doc_id", "row_no", "reject", F.size("cells").cast("bigint").alias("n_cells"))
+
+
 @query
 def schedule_row_units(spark, sf):
     return schedules.schedule_units(si.schedule_rows(spark, sf)).select(
@@ -808,6 +865,21 @@ def handwritten_reads(spark, sf):
                                                F.col("n_units").cast("bigint").alias("n_units"))
 
 
+@query
+def strategy_registry(spark, sf):
+    """All registered strategies over the same drawings: number of units and total quantity."""
+    drawing = _drawing(spark, sf)
+    whole = drawing["responses"].where("region_no = 1").withColumn("region_no", F.lit(0))
+    tables = {**drawing, "responses": drawing["responses"].unionByName(whole), "coarse": si.coarse_responses(drawing["pages"]),
+              "table_cells": si.schedule_cells(spark, sf)}
+    rows = None
+    for letter, strategy in strategies.STRATEGIES.items():
+        own = {**tables, "responses": si.crop_responses(drawing["pages"], sources=True)} if letter == "F" else tables
+        total = strategy(own).agg(F.lit(letter).alias("letter"), F.count(F.lit(1)).alias("n_units"), F.sum(F.col("qty").cast("bigint")).alias("qty"))
+        rows = total if rows is None else rows.unionByName(total)
+    return rows
+
+
 # -- review, inventory, files and streams ---------------------------------------------------
 
 @query
@@ -848,6 +920,37 @@ def units_jsonl_round_trip(spark, sf):
         F.min("confidence").alias("confidence"))
 
 
+@query
+def truth_files(spark, sf):
+    """Truth of projects of fifty parts at two levels, written as one file per project and read back."""
+    path, read = staged_path(spark, "truth"), None
+    number = F.floor(F.col("unit_id").cast("bigint") / 50).cast("string")
+    units = si.part_units(spark, sf).select(F.concat(F.lit("p"), number).alias("project"), "unit_id", "kind", "panels", "qty")
+    for level, part in (("extraction", units), ("offer", units.where("kind != 'door'"))):
+        totals = F.struct(F.sum("qty").cast("int").alias("units"), F.sum(F.col("qty") * F.size("panels")).cast("int").alias("frames"))
+        files = part.groupBy("project").agg(totals.alias("totals"), F.collect_list(F.struct("unit_id", "kind", "panels", "qty")).alias("units"))
+        files.withColumn("level", F.lit(level)).write.option("maxRecordsPerFile", 1).json(f"{path}/{level}")
+        rows = us.read_truth(spark, f"{path}/{level}", level)
+        read = rows if read is None else read.unionByName(rows)
+    return read.groupBy("project", "gt_level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("qty").cast("bigint")).alias("qty"), F.max("true_frames").alias("true_frames"),
+        F.sum(_first("width_in")).alias("width_sum"), F.min("confidence").alias("confidence"))
+
+
+@query
+def transcript_files(spark, sf):
+    """Two transcripts of schedules, one file per two hundred orders and reader, read back cell by cell."""
+    path, read = staged_path(spark, "transcripts"), None
+    for source in ("a", "b"):
+        rows = si.transcript(spark, sf, source)
+        files = rows.groupBy(F.floor(F.col("row_no") / 200).alias("file")).agg(F.collect_list("cells").alias("window_schedule"))
+        files.select("window_schedule").write.option("maxRecordsPerFile", 1).json(f"{path}/{source}")
+        back = us.read_transcript(spark, f"{path}/{source}", source)
+        read = back if read is None else read.unionByName(back)
+    return read.select("source", F.explode("cells").alias("heading", "text")).groupBy("source", "heading").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
 @query
 def csv_partial_merge(spark, sf):
     """Partial leaderboards with different headers and common keys, merged: the later file wins."""

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fenestra.functions.text import safe_id
+from fenestra.session import stage
 
 _RECENCY = ["_mtime", "_path", "_line"]
 
@@ -25,37 +23,36 @@ def write_partials(rows: DataFrame, path: str) -> None:
         "part_variant", "part_model").csv(path)
 
 
-def read_leaderboards(spark: SparkSession, path: str, required: tuple[str, ...] = ("variant", "model")) -> DataFrame:
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path and names of every file's header line."""
+    first = spark.read.text(path, recursiveFileLookup=True).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("path"), F.col("value"), F.monotonically_increasing_id().alias("n"))
+    header = first.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    return header.select("path", F.transform(F.split("header", ","), lambda h: F.trim(h)).alias("names"))
+
+
+def read_leaderboards(spark: SparkSession, path: str, required: tuple[str, ...] = ("variant", "model"),
+                      multi_line: bool = True) -> DataFrame:
     """Rows of all files as text columns, plus ``_mtime``, ``_path`` and ``_line``.
 
-    Reading files with different headers in one go puts values under the wrong
-    names. The first line of each file is looked up, files with the same header
-    are read together, and the few results are united by name. Only one header
-    line per file reaches the driver. Quoted line breaks are kept.
+    Reading files with different headers in one go puts values under the wrong names. So all files are read once by position,
+    and a join by path gives every row the names of its own file. Only the distinct column names reach the
+    driver, however many files there are. ``multi_line`` keeps quoted line breaks, but reads each file in one task.
     """
-    first = spark.read.text(path, recursiveFileLookup=True).where(
-        F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value"),
-        F.monotonically_increasing_id().alias("n"))
-    headers = first.groupBy("path").agg(F.min_by("value", "n").alias("header"))
-    by_header: dict[str, list[str]] = defaultdict(list)
-    for row in headers.orderBy("path").toLocalIterator():
-        if set(required) <= {h.strip() for h in row.header.split(",")}:
-            by_header[row.header].append(row.path)
-    if not by_header:
+    headers = stage(read_headers(spark, path).where(F.size(F.array_intersect("names", F.array(*[F.lit(r) for r in required]))) == len(required)), "headers")
+    columns = [r[0] for r in headers.select(F.explode("names").alias("c")).distinct().orderBy("c").collect()]
+    if not columns:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in required)
                                      + ", _mtime timestamp, _path string, _line bigint")
-
-    def read(header: str, paths: list[str]) -> DataFrame:
-        columns = [h.strip() for h in header.split(",")]
-        schema = ", ".join(f"`{c}` string" for c in columns)
-        # a multi-line file is read by one task from start to end, so the id follows the lines
-        return spark.read.schema(schema).option("header", True).option("multiLine", True).csv(paths).select(
-            *columns, F.col("_metadata.file_modification_time").alias("_mtime"),
-            F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
-
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True),
-                  [read(h, p) for h, p in by_header.items()])
+    width = headers.agg(F.max(F.size("names"))).first()[0]
+    places = ", ".join(f"_c{i} string" for i in range(width))
+    # a multi-line file is read by one task from start to end, as is a split, so the id follows the lines
+    rows = spark.read.schema(places).option("header", True).option("multiLine", multi_line).option("recursiveFileLookup", True).csv(path).select(
+        F.array(*[f"_c{i}" for i in range(width)]).alias("_values"), F.col("_metadata.file_modification_time").alias("_mtime"),
+        F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_line"))
+    named = rows.join(headers, F.col("_path") == F.col("path")).withColumn(
+        "_cells", F.map_from_arrays("names", F.slice("_values", F.lit(1), F.size("names"))))
+    return named.select(*[F.try_element_at("_cells", F.lit(c)).alias(c) for c in columns], "_mtime", "_path", "_line")
 
 
 def merge_leaderboards(spark: SparkSession, path: str) -> DataFrame:
