@@ -161,3 +161,30 @@ def test_edges_come_from_an_equi_join(spark, tmp_path):
     groups = group_units(spark.read.parquet(str(tmp_path / "u")), ["run"])
     plan = candidate_edges(groups, groups, ["run"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_large_component_is_solved_alike(spark):
+    """Thousands of edges in one component: the auction, in one square and in several, against the solver inside a task."""
+    from fenestra.operators import matching
+    from fenestra.plans.queries import _lattice_units
+
+    rows = spark.range(1_800)
+    side = lambda r: _lattice_units(rows.where(F.col("id") % 3 == r), "id")
+    pred, true = (group_units(side(r), ["project"]) for r in (0, 1))
+    edges = candidate_edges(pred, true, ["project"])
+    assert edges.count() > matching.MAX_LOCAL_EDGES
+    flows = lambda **k: sorted(tuple(r) for r in assign_nodes(edges, **k).where("flow > 0").collect())
+    local = flows(max_local_edges=10 ** 9)
+    assert len(local) > 400 and flows() == local
+
+
+def test_squares_smaller_than_the_component(spark):
+    rng = random.Random(21)
+    rows = [("b", f"p{i}", f"t{j}", [4 * i], [4 * j], rng.randrange(1, 3), rng.randrange(1, 3), abs(i - j) % 3)
+            for i in range(0, 60) for j in range(i, min(60, i + 2)) if rng.random() < .9]
+    supply = {r[1]: r[5] for r in rows}
+    demand = {r[2]: r[6] for r in rows}
+    edges = spark.createDataFrame([(*r[:5], supply[r[1]], demand[r[2]], r[7]) for r in rows], "block string, p string, t string, "
+                                  "p_dims array<bigint>, t_dims array<bigint>, supply bigint, demand bigint, d bigint")
+    flows = lambda **k: sorted(tuple(r) for r in assign_nodes(edges, tau_in=4.0, **k).where("flow > 0").collect())
+    assert flows(max_local_edges=0, max_square_offers=120) == flows()
