@@ -5,7 +5,7 @@ from __future__ import annotations
 from fenestra.llm import bisector_clusters as clusters
 from fenestra.llm.lexical_masks import TOP
 from fenestra.llm.poisson_mix import SEED, TEMPERATURE
-from fenestra.llm.quality_rules import BASE, BIT, DEFAULT
+from fenestra.llm.quality_rules import BASE, BIT, DEFAULT, STRICT
 
 #: Words of a text: runs of anything but the space and the five control white spaces.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -19,7 +19,9 @@ def _op1() -> str:
       + CASE WHEN 2 * n_exclaim > n_words THEN {BIT['exclamations']} ELSE 0 END
       + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN {BIT['word_length']} ELSE 0 END
       + CASE WHEN 2 * n_dup_lines > n_lines THEN {BIT['repeated_lines']} ELSE 0 END)"""
-    keeps = lambda p: f"((fail_bits & {p.veto}) = 0 AND bit_count(fail_bits & {p.advisory}) <= {p.allowed})"
+    keeps = lambda p, bits="fail_bits": f"(({bits} & {p.veto}) = 0 AND bit_count({bits} & {p.advisory}) <= {p.allowed})"
+    decides = ", ".join(f"CASE WHEN NOT {keeps(DEFAULT)} AND {keeps(DEFAULT, f'(fail_bits & ~{b}::BIGINT)')} THEN '{n}' END"
+                        for n, b in BIT.items() if b & (DEFAULT.veto | DEFAULT.advisory))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
 lines AS (SELECT r, l FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d)
@@ -38,7 +40,8 @@ m AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(
 b AS (SELECT *, {bits}::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT {keeps(BASE)} AS base_failed, {keeps(BASE)} AND {keeps(DEFAULT)} AS kept,
-  n_lines, n_upper, n_exclaim, fail_bits, '{DEFAULT.version}' AS policy
+  n_lines, n_upper, n_exclaim, fail_bits, '{DEFAULT.version}' AS policy, {keeps(BASE)} AND {keeps(STRICT)} AS kept_strict,
+  concat_ws(',', {decides}) AS decided_by, count(*) OVER (PARTITION BY fail_bits) AS same_bits
 FROM b"""
 
 
@@ -72,15 +75,17 @@ def _op4() -> str:
     return f"""
 WITH p AS (SELECT page_id AS k, {key} AS url_key, '"' || substr(md5(html), 1, 16) || '"' AS etag, strlen(html) AS bytes,
   'day ' || (page_id % 24) AS modified FROM pages),
-full_responses AS (SELECT *, k * 60 AS seen FROM p WHERE k % 13 <> 5),
+full_responses AS (SELECT 2 * k AS rid, url_key, etag, bytes, modified, k * 60 AS seen FROM p WHERE k % 13 <> 5
+  UNION ALL SELECT -k - 1, url_key, '"old"', 7, modified, k * 60 - 100 FROM p WHERE k % 3 = 0
+  UNION ALL SELECT -k - 1, url_key, '"new"', 7, modified, k * 60 + 9010 FROM p WHERE k % 3 = 1),
 visits AS (SELECT k, url_key, k * 60 + 5000 AS seen, modified,
   CASE WHEN k % 5 = 0 THEN 'W/' || etag WHEN k % 11 = 1 THEN '"other"' WHEN k % 6 <> 1 THEN etag END AS etag FROM p),
-j AS (SELECT v.k, v.url_key, v.seen, v.etag, f.k AS fk, f.seen AS fat, f.bytes, f.etag AS fetag, f.modified AS fmodified,
-  CASE WHEN f.k IS NULL THEN 'orphan'
+j AS (SELECT v.k, v.url_key, v.seen, v.etag, f.rid, f.seen AS fat, f.bytes, f.etag AS fetag, f.modified AS fmodified,
+  CASE WHEN f.rid IS NULL THEN 'orphan'
     WHEN CASE WHEN v.etag IS NOT NULL THEN regexp_replace(v.etag, '^W/', '') = f.etag ELSE v.modified = f.modified END
     THEN 'resolved' ELSE 'mismatch' END AS status
   FROM visits v ASOF LEFT JOIN full_responses f ON v.url_key = f.url_key AND v.seen > f.seen)
-SELECT 2 * k + 1 AS record_id, url_key, seen AS date, status, CASE WHEN status = 'resolved' THEN 2 * fk END AS refers_to,
+SELECT 2 * k + 1 AS record_id, url_key, seen AS date, status, CASE WHEN status = 'resolved' THEN rid END AS refers_to,
   CASE WHEN status = 'resolved' THEN fat END AS refers_to_date,
   CASE WHEN status = 'resolved' THEN array_to_string(['cache-control: max-age=60', 'content-length: ' || bytes,
     'content-type: text/html', 'date: ' || seen, 'etag: ' || coalesce(etag, fetag), 'expires: in ' || (k % 7),

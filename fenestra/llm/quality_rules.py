@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fenestra.llm.common import ship, slices, with_fields
+from fenestra.session import stage
 
 ship(__name__)
 
@@ -63,6 +64,7 @@ class Policy:
 BASE = Policy("base", BIT["few_words"] | BIT["repeated_windows"])
 DEFAULT = Policy("2", BASE.veto | BIT["symbols"] | BIT["capitals"] | BIT["exclamations"],
                  BIT["word_length"] | BIT["repeated_lines"], 1)
+STRICT = Policy("3", DEFAULT.veto | DEFAULT.advisory)
 
 
 def repeated_words(words: list[str], size: int = WINDOW) -> int:
@@ -128,6 +130,20 @@ def verdicts(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
                         F.lit(policy.version).alias("policy"))
 
 
+def deciding_rules(policy: Policy = DEFAULT) -> Column:
+    """Rules without any one of which a rejected row would be kept, by name; from the failure bits alone."""
+    without = lambda bit: F.col("fail_bits").bitwiseAND(F.lit(~bit))
+    names = [F.when(~policy.keeps() & policy.keeps(without(b)), n) for n, b in BIT.items() if b & (policy.veto | policy.advisory)]
+    return F.array_join(F.array_compact(F.array(*names)), ",")
+
+
+def with_patterns(found: DataFrame) -> DataFrame:
+    """Add ``same_bits``: rows of the ledger with the same failure bits. The ledger is written, its texts are read once."""
+    kept = stage(found.drop("same_bits"), "ledger")
+    patterns = stage(kept.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("same_bits")), "patterns")  # at most two to the number of rules
+    return kept.join(patterns, "fail_bits")
+
+
 def ablations(found: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Per rule of the policy: rows it fails, rows only it rejects, rows kept without it.
 

@@ -26,11 +26,12 @@ def all_queries() -> dict[str, Query]:
 
 @query
 def op1_quality_ledger(spark, sf):
-    """Measurements, failure bits and verdict of every document."""
-    found = quality_rules.ledger(table(spark, sf, "documents"), ["doc_id"])
+    """Measurements, failure bits and verdicts of every document under two policies, with the rules that decide and how many share the bits."""
+    found = quality_rules.with_patterns(quality_rules.ledger(table(spark, sf, "documents"), ["doc_id"]))
     return quality_rules.verdicts(found).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_lines", "n_upper", "n_exclaim", "fail_bits", "policy")
+        "n_lines", "n_upper", "n_exclaim", "fail_bits", "policy", (quality_rules.BASE.keeps() & quality_rules.STRICT.keeps()).alias("kept_strict"),
+        quality_rules.deciding_rules().alias("decided_by"), "same_bits")
 
 
 @query
