@@ -119,19 +119,24 @@ def header_lines(headers: Column) -> Column:
 def records_of_pages(pages: DataFrame) -> DataFrame:
     """WARC records made from ``pages``: a response for each page, and a later revisit of its URL.
 
-    Some revisits carry a weak tag, a changed tag, or a date only; every 13th response is
-    an error page; URLs of revisits are written in another way.
+    Some URLs have a further response of other content, before the page's or after the revisit. Some revisits carry a weak
+    tag, a changed tag, or a date only; every 13th response is an error page; URLs of revisits are written in another way.
     """
     k = F.col("page_id")
     etag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
     changed = F.concat(F.lit("day "), (k % 24).cast("string"))
     base = pages.select(k, "url", etag.alias("etag"), F.octet_length("html").alias("bytes"), F.md5("html").alias("digest"))
-    response = base.select(
-        (2 * k).alias("record_id"), "url", (k * 60).alias("date"), F.lit("response").alias("kind"),
-        F.when(k % 13 == 5, 503).otherwise(200).alias("status"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.col("etag"), F.lit("Last-Modified"), changed,
-                     F.lit("Content-Length"), F.col("bytes").cast("string"), F.lit("Date"), (k * 60).cast("string"),
-                     F.lit("Cache-Control"), F.lit("no-cache")).alias("headers"), "digest")
+
+    def responses(pages: DataFrame, record_id: Column, date: Column, status: Column, etag: Column, size: Column, digest: Column) -> DataFrame:
+        sent = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag, F.lit("Last-Modified"), changed,
+                            F.lit("Content-Length"), size.cast("string"), F.lit("Date"), date.cast("string"), F.lit("Cache-Control"), F.lit("no-cache"))
+        return pages.select(record_id.alias("record_id"), "url", date.alias("date"), F.lit("response").alias("kind"),
+                            status.cast("int").alias("status"), sent.alias("headers"), digest.alias("digest"))
+
+    none = F.lit(None).cast("string")
+    response = responses(base, 2 * k, k * 60, F.when(k % 13 == 5, 503).otherwise(200), F.col("etag"), F.col("bytes"), F.col("digest"))
+    for remainder, moved, tag in ((0, -100, '"old"'), (1, 9010, '"new"')):
+        response = response.unionByName(responses(base.where(k % 3 == remainder), -k - 1, k * 60 + moved, F.lit(200), F.lit(tag), F.lit(7), none))
     written = F.regexp_replace(F.concat(F.col("url"), F.lit("#again")), "^http:", "HTTP:")
     tagged = F.when(k % 5 == 0, F.concat(F.lit("W/"), F.col("etag"))).when(k % 11 == 1, '"other"').when(
         k % 6 != 1, F.col("etag"))
