@@ -201,3 +201,15 @@ def test_every_strategy_runs_on_a_canned_answer(spark):
     assert [(a.n_sources, a.qty) for a in agents] == [(2, 10), (2, 10)]
     skipped = strategies.skipped_pages(pages).collect()
     assert [(r.doc_id, r.reason) for r in skipped] == [("s", "all_pages_raster")]
+
+
+def test_tables_as_long_as_the_drawings_are_not_broadcast(spark):
+    """Their few columns look small on disk; in the driver's memory they are not."""
+    pages = spark.createDataFrame([(1, 1, "wall", 20, 3000, 2000)], "doc_id bigint, page_no bigint, text string, n_drawings int, width_px int, height_px int")
+    regions = spark.createDataFrame([(1, 1, 100, 100, 900, 600)], "doc_id bigint, page_no bigint, x int, y int, w int, h int")
+    answers = spark.createDataFrame([(1, 1, 1, "plan", f"[{UNIT}]", None)], "doc_id bigint, page_no bigint, region_no int, source string, raw_text string, error string")
+    tables = {"pages": pages, "regions": regions, "responses": answers}
+    coarse = answers.withColumn("raw_text", F.lit('[{"bbox_pct":[0.1,0.1,0.5,0.5]}]'))
+    for units in (strategies.region_crops(tables), strategies.coarse_to_fine({**tables, "coarse": coarse})):
+        assert "Broadcast" not in units._jdf.queryExecution().executedPlan().toString()
+        assert [(r.unit_id, r.qty) for r in units.collect()] == [("W1", 10)]
