@@ -28,6 +28,12 @@ def test_wrappings(spark, text):
     assert tuple(row.evidence[0].bbox) == (40.0, 40.0, 460.0, 100.0) and len(row.evidence) == 1
 
 
+def test_items_are_read_as_a_whole(spark):
+    """A path to a field that is not there costs many times one that is; most fields of most items are not there."""
+    plan = parse(spark, f"[{UNIT}]")._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get" in plan and ", $." not in plan
+
+
 def test_unreadable_answers_and_rejects(spark):
     assert accepted(parse(spark, "nothing", "[1, 2", "", "[]", None)).count() == 0
     bad = rejected(parse(spark, '["x",{"panels":[]},{"panels":[{"width_in":"a","height_in":1}]},'
