@@ -8,8 +8,8 @@ goes to words never seen. So the table of emissions has a fixed size while the v
 1. Word counts: tasks count, one row per task and word is shuffled. The counts are written.
 2. Encoding: one pass writes every text as class numbers of two bytes. Counts of the most frequent words (``KNOWN`` words and
    ``KNOWN_BYTES`` bytes at most) are broadcast; the remaining words of a text are written beside it.
-3. Training: the model starts from a bounded sample (``SAMPLE`` texts, ``SAMPLE_TOKENS`` tokens of each), then each of ``ROUNDS`` rounds
-   of Baum-Welch goes over all training texts: tasks run forward-backward and add up expected counts, one row per task and class
+3. Training: the model starts from the counts of the corpus, a little different in every state. Each of ``ROUNDS`` rounds of
+   Baum-Welch goes over all training texts: tasks run forward-backward and add up expected counts, one row per task and class
    is shuffled, and the driver holds the table of classes and states.
 4. Scoring: the scaled forward recursion gives the exact likelihood of every class sequence. The remaining words meet their
    counts in a join by word, and are summed per text; as inside a class the state does not matter, that sum is simply added.
@@ -40,13 +40,11 @@ from fenestra.session import stage
 
 ship(__name__)
 
-STATES, ROUNDS = 8, 2
+STATES, ROUNDS = 8, 4
 #: Words with a class of their own at most, and hashed classes of the others; with the end token fewer than 65,536.
 OWN, HASHED = 16_383, 16_384
 #: Words, and bytes of words, whose counts are broadcast at most.
 KNOWN, KNOWN_BYTES = 1 << 18, 16 << 20
-#: Texts of the sample that the model starts from, tokens of each, and rounds on them.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_ROUNDS = 512, 2_000, 12
 #: Strength of the corpus-wide distribution in a state's emissions, relative to what the state emits, and of even steps in counts.
 PRIOR, PRIOR_STEPS = 0.2, 1.0
 ADDED = 0.1
@@ -315,16 +313,10 @@ def _round(training: DataFrame, model, size: int, states: int) -> Expected:
 
 
 def train(encoded: DataFrame, classes: Classes, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all texts of ``encoded`` that are not held out."""
+    """Baum-Welch over all texts of ``encoded`` that are not held out, from the first round on."""
     spark: SparkSession = encoded.sparkSession
     even, training = classes.even(), encoded.where(~F.col("held_out"))
     model = first_model(even, states)
-    some = training.orderBy(F.xxhash64("key"), "key").select(F.substring("ids", 1, 2 * SAMPLE_TOKENS).alias("ids")).limit(SAMPLE).collect()
-    sample = [np.frombuffer(r["ids"], "<u2") for r in some]
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        expected = Expected(classes.size, states)
-        expected.add(model, sample)
-        model = fitted(expected, even)
     for _ in range(rounds):
         model = fitted(_round(training, spark.sparkContext.broadcast(model), classes.size, states), even)
     return model

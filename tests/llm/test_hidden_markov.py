@@ -190,3 +190,19 @@ def test_nothing_to_learn_from(spark):
     rows = h.score(spark.createDataFrame([(held, "a b a"), (held, None)], "doc_id bigint, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(rows, key=lambda r: -r.n_tokens)] == [(4, 0, 0), (1, 0, 0)]
     assert all(abs(r.base_score) < 1e-9 and math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
+def test_every_round_of_training_takes_all_texts(spark):
+    """No text or token is left out of what the model starts from: one round is one round over the whole corpus."""
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % 97}" for j in range(2_500 if i == 3 else 20))) for i in range(700)]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "key bigint, text string").select(
+        "key", F.col("key").alias("id"), F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    classes = h.classes_of(h.count_words(docs))
+    encoded = h.encode(docs, spark.sparkContext.broadcast(classes)).localCheckpoint()
+    first = h.first_model(classes.even(), h.STATES)
+    assert np.allclose(h.train(encoded, classes, rounds=0).emit, first.emit, rtol=1e-12)
+    expected = h.Expected(classes.size, h.STATES)
+    expected.add(first, [np.frombuffer(r["ids"], "<u2") for r in encoded.orderBy("key").collect()])
+    whole = h.fitted(expected, classes.even())
+    model = h.train(encoded, classes, rounds=1)
+    assert np.allclose(model.emit, whole.emit, rtol=1e-3, atol=1e-7) and np.allclose(model.steps, whole.steps, rtol=1e-3)
