@@ -9,6 +9,8 @@ from fenestra.functions.text import model_slug
 from fenestra.schemas import TRUTH_FILE, UNIT_JSON
 
 _CORRUPT = "_corrupt"
+#: Units of one file at most.
+MAX_FILE_UNITS = 500_000
 
 
 def _evidence_to_struct(df: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def write_units(units: DataFrame, path: str, partition_by: list[str] | None = No
                 mode: str = "error") -> None:
     """JSON lines below ``variant=/project=/model=`` style folders.
 
-    A model name is made safe for a path first.
+    A model name is made safe for a path first. The files are compressed, and short enough to be read by a task each.
     """
     parts = partition_by or []
     out = units.withColumn("model", model_slug(F.col("model"))) if "model" in parts else units
@@ -52,7 +54,7 @@ def write_units(units: DataFrame, path: str, partition_by: list[str] | None = No
     out = out.select(*parts, *names)
     if "evidence" in names:
         out = _evidence_to_json(out)
-    out.write.mode(mode).partitionBy(*parts).json(path)
+    out.write.mode(mode).option("maxRecordsPerFile", MAX_FILE_UNITS).partitionBy(*parts).json(path, compression="gzip")
 
 
 def read_truth(spark: SparkSession, path: str, gt_level: str) -> DataFrame:

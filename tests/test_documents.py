@@ -219,3 +219,13 @@ def test_tables_as_long_as_the_drawings_are_not_broadcast(spark):
     for units in (strategies.region_crops(tables), strategies.coarse_to_fine({**tables, "coarse": coarse})):
         assert "Broadcast" not in units._jdf.queryExecution().executedPlan().toString()
         assert [(r.unit_id, r.qty) for r in units.collect()] == [("W1", 10)]
+
+
+def test_unit_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    from fenestra.sources import units as us
+    monkeypatch.setattr(us, "MAX_FILE_UNITS", 2)
+    units = accepted(parse(spark, f"[{UNIT},{UNIT},{UNIT}]")).withColumn("model", F.lit("m")).coalesce(1)
+    us.write_units(units, str(tmp_path / "units"), ["model"])
+    files = sorted(p.name for p in (tmp_path / "units").rglob("part-*"))
+    assert len(files) == 2 and all(n.endswith(".json.gz") for n in files)
+    assert [r.qty for r in us.read_units(spark, str(tmp_path / "units")).collect()] == [10, 10, 10]
