@@ -12,8 +12,13 @@ COMPARED = ("WINDOW SIZE", "TYPE", "REMARKS", "EGRESS", "QTY", "MANUF.", "SERIES
 
 
 def index_by_mark(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row per mark of ``rows(cells, order...)``; the last one in ``order`` stays."""
-    marked = rows.withColumn("mark", mark_key(F.col("cells"))).where("mark <> ''")
+    """One row per mark of ``rows(cells, order...)``; the last one in ``order`` stays.
+
+    A largest map is found by sorting, so rows are dealt out by mark first: a task then sorts
+    its share of the marks, not all maps of a file.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = rows.withColumn("mark", mark_key(F.col("cells"))).where("mark <> ''").repartition(parts, "mark")
     return marked.groupBy("mark").agg(F.max_by("cells", F.struct(*order)).alias("cells"))
 
 
