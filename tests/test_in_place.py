@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from fenestra.operators import comparison, schedules
+from fenestra.operators.consensus import SOURCES, consensus, with_unit_ids
 
 PANEL = "role string, width_in double, height_in double, glass string, u_factor double, egress boolean, clear_opening_sqft double"
 
@@ -30,6 +31,18 @@ def units(spark, seed, n=400):
     return spark.createDataFrame(rows, f"project int, kind string, panels array<struct<{PANEL}>>, qty int")
 
 
+def test_consensus_of_small_scopes(spark):
+    d = units(spark, 4).withColumns({
+        "source": F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (1 + F.monotonically_increasing_id() % 4).cast("int")),
+        "line": F.monotonically_increasing_id(), "source_marks": F.array(F.when(F.col("qty") == 1, F.lit("m")).otherwise(F.lit(""))),
+        "sill_height_in": F.lit(None).cast("double")}).localCheckpoint()
+    ids = lambda **more: with_unit_ids(consensus(d, ["project"], ["line"], **more), ["project"], **more)
+    found = ids(bound_by=d)
+    assert exchanges(found) == 1
+    assert result(found) == result(ids())
+    assert result(ids(bound_by=d, max_scope_rows=5)) == result(ids())
+
+
 def test_tables_of_short_documents(spark):
     r = random.Random(5)
     heads = ["Size", " Mark ", "Glass", "mark", "Width", "Height", None, "other"]
