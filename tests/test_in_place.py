@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fenestra.operators import comparison, schedules
 from fenestra.operators.consensus import SOURCES, consensus, with_unit_ids
+from fenestra.operators.overlaps import dedup_overlaps
 
 PANEL = "role string, width_in double, height_in double, glass string, u_factor double, egress boolean, clear_opening_sqft double"
 
@@ -31,6 +32,20 @@ def units(spark, seed, n=400):
     return spark.createDataFrame(rows, f"project int, kind string, panels array<struct<{PANEL}>>, qty int")
 
 
+def test_dedup_of_small_scopes(spark):
+    r = random.Random(3)
+    box = lambda: (r.choice([1, 2, None]), "plan", r.choice([None, (float(r.randrange(30)), float(r.randrange(30)), 20.0, r.choice([0.0, 20.0]))]))
+    rows = [(r.choice([None, 1, 2, 3]), r.randrange(40), r.choice(["window", "door"]), [("window", 30.0, 60.0, None, None, None, None)],
+             r.choice([0.5, 0.7, None, 0.9, float("nan")]), r.choice([1, 2, 3, None]), [box() for _ in range(r.choice([0, 1, 1, 2]))]) for _ in range(300)]
+    d = spark.createDataFrame(rows, f"doc int, item int, kind string, panels array<struct<{PANEL}>>, confidence double, qty int, "
+                              "evidence array<struct<page:int,region:string,bbox:struct<x:double,y:double,w:double,h:double>>>")
+    dedup = lambda **more: dedup_overlaps(d, ["doc"], ["item"], **more)
+    kept = dedup(bound_by=d)
+    assert exchanges(kept) == 1
+    assert result(kept) == result(dedup())
+    assert result(dedup(bound_by=d, max_local_rows=72)) == result(dedup())
+
+
 def test_consensus_of_small_scopes(spark):
     d = units(spark, 4).withColumns({
         "source": F.element_at(F.array(*[F.lit(s) for s in SOURCES]), (1 + F.monotonically_increasing_id() % 4).cast("int")),
