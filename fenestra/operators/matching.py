@@ -19,20 +19,27 @@ How it is laid out for Spark:
   (``_solve_distributed``), so no component has to fit into one task. The limit
   between the two picks the way, not the result.
 * Without a tolerance, sizes match only themselves: one full outer join does it.
+* Where a count shows scopes to be so small that a task may solve each of them, the units of
+  both sides are shuffled once, by scope, and grouped and matched there (``_match_small``); the
+  rest takes the way above. The result is the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import math
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fenestra.operators.spec_groups import DEFAULT_BUCKET, group_units
+from fenestra.operators.spec_groups import DEFAULT_BUCKET, group_units, with_key
 from fenestra.session import stage
 
 # the in-task functions travel with the plan; executors need no installed copy
@@ -57,12 +64,22 @@ def _block(scope: list[str]) -> Column:
     return F.struct(*[F.col(c) for c in scope], F.col("kind"), roles.alias("roles"))
 
 
-def _variants(groups: DataFrame, scope: list[str], bucket: float) -> DataFrame:
-    """Groups with their block, size vector, node name and rank among equal sizes."""
+def _block_text(block: Column) -> Column:
+    # microseconds kept: the text of a block must be as distinct as the block
+    return F.to_json(F.struct(block.alias("block")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
+def _named(groups: DataFrame, scope: list[str], bucket: float) -> DataFrame:
+    """Groups with their block, size vector and node name."""
     steps = lambda v: F.rint(v / F.lit(bucket)).cast("bigint")
     dims = F.flatten(F.transform(F.col("key_panels"), lambda p: F.array(steps(p["w"]), steps(p["h"]))))
-    named = groups.withColumn("block", _block(scope)).withColumn("dims", dims).withColumn(
+    return groups.withColumn("block", _block(scope)).withColumn("dims", dims).withColumn(
         "node", F.concat_ws(",", F.col("dims").cast("array<string>")))
+
+
+def _variants(groups: DataFrame, scope: list[str], bucket: float) -> DataFrame:
+    """Groups with their block, size vector, node name and rank among equal sizes."""
+    named = _named(groups, scope, bucket)
     same = Window.partitionBy("block", "node").orderBy("key_panels")
     return named.withColumn("rank", F.row_number().over(same))
 
@@ -126,9 +143,7 @@ def _islands(edges: DataFrame, tau_in: float, bucket: float) -> DataFrame:
     by the first width, then by the first height inside each width island. Only
     distinct cells are ordered, so a crowded block costs no more than its range.
     """
-    # microseconds kept: the text of a block must be as distinct as the block
-    name = F.to_json(F.struct("block"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
-    edges = edges.withColumn("comp", name)
+    edges = edges.withColumn("comp", _block_text(F.col("block")))
     for i in (0, 1):
         size = lambda dims: F.greatest(F.floor(F.size(dims) / 2 * F.lit(tau_in / bucket)), F.lit(1))
         cell = lambda dims: F.floor(_at(dims, i) / size(dims)).cast("bigint")
@@ -453,9 +468,147 @@ def _matched(both: DataFrame, scope: list[str], bucket: float) -> DataFrame:
         .otherwise("miss").alias("status"))
 
 
+def _tie(p: str, t: str) -> int:
+    """``tie_number`` of one edge."""
+    return int(hashlib.md5(f"{p}|{t}".encode()).hexdigest()[:12], 16)
+
+
+def _block_pairs(pred: list[tuple], true: list[tuple], per_panel: float) -> Iterator[tuple]:
+    """(row, row, distance) of one block.
+
+    ``pred`` and ``true``: (row, node, known) ordered by node and rank; sizes that are not ``known`` have no edges, but a rank.
+    """
+    sides: tuple[dict, dict] = ({}, {})
+    copies: tuple[dict, dict] = ({}, {})
+    for side, units, rows in zip(sides, copies, (pred, true)):
+        for row, node, known in rows:
+            side.setdefault(node, []).append(row)
+            if known:
+                units[node] = units.get(node, 0) + 1
+    sizes = [{node: [int(v) for v in node.split(",")] if node else [] for node in units} for units in copies]
+    edges, degree = [], {}
+    for p, a in sizes[0].items():
+        limit = math.floor(len(a) // 2 * per_panel)
+        for t, b in sizes[1].items():
+            if len(a) == len(b):
+                d = sum(abs(x - y) for x, y in zip(a, b))
+                if d <= limit:
+                    edges.append((p, t, d))
+                    degree[0, p] = degree.get((0, p), 0) + 1
+                    degree[1, t] = degree.get((1, t), 0) + 1
+    alone = lambda e: degree[0, e[0]] == 1 and degree[1, e[1]] == 1
+    flows = {(p, t): min(copies[0][p], copies[1][t]) for p, t, _ in filter(alone, edges)}
+    rest = [(p, t, (d << TIE_SHIFT) + _tie(p, t)) for p, t, d in edges if not alone((p, t))]
+    if rest:
+        flows |= _assign(rest, {p: copies[0][p] for p, _, _ in rest}, {t: copies[1][t] for _, t, _ in rest})
+    distance = {(p, t): d for p, t, d in edges}
+    # unit k of a flow is the next unused rank on both sides
+    used, of_true = {}, {}
+    for (p, t), flow in sorted(flows.items()):
+        of_true[p, t] = used.get(t, 0)
+        used[t] = used.get(t, 0) + flow
+    used = {}
+    for (p, t), flow in sorted(flows.items()):
+        first = used.get(p, 0)
+        used[p] = first + flow
+        for k in range(flow):
+            yield sides[0][p][first + k], sides[1][t][of_true[p, t] + k], distance[p, t]
+
+
+def _block_matcher(names: list[str], per_panel: float):
+    """In-task match over rows sorted by (comp, side, node, rank); one block is never cut."""
+    def rows_of(table: pa.Table) -> pa.Table:
+        comps, sides, nodes, known = (table[c].to_pylist() for c in ("comp", "side", "node", "known"))
+        pred, true, distance = [], [], []
+        start = 0
+        for end in range(1, len(comps) + 1):
+            if end < len(comps) and comps[end] == comps[start]:
+                continue
+            cut = start
+            while cut < end and sides[cut] == 0:
+                cut += 1
+            left = {i: (i, None, None) for i in range(start, cut)}
+            free = set(range(cut, end))
+            if left and free:
+                of = lambda a, b: [(i, nodes[i], known[i]) for i in range(a, b)]
+                for i, j, d in _block_pairs(of(start, cut), of(cut, end), per_panel):
+                    left[i] = (i, j, d)
+                    free.discard(j)
+            for i, j, d in [*left.values(), *((None, j, None) for j in free)]:
+                pred.append(i)
+                true.append(j)
+                distance.append(d)
+            start = end
+        p, t = pa.array(pred, pa.int64()), pa.array(true, pa.int64())
+        either = pa.array([j if i is None else i for i, j in zip(pred, true)], pa.int64())
+        columns = {c: table[c].take(either) for c in names}
+        for prefix, at in (("pred", p), ("true", t)):
+            columns |= {f"{prefix}_panels": table["key_panels"].take(at), f"{prefix}_qty": table["qty"].take(at)}
+        return pa.table(columns | {"d": pa.array(distance, pa.int64())})
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            comps = batch.column("comp").to_pylist()
+            if kept and kept[-1].column("comp")[0].as_py() == comps[-1]:
+                kept.append(batch)
+                continue
+            last = comps.index(comps[-1])  # the last block may go on in the next batch
+            whole = pa.Table.from_batches([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+            if whole.num_rows:
+                yield from rows_of(whole).combine_chunks().to_batches()
+        if kept:
+            yield from rows_of(pa.Table.from_batches(kept)).combine_chunks().to_batches()
+    return task
+
+
+def _match_small(pred: DataFrame, true: DataFrame, scope: list[str], tau_in: float, bucket: float, mode: str) -> DataFrame:
+    """Groups and matches units whose scopes are small: one shuffle, by scope."""
+    rows = lambda df, side: df.select(F.lit(side).alias("side"), *scope, "kind", "panels", F.col("qty").cast("bigint").alias("qty"))
+    both = rows(pred, 0).unionByName(rows(true, 1)).repartition(*scope)
+    groups = with_key(both, bucket, mode).groupBy("side", *scope, "kind", "key_panels").agg(F.sum("qty").alias("qty"))
+    named = _named(groups, scope, bucket)
+    if tau_in == 0:
+        # equal sizes of equal rank; scope columns come first, so that rows stay where they are
+        same = Window.partitionBy(*scope, "block", "node", "side").orderBy("key_panels")
+        of = lambda side: F.max(F.when(F.col("side") == side, F.struct("key_panels", "qty")))
+        pairs = named.withColumn("rank", F.row_number().over(same)).groupBy(*scope, "block", "node", "rank").agg(of(0).alias("p"), of(1).alias("t"))
+        ends = [F.col(c if c in scope else "block.kind").alias(f"{prefix}_{c}") for prefix in ("pred", "true") for c in (*scope, "kind")]
+        return _matched(pairs.select(*ends, *[F.col(f"{s}.{c}").alias(f"{prefix}_{n}") for s, prefix in (("p", "pred"), ("t", "true"))
+                                              for c, n in (("key_panels", "panels"), ("qty", "qty"))],
+                                     F.lit(0).cast("bigint").alias("d")), scope, bucket)
+    known = F.coalesce(~F.exists("dims", lambda v: v.isNull()), F.lit(False))
+    ready = named.select(_block_text(F.col("block")).alias("comp"), "side", "node", known.alias("known"), *scope, "kind", "key_panels", "qty")
+    kinds = {f.name: f.dataType for f in ready.schema}
+    schema = StructType([StructField(c, kinds[c]) for c in (*scope, "kind")])
+    for prefix in ("pred", "true"):
+        schema = schema.add(f"{prefix}_panels", kinds["key_panels"]).add(f"{prefix}_qty", kinds["qty"])
+    found = ready.sortWithinPartitions("comp", "side", "node", "key_panels").mapInArrow(
+        _block_matcher([*scope, "kind"], tau_in / bucket), schema.add("d", LongType()))
+    sides = [F.col(c).alias(f"{prefix}_{c}") for prefix in ("pred", "true") for c in (*scope, "kind")]
+    return _matched(found.select(*sides, "pred_panels", "pred_qty", "true_panels", "true_qty", "d"), scope, bucket)
+
+
 def match_units(pred: DataFrame, true: DataFrame, scope: list[str],
                 tau_in: float = DEFAULT_TAU_IN, bucket: float = DEFAULT_BUCKET, mode: str = "full",
-                max_local_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
-    """Group both sides, then match."""
-    return match_groups(group_units(pred, scope, bucket, mode), group_units(true, scope, bucket, mode),
-                        scope, tau_in, bucket, max_local_edges)
+                max_local_edges: int = MAX_LOCAL_EDGES, bound_by: DataFrame | None = None) -> DataFrame:
+    """Group both sides, then match.
+
+    ``bound_by`` has at least as many rows per scope as each of the sides and is cheaper to count. Scopes with so few rows
+    that their pairs cannot exceed ``max_local_edges`` are matched at once, the others by ``match_groups``.
+    """
+    grouped = lambda p, t: match_groups(group_units(p, scope, bucket, mode), group_units(t, scope, bucket, mode),
+                                        scope, tau_in, bucket, max_local_edges)
+    if bound_by is None:
+        return grouped(pred, true)
+    sizes = bound_by.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > math.isqrt(max_local_edges))
+    if sizes.isEmpty():
+        return _match_small(pred, true, scope, tau_in, bucket, mode)
+    large = stage(sizes.select(*[F.col(c).alias(f"_{c}") for c in scope]), "scopes")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in scope])
+    part = lambda df, how: df.join(large, same, how)
+    return _match_small(part(pred, "left_anti"), part(true, "left_anti"), scope, tau_in, bucket, mode).unionByName(
+        grouped(part(pred, "left_semi"), part(true, "left_semi")))

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fenestra.operators import comparison, schedules
 from fenestra.operators.consensus import SOURCES, consensus, with_unit_ids
+from fenestra.operators.matching import match_units
 from fenestra.operators.overlaps import dedup_overlaps
 
 PANEL = "role string, width_in double, height_in double, glass string, u_factor double, egress boolean, clear_opening_sqft double"
@@ -32,6 +34,18 @@ def units(spark, seed, n=400):
     return spark.createDataFrame(rows, f"project int, kind string, panels array<struct<{PANEL}>>, qty int")
 
 
+@pytest.mark.parametrize("tau", [0.0, 1.0, 2.0])
+def test_match_of_small_scopes(spark, tau):
+    pred, true = units(spark, 1), units(spark, 2)
+    bound = pred.unionByName(true).select("project")
+    match = lambda **more: match_units(pred, true, ["project"], tau_in=tau, **more)
+    found = match(bound_by=bound, max_local_edges=10_000)
+    assert exchanges(found) == 1
+    assert result(found) == result(match())
+    # some of the scopes are too large
+    assert result(match(bound_by=bound, max_local_edges=64 * 64)) == result(match())
+
+
 def test_dedup_of_small_scopes(spark):
     r = random.Random(3)
     box = lambda: (r.choice([1, 2, None]), "plan", r.choice([None, (float(r.randrange(30)), float(r.randrange(30)), 20.0, r.choice([0.0, 20.0]))]))
