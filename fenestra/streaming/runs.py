@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fenestra.operators.responses import accepted, anchor_units, parse_responses
+from fenestra.operators.responses import anchor_units, read_units
 from fenestra.streaming.commits import read_committed, write_together
 
 _PAGE = ["doc_id", "page_no"]
@@ -19,7 +19,7 @@ def run_tables(responses: DataFrame) -> dict[str, DataFrame]:
     answered = responses.where(F.col("error").isNull())
     extra = [c for c in ("elapsed", "in_tok", "out_tok") if c in responses.columns]
     return {
-        "units": anchor_units(accepted(parse_responses(answered).drop("raw_text"))).drop("error"),
+        "units": anchor_units(read_units(answered)).drop("error"),
         "log": responses.select(*_PAGE, *extra, "error", F.coalesce(F.length("raw_text"), F.lit(0)).alias("raw_len")),
         "raw": answered.select(*_PAGE, "raw_text")}
 

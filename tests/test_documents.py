@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fenestra.operators import offers, quality, routing
 from fenestra.operators.comparison import agreed_rows, diff_sources, index_by_mark
 from fenestra.operators.consensus import consensus, consensus_evidence, with_unit_ids
-from fenestra.operators.responses import accepted, anchor_units, page_reads, parse_responses, price_responses, rejected
+from fenestra.operators.responses import accepted, anchor_units, page_reads, parse_responses, price_responses, read_units, rejected
 from fenestra.operators.schedules import schedule_units, table_units
 from fenestra.plans import strategies
 
@@ -209,6 +209,58 @@ def test_every_strategy_runs_on_a_canned_answer(spark):
     assert [(r.doc_id, r.reason) for r in skipped] == [("s", "all_pages_raster")]
 
 
+def drawing_tables(spark):
+    pages = spark.createDataFrame([("d", 1, "W" * 60, 9, 3000, 2000), ("s", 1, "", 0, 3000, 2000), ("n", None, "W" * 60, 9, 3000, 2000)],
+                                  "doc_id string, page_no int, text string, n_drawings int, width_px int, height_px int")
+    regions = spark.createDataFrame([(d, 1, x, 60, 900, 900) for d in "ds" for x in (100, 1500)] + [("s", 1, 0, 0, 50, 50)],
+                                    "doc_id string, page_no int, x int, y int, w int, h int")
+    answers = [(d, 1, r, f"[{UNIT},{UNIT},7]", None) for d in "dds" for r in (0, 1, 2, 3, 9)]
+    responses = spark.createDataFrame(answers + [("d", 1, 1, None, "timeout"), ("d", 1, 1, "cannot read", None)],
+                                      "doc_id string, page_no int, region_no int, raw_text string, error string")
+    coarse = spark.createDataFrame([("d", 1, '[{"bbox_pct":[0.1,0.1,0.5,0.5]}]', None)], "doc_id string, page_no int, raw_text string, error string")
+    return {"pages": pages, "regions": regions, "coarse": coarse, "responses": responses,
+            "table_cells": cells(spark, [["Mark", "Size"], ["W9", "30 x 40"]])}
+
+
+def test_strategies_share_what_was_read(spark):
+    """Responses and regions that were read once give the same units as those that each strategy reads itself."""
+    tables = drawing_tables(spark)
+    shared = {n: t for n, t in tables.items() if n not in ("responses", "regions")} | {
+        "units": strategies.response_units(tables["responses"]), "crops": strategies.numbered_regions(tables["regions"], tables["pages"])}
+    for letter in "ABCDE":
+        own, given = (strategies.STRATEGIES[letter](t) for t in (tables, shared))
+        assert sorted(own.columns) == sorted(given.columns)
+        rows = [sorted(map(str, df.select(*sorted(own.columns)).collect())) for df in (own, given)]
+        assert rows[0] == rows[1] and rows[0], letter
+
+
+def test_the_registry_reads_responses_once(spark, monkeypatch):
+    """All strategies but the last get the same responses; tables are read once, not again for the documents without any."""
+    from fenestra.plans import queries
+    calls, staged = [], []
+    read, keep = strategies.read_units, strategies.stage
+    monkeypatch.setattr(strategies, "read_units", lambda df, *a: calls.append(df) or read(df, *a))
+    monkeypatch.setattr(strategies, "stage", lambda df, label: staged.append(label) or keep(df, label))
+    rows = queries.strategy_registry(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.letter for r in rows) == list("ABCDEF")
+    assert len(calls) == 2 and staged == ["tiles", "table_units"]
+
+
+def test_units_are_read_without_fields_that_nobody_asks_for(spark):
+    texts = [f"[{UNIT}]", f"see ```json\n[{UNIT}]\n``` [1]", f" [{UNIT}]\n", '{"units":[{"panels":[{"width_in":"3/4","height_in":1e2}],"qty":"4"},null,3]}',
+             '{"data":[{"panels":[{"width_in":true,"height_in":"36 3/16"}]}]}', '{"panels":[{"width_in":"1e2","height_in":1}]}',
+             '[{"panels":[{"width_in":30.50,"height_in":"30.50\\""}],"evidence":"none"}]', '[{"panels":[null]}]', "[]", "nothing", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw_text string")
+    got, want = read_units(df), accepted(parse_responses(df)).drop("raw_text")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    sizes = {r.i: (r.panels[0].width_in, r.panels[0].height_in, r.qty, len(r.evidence)) for r in got.collect() if r.i > 2}
+    assert sizes == {3: (0.75, 100.0, 4, 0), 4: (1.0, 36.1875, 1, 0), 6: (30.5, 30.5, 1, 0)}
+    assert got.count() == 6
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "elevation" in plan(got) and "elevation" not in plan(got.select("i", "qty"))
+
+
 def test_tables_as_long_as_the_drawings_are_not_broadcast(spark):
     """Their few columns look small on disk; in the driver's memory they are not."""
     pages = spark.createDataFrame([(1, 1, "wall", 20, 3000, 2000)], "doc_id bigint, page_no bigint, text string, n_drawings int, width_px int, height_px int")

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from fenestra.operators import ordered
 from fenestra.operators.leaderboard import within_budget
 from fenestra.operators.ordered import row_numbers, running_totals, top_rows
 from fenestra.operators.routing import sample_pages
@@ -53,3 +54,12 @@ def test_page_sample(spark):
     got = sorted((r.doc_id, r.page_no) for r in sample_pages(pages).collect())
     assert got == [("a", 1), ("a", 4), ("a", 7), ("b", 1), ("c", 1), ("c", 2)]
     assert sample_pages(pages, 2).where("doc_id = 'a'").count() == 2
+
+
+def test_groups_are_counted_together_first(spark, monkeypatch):
+    """Buckets say at once that no group is large; where one is too large, its groups are counted."""
+    rows = spark.createDataFrame([(i % 10, None if i % 2 else i) for i in range(100)], "g int, h int")
+    monkeypatch.setattr(ordered, "BUCKETS", 1)
+    assert not ordered.has_large_group(rows, ["g"], 10)
+    assert ordered.has_large_group(rows, ["g"], 9) and ordered.has_large_group(rows, ["h"], 49) and not ordered.has_large_group(rows, ["h"], 50)
+    assert ordered.has_large_group(rows, [], 99) and not ordered.has_large_group(rows, [], 100)
